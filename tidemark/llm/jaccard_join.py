@@ -11,8 +11,8 @@ Filters, all exact (each is implied by the similarity bound, so no link is lost)
    here, before any pair is formed.
 2. *Prefixes under three global token orders*: rarest first, ascending hash, descending hash. With
    p = n - ceil(0.8 n) + 1, two linking sets share a token of their p-prefixes under every order.
-   The rarest-first order makes the candidates; the other two, and the size bound, must agree
-   before a pair is verified.
+   The rarest-first order makes the candidates, within bounds on the sizes and on the tokens that
+   come before the common one; the other two orders must agree before a pair is verified.
 
 Large groups don't make all pairs. In each list of classes that share a prefix token, a pivot is
 compared with the others, in a few rounds with other pivots; what links is contracted. Only pairs
@@ -39,7 +39,7 @@ SIMILAR = 80
 #: compares all shingles. Sets a quarter larger show all of theirs too, as partners of those.
 SHARE, SMALL = 0.3, 64
 #: Rounds in which each list compares one pivot with its other components.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 3
 #: Ids up to which a survivors' list is broadcast (8 bytes each); above, it is joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -145,21 +145,35 @@ def prefix_length(n):
 
 
 def _rare_prefixes(sets: DataFrame) -> DataFrame:
-    """``token, cid``: prefixes under the order (classes that have the token, token).
+    """``token, cid, n, pos``: prefixes under the order (classes that have the token, token).
 
-    Tokens of one class come first in that order and match nothing, so they only use up places.
+    ``pos`` is the token's place in its set, from 0. Tokens of one class come first in that order
+    and match nothing, so they only use up places.
     """
     each = sets.select("cid", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    room = prefix_length(F.col("n")) - (F.col("n") - F.size("ranked"))
+    own = F.col("n") - F.size("ranked")
+    room = prefix_length(F.col("n")) - own
     return (
         shared.where(room > 0)
-        .select("cid", F.explode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("r"))
-        .select(F.col("r.token").alias("token"), "cid")
+        .select("cid", "n", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("k", "r"))
+        .select(F.col("r.token").alias("token"), "cid", "n", (F.col("own") + F.col("k")).alias("pos"))
     )
 
 
+def _may_link(n_a, n_b, pos_a, pos_b):
+    """Bounds on a pair met at its first common token: by size, and by the tokens that came before.
+
+    Linking sets share at least (n_a + n_b) SIMILAR / (100 + SIMILAR) tokens and differ by at most
+    (n_a + n_b) (100 - SIMILAR) / (100 + SIMILAR); the tokens before the first common one are in
+    the difference, and the common ones are among the others of either set.
+    """
+    by_size = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILAR
+    common = F.least(n_a - pos_a, n_b - pos_b) * (100 + SIMILAR) >= (n_a + n_b) * SIMILAR
+    return by_size & common & ((pos_a + pos_b) * (100 + SIMILAR) <= (n_a + n_b) * (100 - SIMILAR))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` of those pairs that pass the size bound, both hash orders and the count itself."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
@@ -204,16 +218,26 @@ def class_components(sets: DataFrame, pivot_rounds: int = PIVOT_ROUNDS) -> DataF
     for k in range(pivot_rounds):
         here = lists.join(comp, "cid") if k else lists.withColumn("comp", F.col("cid"))
         pivot = here.groupBy("token").agg(
-            F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", F.lit(k))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+            F.min_by(F.struct("cid", "comp", "n", "pos"), _centrality(k)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         ).where("lo <> hi")
         if pivot.isEmpty():
             return comp
-        pairs = here.join(pivot, "token").where("comp <> p.comp").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
+        met = here.join(pivot, "token").where("comp <> p.comp").where(_may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
+        pairs = met.select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         comp = _joined(comp, _verified(pairs, sets))
     return _joined(comp, _verified(_open_pairs(lists, comp), sets))
 
 
+def _centrality(k: int):
+    """What a list's pivot has least of: in the first round the share of its set that came before
+    the common token, which few others can share; then a hash of round and token, so that a class
+    meets another pivot in each of its lists."""
+    if k == 0:
+        return F.struct((F.col("pos") / F.col("n")).alias("before"), F.xxhash64("cid").alias("h"), "cid")
+    return F.struct(F.xxhash64("cid", "token", F.lit(k)).alias("h"), "cid")
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` after the components at both ends of each link have become one."""
     ends = links.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(
@@ -228,9 +252,11 @@ def _open_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
     here = lists.join(comp, "cid")
     parts = here.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    here = staged(here.join(main, "token").select("token", "cid", "comp", (F.col("comp") == F.col("main")).alias("is_main")), "open")
-    minor = here.where("NOT is_main").select("token", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-    found = minor.join(here.select("token", F.col("cid").alias("y"), F.col("comp").alias("cy"), "is_main"), "token").where("cx <> cy AND (is_main OR x < y)")
+    here = staged(here.join(main, "token").select("token", "cid", "comp", "n", "pos", (F.col("comp") == F.col("main")).alias("is_main")), "open")
+    minor = here.where("NOT is_main").select("token", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    others = here.select("token", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"), "is_main")
+    may = _may_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"))
+    found = minor.join(others, "token").where(F.expr("cx <> cy AND (is_main OR x < y)") & may)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
