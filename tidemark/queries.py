@@ -1,10 +1,6 @@
 """Every registered query of the engine and its SQL."""
 
-from __future__ import annotations
+from tidemark.plans import market, reference_data, risk  # noqa: F401  they register themselves
+from tidemark.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
