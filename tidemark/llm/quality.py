@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import staged
+
 #: Bound on the labelled rows that the fit reads.
 FIT_ROWS = 8000
 #: Buckets of the hashed words and word stems.
@@ -92,35 +94,34 @@ def features_of(text: str | None) -> tuple[list[int], list[float]]:
     return sorted(found), shape_of(text, words, len(kinds))
 
 
-def telling(flat: np.ndarray, grade: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Buckets, in order, whose share of documents differs between those below and above some grade."""
-    best = np.zeros(BUCKETS)
-    total = np.bincount(flat, minlength=BUCKETS) / max(1, len(grades))
+def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Buckets, in order, whose share of documents differs between those below and above some grade.
+
+    ``counts[b, g]`` is the number of documents of grade g that have bucket b.
+    """
+    best = np.zeros(len(counts))
+    share = counts.sum(axis=1) / max(1, totals.sum())
     for cut in range(1, GRADES):
-        above = max(1, (grades >= cut).sum())
-        below = max(1, len(grades) - above)
-        p = np.bincount(flat[grade >= cut], minlength=BUCKETS) / above
-        q = np.bincount(flat[grade < cut], minlength=BUCKETS) / below
-        z = np.abs(p - q) / np.sqrt(np.maximum(total * (1 - total), 1e-9) * (1 / above + 1 / below))
+        above, below = max(1, totals[cut:].sum()), max(1, totals[:cut].sum())
+        p, q = counts[:, cut:].sum(axis=1) / above, counts[:, :cut].sum(axis=1) / below
+        z = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / above + 1 / below))
         lift = np.maximum((p + 0.5 / above) / (q + 0.5 / below), (q + 0.5 / below) / (p + 0.5 / above))
         best = np.maximum(best, np.where(lift >= LEAST_LIFT, z, 0))
     order = np.argsort(-best, kind="stable")[:FEATURES]
     return np.sort(order[best[order] >= LEAST_Z])
 
 
-def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
+def fit(buckets: list[np.ndarray], used: np.ndarray, shapes: np.ndarray, grades: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
     """Cumulative-link regression by full-batch adaptive gradient steps.
 
-    Fewer than two different grades give a model that keeps everything.
+    ``buckets`` has each document's buckets among ``used``. Fewer than two different grades give a
+    model that keeps everything.
     """
     if len(grades) == 0 or len(np.unique(grades)) < 2:
         return OrdinalModel(None, None, np.array([-1.0, -0.5]))
     sizes = np.array([len(b) for b in buckets])
     flat = np.concatenate(buckets) if sizes.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(grades)), sizes)
-    used = telling(flat, grades[row], grades)
-    kept = np.isin(flat, used)
-    row, col = row[kept], np.searchsorted(used, flat[kept])
+    row, col = np.repeat(np.arange(len(grades)), sizes), np.searchsorted(used, flat)
     w, s, cuts = np.zeros(len(used)), np.zeros(shapes.shape[1]), np.array([-1.0, 0.0])
     sums = [np.zeros_like(w) + 1e-8, np.zeros_like(s) + 1e-8, np.zeros_like(cuts) + 1e-8]
     moves = [np.zeros_like(w), np.zeros_like(s), np.zeros_like(cuts)]
@@ -179,16 +180,23 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "buckets": [np.array(b, np.int32) for b, _ in got], "shape": [s for _, s in got]})
 
     # the sample has at most fit_rows ids, so it is small by construction
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .mapInPandas(featurise, "doc_id long, grade int, buckets array<int>, shape array<double>")
-        .toPandas()
-        .sort_values("doc_id", kind="stable")
-        .drop_duplicates("doc_id")
-    )
+    found = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featurise, "doc_id long, grade int, buckets array<int>, shape array<double>"), "features")
+    found = found.dropDuplicates(["doc_id"])
+    by_grade = [F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]
+    totals = np.array(found.agg(*by_grade).first(), np.int64)
+    # at most BUCKETS rows of counts come to the driver
+    table = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*by_grade).where("g0 + g1 + g2 >= 3").toPandas()
+    counts = np.zeros((BUCKETS, GRADES), np.int64)
+    counts[table["bucket"].to_numpy(np.int64)] = table[[f"g{g}" for g in range(GRADES)]].to_numpy(np.int64)
+    used = telling(counts, totals)
+
+    def restrict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf.assign(buckets=[np.intersect1d(b, used).astype(np.int32) for b in pdf["buckets"]])
+
+    rows = found.mapInPandas(restrict, found.schema).toPandas().sort_values("doc_id", kind="stable")
     shapes = np.array(rows["shape"].tolist()).reshape(len(rows), len(SHAPES))
-    return fit([np.asarray(b, np.int64) for b in rows["buckets"]], shapes, rows["grade"].to_numpy(np.int64))
+    return fit([np.asarray(b, np.int64) for b in rows["buckets"]], used, shapes, rows["grade"].to_numpy(np.int64))
 
 
 class _Buckets(dict):
