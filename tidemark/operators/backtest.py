@@ -66,10 +66,10 @@ def tail_risk(run: DataFrame, confidence: float, keys=KEYS) -> DataFrame:
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str], tolerance: float) -> DataFrame:
-    """Names of the measures that differ by more than the tolerance, by key of either side."""
+    """Names of the measures that differ by more than the tolerance (relative above 1), by key of either side."""
     other = b.select(*keys, *(F.col(m).alias(f"__{m}") for m in measures))
     joined = a.join(other, keys, "full_outer")
-    differ = F.array_compact(F.array(*(F.when(F.coalesce(F.abs(F.col(m) - F.col(f"__{m}")) > tolerance, F.lit(True)), F.lit(m)) for m in measures)))
+    differ = F.array_compact(F.array(*(F.when(F.coalesce(F.abs(F.col(m) - F.col(f"__{m}")) > tolerance * F.greatest(F.lit(1.0), F.abs(m)), F.lit(True)), F.lit(m)) for m in measures)))
     return joined.select(*keys, F.array_join(differ, ",").alias("differences"), (F.size(differ) == 0).alias("reconciled"))
 
 

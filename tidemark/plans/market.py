@@ -208,9 +208,9 @@ def b2(spark, d):
     return _run(spark, d).select("strategy", "instrument_id", "day", "position", "turnover", r6(F.col("net"), "net"))
 
 
-@query("b3_equity_curve", RUN_SQL + " SELECT strategy, instrument_id, day, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM curve")
+@query("b3_equity_curve", RUN_SQL + " SELECT strategy, instrument_id, day, round(ln(equity), 6) AS log_equity, round(drawdown, 6) AS drawdown FROM curve")
 def b3(spark, d):
-    return backtest.equity_curve(_run(spark, d)).select("strategy", "instrument_id", "day", r6(F.col("equity"), "equity"), r6(F.col("drawdown"), "drawdown"))
+    return backtest.equity_curve(_run(spark, d)).select("strategy", "instrument_id", "day", r6(F.log("equity"), "log_equity"), r6(F.col("drawdown"), "drawdown"))
 
 
 @query("b4_sharpe", RUN_SQL + " SELECT strategy, instrument_id, round(CASE WHEN max(net) > min(net) THEN avg(net) / stddev_pop(net) * sqrt(252) END, 6) AS sharpe FROM run GROUP BY 1, 2")
@@ -218,11 +218,12 @@ def b4(spark, d):
     return _run(spark, d).groupBy("strategy", "instrument_id").agg(r6(backtest.sharpe(), "sharpe"))
 
 
-@query("b5_performance_report", RUN_SQL + """ SELECT strategy, instrument_id, count(*) AS periods, round(product(1 + net) - 1, 6) AS total_return, round(pow(product(1 + net), 252.0::DOUBLE / count(*)) - 1, 6) AS annualised_return,
+@query("b5_performance_report", RUN_SQL + """ SELECT strategy, instrument_id, count(*) AS periods, round(ln(product(1 + net)), 6) AS log_growth, round(pow(product(1 + net), 252.0::DOUBLE / count(*)) - 1, 6) AS annualised_return,
     round(stddev_pop(net) * sqrt(252), 6) AS volatility, round(CASE WHEN max(net) > min(net) THEN avg(net) / stddev_pop(net) * sqrt(252) END, 6) AS sharpe, round(max(drawdown), 6) AS max_drawdown,
     round(avg((net > 0)::INT), 6) AS hit_rate, round(CASE WHEN sum(least(net, 0)) < 0 THEN sum(greatest(net, 0)) / -sum(least(net, 0)) END, 6) AS profit_factor, sum(turnover)::BIGINT AS turnover FROM curve GROUP BY 1, 2""")
 def b5(spark, d):
     report = backtest.performance_report(backtest.equity_curve(_run(spark, d)))
+    report = report.withColumn("total_return", F.log1p("total_return")).withColumnRenamed("total_return", "log_growth")
     exact = {"periods", "turnover"}
     return report.select("strategy", "instrument_id", *(c if c in exact else r6(F.col(c), c) for c in report.columns[2:]))
 
@@ -248,11 +249,11 @@ def b14(spark, d):
     return backtest.reconcile(first, backtest.independent_equity(sig), ["strategy", "instrument_id"], ["equity", "turnover"], 1e-8)
 
 
-@query("b17_pessimistic_costs", RUN_SQL + " SELECT strategy, instrument_id, m AS multiplier, round(product(1 + position * move - turnover * 0.001::DOUBLE * m) - 1, 6) AS total_return FROM run CROSS JOIN (VALUES (1), (2), (3)) AS x(m) GROUP BY 1, 2, 3")
+@query("b17_pessimistic_costs", RUN_SQL + " SELECT strategy, instrument_id, m AS multiplier, round(ln(product(1 + position * move - turnover * 0.001::DOUBLE * m)), 6) AS log_growth FROM run CROSS JOIN (VALUES (1), (2), (3)) AS x(m) GROUP BY 1, 2, 3")
 def b17(spark, d):
     run = _run(spark, d).withColumn("multiplier", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     net = F.col("position") * F.col("move") - backtest.cost(F.col("turnover"), 0.0, 0.0005, 0.0005) * F.col("multiplier")
-    return run.groupBy("strategy", "instrument_id", "multiplier").agg(r6(F.exp(F.sum(F.log1p(net))) - 1, "total_return"))
+    return run.groupBy("strategy", "instrument_id", "multiplier").agg(r6(F.sum(F.log1p(net)), "log_growth"))
 
 
 # validation

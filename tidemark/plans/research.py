@@ -69,14 +69,14 @@ def a28(spark, d):
 # sensitivity
 
 
-@query("v7_slippage_sensitivity", RUN_SQL + """, s AS (SELECT strategy, instrument_id, m, product(1 + position * move - turnover * 0.001::DOUBLE * m) - 1 AS total FROM run CROSS JOIN (VALUES (0), (1), (2), (5)) AS x(m) GROUP BY 1, 2, 3)
-    SELECT strategy, instrument_id, m AS multiplier, round(total, 6) AS total_return, round(total - max(CASE WHEN m = 1 THEN total END) OVER (PARTITION BY strategy, instrument_id), 6) AS versus_base FROM s""")
+@query("v7_slippage_sensitivity", RUN_SQL + """, s AS (SELECT strategy, instrument_id, m, ln(product(1 + position * move - turnover * 0.001::DOUBLE * m)) AS total FROM run CROSS JOIN (VALUES (0), (1), (2), (5)) AS x(m) GROUP BY 1, 2, 3)
+    SELECT strategy, instrument_id, m AS multiplier, round(total, 6) AS log_growth, round(total - max(CASE WHEN m = 1 THEN total END) OVER (PARTITION BY strategy, instrument_id), 6) AS versus_base FROM s""")
 def v7(spark, d):
     run = _run(spark, d).withColumn("multiplier", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))))
     net = F.col("position") * F.col("move") - F.col("turnover") * 0.001 * F.col("multiplier")
-    s = run.groupBy(*KEYS, "multiplier").agg((F.exp(F.sum(F.log1p(net))) - 1).alias("t"))
+    s = run.groupBy(*KEYS, "multiplier").agg(F.sum(F.log1p(net)).alias("t"))
     base = F.max(F.when(F.col("multiplier") == 1, F.col("t"))).over(Window.partitionBy(*KEYS))
-    return s.select(*KEYS, "multiplier", r6(F.col("t"), "total_return"), r6(F.col("t") - base, "versus_base"))
+    return s.select(*KEYS, "multiplier", r6(F.col("t"), "log_growth"), r6(F.col("t") - base, "versus_base"))
 
 
 @query("v8_latency_sensitivity", SIGNALS_SQL + ", l AS (" + " UNION ALL ".join(f"SELECT strategy, instrument_id, {b} AS bars, coalesce(lag(signal, {b}) OVER (PARTITION BY strategy, instrument_id ORDER BY day), 0) AS s, signal FROM sig" for b in (1, 2, 5)) + ") SELECT strategy, instrument_id, bars, sum((s <> signal)::INT)::BIGINT AS changed FROM l GROUP BY 1, 2, 3")
@@ -94,7 +94,7 @@ def v10(spark, d):
     w = Window.partitionBy(*KEYS, "simulation").orderBy(F.xxhash64(F.lit(11), "simulation", "day"), "day").rowsBetween(Window.unboundedPreceding, 0)
     run = each.withColumn("e", F.exp(F.sum(F.log1p("net")).over(w)))
     run = run.withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(w)))
-    return run.groupBy(*KEYS, "simulation").agg(r6(F.exp(F.sum(F.log1p("net"))), "terminal"), r6(F.max("dd"), "max_drawdown"))
+    return run.groupBy(*KEYS, "simulation").agg(r6(F.sum(F.log1p("net")), "log_terminal"), r6(F.max("dd"), "max_drawdown"))
 
 
 @query("v12_stress", with_views("bars") + """, l AS (SELECT instrument_id, arg_max(close, day) AS close, count(*) AS n FROM bars GROUP BY 1) SELECT instrument_id, shock, round(close * (1 + shock), 6) AS stressed_close FROM l CROSS JOIN (VALUES (-0.3::DOUBLE), (-0.1::DOUBLE), (0.1::DOUBLE)) AS x(shock)""")
