@@ -60,11 +60,11 @@ def bootstrap(returns: DataFrame, key: str, resamples: int, seed: int) -> DataFr
     return picked.groupBy(key, "resample").agg((F.exp(F.sum(F.log1p("r") * F.col("count"))) - 1).alias("total_return"))
 
 
-def simple_regimes(bars: DataFrame, n: int) -> DataFrame:
-    """Regime probabilities from the return over n - 1 steps; confidence at most 0.40."""
+def simple_regimes(bars: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Regime probabilities from the return over n - 1 steps; confidence at most 0.40. Columns in ``keep`` stay."""
     w = Window.partitionBy("instrument_id").orderBy("day")
     move = bars.withColumn("lookback_return", F.col("close") / F.lag("close", n - 1).over(w) - 1)
     strength = F.least(F.lit(0.4), F.abs("lookback_return") * 10)
     up = F.when(F.col("lookback_return") > 0, 0.3 + strength).otherwise(0.3)
     down = F.when(F.col("lookback_return") < 0, 0.3 + strength).otherwise(0.3)
-    return move.where("lookback_return IS NOT NULL").select("instrument_id", "day", "lookback_return", up.alias("p_up"), down.alias("p_down"), (1 - up - down).alias("p_range"))
+    return move.where("lookback_return IS NOT NULL").select("instrument_id", "day", *keep, "lookback_return", up.alias("p_up"), down.alias("p_down"), (1 - up - down).alias("p_range"))
