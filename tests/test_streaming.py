@@ -19,7 +19,7 @@ def events(spark, sf_dir):
 
 def drained(spark, df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(40), q.lastProgress
     return spark.table(name)
 
 
@@ -64,3 +64,25 @@ def test_append_new_is_idempotent(spark, events):
 def test_late_flag(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS published_at, timestamp'2024-01-01 07:00:00' AS ingested_at UNION ALL SELECT timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 05:00:00'")
     assert sorted(r.late for r in jobs.late_flag(rows).collect()) == [False, True]
+
+
+def test_signals_expire_once(spark, events):
+    stream, batch = events
+    make = lambda e: e.select(F.col("user_id").alias("signal_id"), "ts", F.col("event_type").alias("status"))
+    got = {(r.signal_id, r.status) for r in drained(spark, jobs.expire_signals(make(stream)), "z5").collect()}
+    last = batch.groupBy("user_id").agg(F.max("ts").alias("t"), F.max_by("event_type", "ts").alias("status"))
+    mark = batch.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("mark"))
+    want = {(r.user_id, r.status) for r in last.join(mark).where("t + INTERVAL 6 HOURS < mark").collect()}
+    assert got == want and want
+
+
+def test_failure_alerts_match_islands(spark, events):
+    stream, batch = events
+    make = lambda e: e.select((F.col("user_id") % 5).alias("provider"), F.col("event_id").alias("run_id"), "ts", (F.col("event_type") != "error").alias("ok"))
+    got = sorted((r.provider, r.run_id) for r in drained(spark, jobs.failure_alerts(make(stream), 2), "z7").collect())
+    want, n = [], {}
+    for r in make(batch).orderBy("provider", "ts", "run_id").collect():
+        n[r.provider] = 0 if r.ok else n.get(r.provider, 0) + 1
+        if n[r.provider] == 2:
+            want.append((r.provider, r.run_id))
+    assert got == sorted(want) and want

@@ -58,6 +58,57 @@ def reserve_notional(orders: DataFrame, limit: float) -> DataFrame:
     return orders.groupBy("account_id", "day").applyInPandasWithState(step, RESERVED, "total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+EXPIRED = "signal_id long, status string, expired_at timestamp"
+
+
+def expire_signals(log: DataFrame, hours: int = 6, late: str = "1 hour") -> DataFrame:
+    """One row for each signal whose last status stood unanswered for some hours of event time.
+
+    The state is the latest (time, status); a new status moves the timer, the timer ends the state. Only a later status than
+    the one held counts, so replays change nothing.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, status = state.get
+            state.remove()
+            yield pd.DataFrame({"signal_id": [key[0]], "status": [status], "expired_at": [pd.Timestamp(at, unit="us") + pd.Timedelta(hours=hours)]})
+            return
+        at, status = state.get if state.exists else (-1, "")
+        for part in parts:
+            last = part.sort_values("ts").iloc[-1]
+            t = int(last.ts.value // 1000)
+            if t > at:
+                at, status = t, last.status
+        state.update((at, status))
+        state.setTimeoutTimestamp(max(at // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    keyed = log.withWatermark("ts", late).select("signal_id", "ts", "status").groupBy("signal_id")
+    return keyed.applyInPandasWithState(step, EXPIRED, "at long, status string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+ALERTS = "provider long, run_id long, failures int, raised_at timestamp"
+
+
+def failure_alerts(runs: DataFrame, threshold: int = 3) -> DataFrame:
+    """An alert when a provider fails ``threshold`` times in a row; a success ends the row, so each raises one alert.
+
+    ``runs`` has provider, run_id, ts and ok; rows of a batch are taken in order of (ts, run_id).
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        out = []
+        for r in pd.concat(parts).sort_values(["ts", "run_id"]).itertuples(index=False):
+            n = 0 if r.ok else n + 1
+            if n == threshold:
+                out.append((key[0], r.run_id, n, r.ts))
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["provider", "run_id", "failures", "raised_at"])
+
+    return runs.groupBy("provider").applyInPandasWithState(step, ALERTS, "n int", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_new(sink: str, key: list[str]):
     """A foreachBatch function: rows whose key the sink has not yet are appended; replays are no-ops."""
 
