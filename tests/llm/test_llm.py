@@ -337,6 +337,33 @@ def test_leaks(spark):
     assert decontamination.leaks(empty_documents(spark), bench).count() == 0
 
 
+def test_leaks_of_edited_and_cut_items(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items, rng, clean = [(r.item_id, r.text) for r in bench.collect()], random.Random(3), "some clean words before and after it "
+
+    def replaced(text, n, word):
+        w = text.split(" ")
+        for j in rng.sample(range(len(w)), n):
+            w[j] = word
+        return " ".join(w)
+
+    cases = [lambda t, n=n, w=w: replaced(t, n, w) for n, w in ((1, "replacement"), (2, "qq"), (2, "hello"), (2, "replacement"))]
+    cases.append(lambda t: t[len(t) // 10 :].split(" ", 1)[1])
+    rows = [(c * 1000 + k, clean + f(t) + " " + clean, i) for c, f in enumerate(cases) for k, (i, t) in enumerate(items)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    for c, least in enumerate((0.95, 0.95, 0.95, 0.9, 0.95)):
+        assert len(found & {(k, i) for k, _, i in rows if k // 1000 == c}) >= least * len(items), c
+    part = items[0][1][20:110]
+    short = spark.createDataFrame([(1, "abc"), (2, "x-y"), (3, "  ")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "- Abc d"), (2, "abcd xy"), (3, part), (4, "so: X y, x-y")], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontamination.leaks(texts, short).collect()]
+    assert sorted(got) == [(1, 1, 2, 5, 0), (4, 2, 4, 7, 0), (4, 2, 9, 12, 0)]
+    r = decontamination.leaks(texts, bench).collect()
+    assert [(x.doc_id, x.item_id, x.edits, x.item_chars) for x in r] == [(3, items[0][0], 0, decontamination.WINDOW)]
+    assert r[0].end - r[0].start >= decontamination.WINDOW
+
+
 def distance_inside(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):

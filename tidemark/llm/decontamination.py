@@ -1,11 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased and every run of other than letters and digits becomes one space. Two strings
-of which one has m characters and that differ by at most e edits share at least
-``m - q + 1 - q e`` of its q-grams, and those lie within e diagonals of each other. For each item
-the filter counts hits (document position, item position) in diagonal bands that overlap by half,
-keeps bands whose count of different item positions reaches the bound, and aligns the item there
-in a band of 2 e + 1 further diagonals. A region stays when the edit distance is within the budget.
+Texts are lower-cased and every run of other than letters and digits becomes one space. What is
+looked for are segments of an item: each window of ``WINDOW`` characters that begins at a word or
+ends the item. A shorter item is its own segment; one under ``Q`` characters is looked for as whole
+words.
+
+Two strings of which one has m characters and that differ by at most e edits share at least
+``m - q + 1 - q e`` of its q-grams, and those lie within e diagonals of each other. The filter
+counts hits (document position, item position) in a grid of item stretches and diagonals; two by
+two cells hold any segment's hits. Where they reach the bound, different item positions are counted
+by window on bands of ``FINE`` diagonals, and the segments that reach the bound are aligned. A
+region stays when the edit distance is within the budget; it is widened to the whole item where
+that is within its budget too, else to all segments found on its diagonals.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_CHARS`` characters,
 each of which is one pass over the documents.
@@ -23,14 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters in a q-gram.
-Q = 12
-#: Edits allowed for each character of an item.
-EDIT_RATE = 0.06
+Q = 5
+#: Edits allowed for each character of an item or of a segment.
+EDIT_RATE = 0.15
+#: Characters of a segment of a longer item; item positions of a cell of the grid.
+WINDOW = 66
+#: Diagonals of a cell of the grid; two cells hold a segment's hits.
+CELL = 16
+#: Diagonals of a cell of the bands of single windows; three cells hold a segment's hits.
+FINE = 5
 #: Characters of benchmark items in one pass; a block's index holds 16 bytes for each.
 BLOCK_CHARS = 4_000_000
-#: Characters of documents that are scanned at once in a task; longer documents are cut into
+#: Cells of the grid, and hits, that are held at once in a task; longer documents are cut into
 #: windows that overlap by the longest item.
-SCAN_CHARS = 2_000_000
+GRID = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,14 +70,12 @@ def normal_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram that starts at each position: 8 characters and 4 characters, doubled up."""
-    if len(codes) < Q:
-        return np.zeros(0, np.uint64)
+    """Hash of the q-gram that starts at each position."""
+    h = np.zeros(max(0, len(codes) - Q + 1), np.uint64)
     with np.errstate(over="ignore"):
-        two = codes[:-1] * np.uint64(1_000_003) + codes[1:]
-        four = two[:-2] * np.uint64(998_244_353) + two[2:]
-        eight = four[:-4] * _BASE + four[4:]
-        h = eight[: len(codes) - Q + 1] * _BASE + four[8 : 8 + len(codes) - Q + 1]
+        for k in range(Q):
+            h *= _BASE
+            h += codes[k : k + len(h)]
         return h * _BASE
 
 
@@ -80,30 +90,76 @@ def _trimmed(text: str | None) -> np.ndarray:
     return codes[inner[0] : inner[-1] + 1] if len(inner) else codes[:0]
 
 
+def _words(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _segments(codes: np.ndarray) -> list[tuple[int, int]]:
+    """Start and length of the stretches of an item that are looked for, each once."""
+    m = len(codes)
+    if m < WINDOW:
+        return [(0, m)]
+    starts = {0, *(np.flatnonzero(codes[: m - WINDOW] == 32) + 1).tolist(), m - WINDOW}
+    return [(p, WINDOW) for p in sorted(starts)]
+
+
+def _near(pattern: list[int], region: list[int], e: int) -> bool:
+    """Whether the pattern is within e edits of a part of the region (Myers' bit vectors)."""
+    m = len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    where: dict[int, int] = {}
+    for k, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << k
+    up, down, score = full, 0, m
+    for c in region:
+        eq = where.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | (full & ~(xh | up))
+        mh = up & xh
+        score += 1 if ph & top else -1 if mh & top else 0
+        if score <= e:
+            return True
+        ph, mh = (ph << 1) & full, (mh << 1) & full
+        up, down = mh | (full & ~(xv | ph)), ph & xv
+    return False
+
+
 class Index:
-    """The q-grams of some benchmark items."""
+    """The q-grams and segments of some benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.codes = ids, [_trimmed(t) for t in texts]
         grams = [_grams(c) for c in self.codes]
         sizes = [len(g) for g in grams]
         keys = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams)), sizes)
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)]).astype(np.int64)
+        cells = np.array([-(-n // WINDOW) for n in sizes] or [0])
+        cell = np.repeat(np.cumsum(cells) - cells, sizes) + place // WINDOW
+        self.item_of = np.repeat(np.arange(len(grams)), cells)
         order = np.argsort(keys, kind="stable")
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
-        self.item, self.place = item[order], place[order]
+        self.cell, self.place = cell[order].astype(np.int32), place[order].astype(np.int32)
         self.bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.keys))))) + 6))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.length = np.array([len(c) for c in self.codes] or [0])
         self.edits = np.array([budget(int(m)) for m in self.length])
-        self.bound = np.maximum(1, self.length - Q + 1 - Q * self.edits)
         self.longest = int(self.length.max())
-
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) for each retained and verified region of a normalised text."""
+        self.segments = []
+        for c in self.codes:
+            start, size = np.array(_segments(c)).T
+            edits = np.array([budget(int(m)) for m in size])
+            self.segments.append((start, size, edits, np.maximum(1, size - Q + 1 - Q * edits)))
+        self.bound = np.array([int(s[3].min()) for s in self.segments] or [1])
+        reach = self.bound[self.item_of]
+        self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], 10_000)), 10_000).astype(np.int16)[:, None]  # of the stretch and the next
+        self.short = [(i, " " + _words(c) + " ") for i, c in enumerate(self.codes) if len(c) < Q]
+        self.overlap = self.longest + 2 * int(self.edits.max()) + 2 * CELL + 2
+
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item, start, end, edits, item's characters) for each retained and verified region of a normalised text."""
         grams = _grams(codes)
         if not len(grams) or not len(self.keys):
             return []
@@ -115,77 +171,127 @@ class Index:
         if not len(at):
             return []
         many = self.first[slot + 1] - self.first[slot]
-        pos = np.repeat(at, many)
-        ref = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, place = self.item[ref], self.place[ref]
-        # an item's hits must reach its bound at all before they are dealt to bands
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.bound
-        live = enough[item]
-        pos, item, place = pos[live], item[live], place[live]
-        if not len(pos):
+        total = int(many.sum())
+        if total > GRID and len(codes) > 4 * self.overlap:
+            mid = len(codes) // 2
+            right = [(i, s + mid, e + mid, d, m) for i, s, e, d, m in self.regions(codes[mid:])]
+            return sorted({*self.regions(codes[: mid + self.overlap]), *right})
+        ref = np.repeat((self.first[slot] - np.cumsum(many) + many).astype(np.int32), many)
+        ref += np.arange(total, dtype=np.int32)
+        wide = (len(codes) + self.longest) // CELL + 2
+        diagonal = np.repeat((at + self.longest).astype(np.int32), many)
+        diagonal -= self.place[ref]
+        key = self.cell[ref] * wide
+        key += diagonal // CELL
+        count = np.minimum(np.bincount(key, minlength=len(self.item_of) * wide), 10_000).astype(np.int16).reshape(-1, wide)
+        two = count[:, :-1] + count[:, 1:]
+        two = np.minimum(two, 10_000)
+        both = two.copy()
+        both[:-1] += two[1:]
+        spots = np.flatnonzero(both >= self.reach)
+        if not len(spots):
             return []
-        half = self.edits[item] + 1
-        band = (pos - place + self.longest) // half
-        out, done = [], {}
-        for shift in (0, 1):  # a band covers 2 (e + 1) diagonals and overlaps the next by e + 1
-            key = np.stack([item, (band + shift) // 2, place])
-            one = np.unique(key, axis=1)
-            group, count = np.unique(one[:2], axis=1, return_counts=True)
-            for (i, b), n in zip(group.T, count, strict=True):
-                if n < self.bound[i]:
-                    continue
+        row, column = np.divmod(spots, wide - 1)
+        after = np.minimum(row + 1, len(self.item_of) - 1)
+        marked = np.zeros(count.shape, bool)
+        for r in (row, after):
+            marked[r, column] = marked[r, column + 1] = True
+        live = np.flatnonzero(marked.ravel()[key])
+        ref, diagonal = ref[live], diagonal[live]
+        item, place, out = self.item_of[self.cell[ref]], self.place[ref].astype(np.int64), []
+        for i, low, places in sorted(self.bands(item, place, diagonal), key=lambda x: x[:2]):
+            if any(x[0] == i and x[4] == self.length[i] and abs(d - low) <= 2 * CELL for x, d in out[-4:]):
+                continue
+            if (found := self.verify(i, low - self.longest, places, codes)) is not None:
+                out.append((found, low))
+        return sorted(x for x, _ in out)
+
+    def bands(self, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, first diagonal, item positions) of the bands where a window of item positions reaches the bound."""
+        span, column = self.longest + WINDOW, diagonal // FINE
+        wide = int(column.max()) // 3 + 2
+        for shift in range(3):
+            one = np.sort((item * wide + (column + shift) // 3) * span + place)
+            one = one[np.append(True, one[1:] != one[:-1])]
+            band = one // span
+            many = np.searchsorted(one, one + (WINDOW - Q + 1)) - np.arange(len(one))
+            for g in sorted(set(band[many >= self.bound[band // wide]].tolist())):
+                a, b = np.searchsorted(one, (g * span, (g + 1) * span))
+                yield g // wide, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
+
+    def verify(self, i: int, low: int, places: np.ndarray, codes: np.ndarray) -> tuple[int, int, int, int, int] | None:
+        """The region of item i on the band of diagonals from low on, given the item positions of the hits there."""
+        start, size, edits, bound = self.segments[i]
+        m = int(self.length[i])
+        hit = np.zeros(m + 1, np.int64)
+        hit[places + 1] = 1
+        upto = np.cumsum(hit)
+        shared = upto[start + size - Q + 1] - upto[start]
+        spans = []
+        for j in np.flatnonzero(shared >= bound).tolist():
+            p, n, e = int(start[j]), int(size[j]), int(edits[j])
+            left = max(0, p + low - e)
+            region = codes[left : max(0, p + low + 3 * FINE + n + e)]
+            part = self.codes[i][p : p + n]
+            if not _near(part.tolist(), region.tolist(), e) or (got := _align(part, e, region)) is None:
+                continue
+            if not spans:
                 e = int(self.edits[i])
-                low = (2 * int(b) - shift) * (e + 1) - self.longest
-                near = (int(i), low // (2 * e + 2))
-                if near in done or (near[0], near[1] - 1) in done or (near[0], near[1] + 1) in done:
-                    continue
-                start, end = max(0, low - e), min(len(codes), low + 2 * (e + 1) + e + int(self.length[i]) + e)
-                if (found := self.align(int(i), codes[start:end])) is not None:
-                    done[near] = (int(i), start + found[0], start + found[1], found[2])
-        out.extend(done.values())
-        return sorted(out)
+                side = max(0, low - e)
+                around = codes[side : max(0, low + 3 * FINE + m + e)]
+                if _near(self.codes[i].tolist(), around.tolist(), e) and (whole := self.align(i, around)) is not None:
+                    return i, side + whole[0], side + whole[1], whole[2], m
+            spans.append((got[2] / n, got[2], n, left + got[0], left + got[1]))
+        if not spans:
+            return None
+        _, d, n, _, _ = min(spans)
+        return i, min(s[3] for s in spans), max(s[4] for s in spans), d, n
 
     def align(self, i: int, region: np.ndarray) -> tuple[int, int, int] | None:
         """The best place of item i in a region of few diagonals, as (start, end, edits)."""
-        item, e = self.codes[i], int(self.edits[i])
-        m, n = len(item), len(region)
-        width = n - m + 2 * e + 1  # diagonals -e .. n - m + e
-        if width <= 0:
-            return None
-        for d in range(max(0, n - m + 1)):  # a diagonal without edits needs no further rows
-            if region[d] == item[0] and np.array_equal(region[d : d + m], item):
-                return d, d + m, 0
-        far = m + n
-        steps = np.arange(width)
-        shift = steps - e
-        padded = np.concatenate([np.zeros(e + 1, np.uint64), region, np.zeros(width + m, np.uint64)])
-        row = np.where((shift >= 0) & (shift <= n), 0, far)
-        origin = np.where(row == 0, shift, 0)
-        new, source = np.empty(width, np.int64), np.empty(width, np.int64)
-        for k in range(1, m + 1):
-            # cell s of row k stands for the region's first shift[s] + k characters
-            same = row + (padded[k : k + width] != item[k - 1])
-            low, high = max(0, e + 1 - k), min(width, n + e - k + 1)
-            same[:low], same[high:] = far, far
-            new[:], source[:] = same, origin
-            skip = row[1:] + 1
-            better = skip < same[:-1]
-            new[:-1][better], source[:-1][better] = skip[better], origin[1:][better]
-            lead = new - steps
-            best = np.minimum.accumulate(lead)
-            take = np.maximum.accumulate(np.where(lead == best, steps, 0))
-            row, origin = best + steps, source[take]
-            row[: max(0, e - k)], row[high:] = far, far
-        j = int(np.argmin(row))
-        if row[j] > e:
-            return None
-        return int(origin[j]), int(shift[j] + m), int(row[j])
-
-
-def _windows(codes: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
-    step = max(SCAN_CHARS, 4 * overlap)
+        return _align(self.codes[i], int(self.edits[i]), region)
+
+
+def _align(item: np.ndarray, e: int, region: np.ndarray) -> tuple[int, int, int] | None:
+    """The best place of a string in a region of few diagonals, as (start, end, edits), within e edits."""
+    m, n = len(item), len(region)
+    width = n - m + 2 * e + 1  # diagonals -e .. n - m + e
+    if width <= 0:
+        return None
+    for d in range(max(0, n - m + 1)):  # a diagonal without edits needs no further rows
+        if region[d] == item[0] and np.array_equal(region[d : d + m], item):
+            return d, d + m, 0
+    far = m + n
+    steps = np.arange(width)
+    shift = steps - e
+    padded = np.concatenate([np.zeros(e + 1, np.uint64), region, np.zeros(width + m, np.uint64)])
+    row = np.where((shift >= 0) & (shift <= n), 0, far)
+    origin = np.where(row == 0, shift, 0)
+    new, source = np.empty(width, np.int64), np.empty(width, np.int64)
+    for k in range(1, m + 1):
+        # cell s of row k stands for the region's first shift[s] + k characters
+        same = row + (padded[k : k + width] != item[k - 1])
+        low, high = max(0, e + 1 - k), min(width, n + e - k + 1)
+        same[:low], same[high:] = far, far
+        new[:], source[:] = same, origin
+        skip = row[1:] + 1
+        better = skip < same[:-1]
+        new[:-1][better], source[:-1][better] = skip[better], origin[1:][better]
+        lead = new - steps
+        best = np.minimum.accumulate(lead)
+        take = np.maximum.accumulate(np.where(lead == best, steps, 0))
+        row, origin = best + steps, source[take]
+        row[: max(0, e - k)], row[high:] = far, far
+    j = int(np.argmin(row))
+    if row[j] > e:
+        return None
+    return int(origin[j]), int(shift[j] + m), int(row[j])
+
+
+def _windows(codes: np.ndarray, ix: Index) -> Iterator[tuple[int, np.ndarray]]:
+    step = max(GRID // max(1, len(ix.item_of)) * CELL, 4 * ix.overlap)
     for at in range(0, max(1, len(codes)), step):
-        yield at, codes[at : at + step + overlap]
+        yield at, codes[at : at + step + ix.overlap]
 
 
 _REGION = T.ArrayType(
@@ -194,15 +300,27 @@ _REGION = T.ArrayType(
 
 
 def found_in(text: str, ix: Index) -> list[dict]:
-    """Every verified region of a whole text, each once, at its place in the text itself."""
-    overlap = ix.longest + 2 * int(ix.edits.max()) + 2
+    """Every verified region of a whole text; those of one item that overlap are one, at its place in the text itself."""
     codes, places = normal_codes(text)
-    found = {}
-    for at, window in _windows(codes, overlap):
-        for i, s, e, d in ix.regions(window):
-            spot = {"item_id": ix.ids[i], "start": int(places[at + s]), "end": int(places[at + e - 1]) + 1, "edits": d, "item_chars": int(ix.length[i])}
-            found.setdefault((i, at + s), spot)
-    return list(found.values())
+    found = sorted({(i, at + s, at + e, d, m) for at, window in _windows(codes, ix) for i, s, e, d, m in ix.regions(window)})
+    if ix.short:
+        words = " " + _words(codes) + " "
+        blank = int(words.startswith("  "))
+        words = words[blank:]
+        for i, word in ix.short:
+            at = words.find(word)
+            while at >= 0:
+                s = at + blank
+                found.append((i, s, s + len(word) - 2, 0, len(word) - 2))
+                at = words.find(word, at + 1)
+    out: list[list[int]] = []
+    for i, s, e, d, m in found:
+        if out and out[-1][0] == i and s < out[-1][2]:
+            best = min((-out[-1][4], out[-1][3]), (-m, d))
+            out[-1] = [i, out[-1][1], max(e, out[-1][2]), best[1], -best[0]]
+        else:
+            out.append([i, s, e, d, m])
+    return [{"item_id": ix.ids[i], "start": int(places[s]), "end": int(places[e - 1]) + 1, "edits": d, "item_chars": m} for i, s, e, d, m in out]
 
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
@@ -216,10 +334,10 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's items; items that normalise to fewer than Q characters are left out."""
+    """Indexes of the benchmark's items; items without a letter or digit are left out."""
     ids, texts, held = [], [], 0
     for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
-        if len(_trimmed(r["text"])) < Q:
+        if not len(_trimmed(r["text"])):
             continue
         if ids and held + len(r["text"]) > BLOCK_CHARS:
             yield Index(ids, texts)
@@ -236,8 +354,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Positions are code points of the text. A document without leaks has no row; a null text is
     empty; a null id stays null; repeated rows give repeated results; an empty benchmark or an
-    empty table gives no rows. Items under ``Q`` normalised characters are not looked for. Other
-    columns are ignored.
+    empty table gives no rows. Regions of one item that overlap are one row. ``item_chars`` are the
+    characters of the item that ``edits`` is about: all, or those of the nearest segment where only
+    a part of the item is quoted. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
