@@ -275,6 +275,22 @@ def test_disguises(text, kind, source):
     assert (kind, source) in [(pii.KINDS[k], text[s:e]) for s, k, e in spans]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("call plus one (five five five) one two three.four five six seven", "phone", "plus one (five five five) one two three.four five six seven"),
+        ("write john at example [dot] com", "email", "john at example [dot] com"),
+        ("write john at example (dot) com", "email", "john at example (dot) com"),
+        ("write john at example.com", "email", "john at example.com"),
+        ("to a@mail.example dot com", "email", "a@mail.example dot com"),
+    ],
+)
+def test_mixed_disguises(text, kind, source):
+    test_disguises(text, kind, source)
+    assert pii.all_spans("see it at www.example.com at 3.30", []) == []
+
+
 # 7 packing -----------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,8 @@ Base identifiers (email, ip, card, phone) are found in the text as it stands. Th
 rewrite disguises, keeping for every normalised character the source characters that it stands
 for: homoglyphs and full-width forms become ASCII, invisible characters vanish, "[at]", "(dot)" and
 "name at host dot tld" become @ and ., and runs of spelled digits become digits. The same patterns
-run over the normalised text; a match that covers a rewritten place and overlaps no base span of
-its kind is mapped back to source characters and added.
+run over the normalised text; a match that covers a rewritten place and is longer than every base
+span of its kind that it overlaps is mapped back to source characters and added.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HOMOGLYPHS = {
 }
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Spelled digits in a row from which a run is rewritten.
+#: Spelled digits in a row from which a run is rewritten anywhere; shorter runs are where they touch a sign or digits.
 LEAST_RUN = 4
 
 
@@ -46,13 +46,18 @@ def _lookalikes() -> dict[str, str]:
 _LOOKS = _lookalikes()
 _ODD_CHARS = frozenset(_LOOKS) | frozenset(INVISIBLE)
 _ONE = "|".join(DIGIT_WORDS)
+_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)"
+_HOST_AHEAD = rf"(?=(?!www\.)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2}})"
 _SIGN = re.compile(
     r"\s*[\[({<]\s*(?P<sign>at|dot|@|\.)\s*[\])}>]\s*"
     r"|(?<=[A-Za-z0-9._%+-])(?P<at>\s+at\s+)(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)"
+    rf"|(?<=[A-Za-z0-9._%+-])(?P<mixed>\s+at\s+){_HOST_AHEAD}"
     r"|(?<=[A-Za-z0-9-])(?P<dot>\s+dot\s+)(?=[A-Za-z0-9-])"
-    rf"|(?<![A-Za-z0-9])(?P<plus>plus[\s-]+)?(?P<run>(?:{_ONE})(?:[\s,-]{{1,2}}(?:{_ONE})){{{LEAST_RUN - 1},}})(?![A-Za-z0-9])",
+    rf"|(?<![A-Za-z0-9])(?P<plus>plus[\s-]+)?(?P<run>(?:{_ONE})(?:[\s,-]{{1,2}}(?:{_ONE}))*)(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
+_BEFORE_RUN = re.compile(r"(?:\bdot|[0-9.+()\[\]-])[\s\])}>(]*\Z", re.IGNORECASE)
+_AFTER_RUN = re.compile(r"[\s\[({<)-]*(?:dot\b|[0-9.()\[-])", re.IGNORECASE)
 _DIGIT_WORD = re.compile(_ONE, re.IGNORECASE)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
 
@@ -142,6 +147,9 @@ def normalised(text: str) -> tuple[str, list[int], list[int], list[int]]:
         at = upto
 
     for m in _SIGN.finditer(flat):
+        if m["run"] and not m["plus"] and len(_DIGIT_WORD.findall(m["run"])) < LEAST_RUN:
+            if not _BEFORE_RUN.search(flat, max(0, m.start() - 12), m.start()) and not _AFTER_RUN.match(flat, m.end()):
+                continue
         copy(m.start())
         while nxt is not None and nxt < m.end():
             nxt = next(old, None)
@@ -149,7 +157,7 @@ def normalised(text: str) -> tuple[str, list[int], list[int], list[int]]:
             pieces = [("+", m.start(), m.start("run"))] if m["plus"] else []
             pieces += [(DIGIT_WORDS[d[0].lower()], d.start(), d.end()) for d in _DIGIT_WORD.finditer(flat, m.start("run"), m.end("run"))]
         else:
-            pieces = [("@" if m["at"] or (m["sign"] or "").lower() in ("at", "@") else ".", m.start(), m.end())]
+            pieces = [("@" if m["at"] or m["mixed"] or (m["sign"] or "").lower() in ("at", "@") else ".", m.start(), m.end())]
         for c, a, b in pieces:
             c_out.append(len(s_out))
             text_out.append(c)
@@ -160,8 +168,8 @@ def normalised(text: str) -> tuple[str, list[int], list[int], list[int]]:
     return "".join(text_out), s_out, e_out, c_out
 
 
-_HINTS = ("dot", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "one one")
-_HINT_WORD = re.compile(r"(?<![a-z0-9])(?:dot|two|three|four|five|six|seven|eight|nine|zero|one[\s,-]+one)(?![a-z0-9])")
+_HINTS = ("dot", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "one", "oh", " at ")
+_HINT_WORD = re.compile(r"(?<![a-z0-9])(?:dot|two|three|four|five|six|seven|eight|nine|zero|one|oh)(?![a-z0-9])|\sat\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}")
 
 
 def _disguised(text: str) -> bool:
@@ -183,7 +191,7 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         k = next((j for j in range(k, len(marks)) if marks[j] >= s), len(marks))
         if k < len(marks) and marks[k] < e:
             a, b = starts[s], ends[e - 1]
-            if not any(kk == kind and x < b and a < y for x, kk, y in base):
+            if not any(kk == kind and x < b and a < y and y - x >= b - a for x, kk, y in base):
                 extra.append((a, kind, b))
     return sorted({*base, *extra})
 
