@@ -165,6 +165,7 @@ def test_mixing(spark):
 
 
 def brute_components(rows):
+    """(id, set size, component) of each row; the component is the least id of the rows it reaches."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
@@ -181,48 +182,95 @@ def brute_components(rows):
             k = root[k]
         return k
 
-    for k, s in enumerate(sets):
-        for j in {j for g in s for j in having[g] if j < k}:
-            both = len(s & sets[j])
-            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
-                root[find(k)] = find(j)
+    several = [ks for ks in having.values() if len(ks) > 1]
+    table = np.zeros((len(rows), len(several)), np.float32)
+    for c, ks in enumerate(several):
+        table[ks, c] = 1
+    both, size = table @ table.T, np.array([len(s) for s in sets])
+    for k, j in zip(*np.nonzero((both > 0) & (100 * both >= 80 * (size[:, None] + size[None, :] - both))), strict=True):
+        root[find(k)] = find(j)
     least = {}
     for k, (i, _) in enumerate(rows):
-        least[find(k)] = min(least.get(find(k), i), i)
-    return sorted((rows[k][0], len(sets[k]), least[find(k)]) for k in range(len(rows)))
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(rows[k][0], len(sets[k]), least.get(find(k)), find(k)) for k in range(len(rows))]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def near_copies(rng):
+    passage = [f"p{i}" for i in range(60)]
+    base, rows = [f"b{i}" for i in range(150)], []
+    for k in range(220):  # near copies at about the bound, of several lengths
+        w = list(base[: rng.choice([150, 150, 120, 110])])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(50)}"
+        rows.append((k, " ".join(w)))
+    for k in range(220, 330):  # texts that are mostly the common passage
+        rows.append((k, " ".join(passage + [f"u{k}_{i}" for i in range(rng.randint(0, 30))])))
+    return rows + [(k, rows[3][1]) for k in range(330, 420)]
+
+
+def repeated_ids():
+    """Ids that occur with several texts, and null ids, some of them in groups."""
+    word = [[f"{c}{i}" for i in range(40)] for c in "abcdef"]
+    near = lambda w: " ".join(w[:-1] + ["end"])
+    full = [" ".join(w) for w in word]
+    return [
+        (3, full[0]), (3, full[1]), (1, near(word[1])), (4, full[2]), (1, near(word[2])), (2, near(word[0])), (5, full[3]), (5, near(word[3])),
+        (None, full[4]), (9, near(word[4])), (None, full[5]), (None, full[5]), (None, near(word[5])), (None, None), (None, ""), (7, "one two"), (8, "One  TWO"),
+    ]
+
 
+def template_group(rng):
+    """Many texts of one template with words changed in a few places, most pairs at just under or over the bound."""
+    base, rows = [f"t{i}" for i in range(120)], []
+    for k in range(2000):
+        w = list(base)
+        for j in rng.sample(range(0, 120, 6), rng.randint(0, 5)):
+            w[j] = f"v{rng.randrange(3)}"
+        rows.append((k, " ".join(w)))
+    return rows
 
-@pytest.mark.parametrize("case", ["sf0.01", "hot", "odd"])
+
+@pytest.mark.parametrize("case", ["sf0.01", "hot", "odd", "repeated ids", "template"])
 def test_similar_documents_like_brute_force(spark, case):
     if case == "sf0.01":
         docs = documents(spark, "/root/testdata/sf0.01")
     elif case == "odd":
         docs = odd_documents(spark)
     else:
-        rng = random.Random(9)
-        passage = [f"p{i}" for i in range(60)]
-        base, rows = [f"b{i}" for i in range(150)], []
-        for k in range(220):  # near copies at about the bound, of several lengths
-            w = list(base[: rng.choice([150, 150, 120, 110])])
-            for _ in range(rng.randint(0, 5)):
-                w[rng.randrange(len(w))] = f"n{rng.randrange(50)}"
-            rows.append((k, " ".join(w)))
-        for k in range(220, 330):  # texts that are mostly the common passage
-            rows.append((k, " ".join(passage + [f"u{k}_{i}" for i in range(rng.randint(0, 30))])))
-        rows += [(k, rows[3][1]) for k in range(330, 420)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("doc_id is not null").collect()]
+        made = {"hot": lambda: near_copies(random.Random(9)), "repeated ids": repeated_ids, "template": lambda: template_group(random.Random(11))}[case]()
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute_components(rows)
     got = jaccard_join.similar_documents(docs)
-    assert got.count() == docs.count()
-    assert sorted(map(tuple, got.where("doc_id is not null").collect())) == brute_components(rows)
+    assert ordered(map(tuple, got.collect())) == ordered(w[:3] for w in want)
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    heads = {c for _, n, c in brute_components(rows)}
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(heads)
+    groups = defaultdict(list)
+    for i, n, _, root in want:
+        if n:
+            groups[root].append(i)
+    heads = [min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values()] + [i for i, n, _, _ in want if not n]
+    assert ordered((r.doc_id,) for r in kept.select("doc_id").collect()) == ordered((i,) for i in heads)
+
+
+def test_keep_one_of_odd_columns(spark):
+    schema = "doc_id long, text string, `__row` int, h string, g long, row string, `a.b` map<string,int>, sig long, n int, root long"
+    rows = [(i, t, 1, None, 2, "r", {"k": 1}, 3, 4, 5) for i, t in repeated_ids()]
+    docs = spark.createDataFrame(rows + rows[:3], schema)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.schema == docs.schema
+    plain = jaccard_join.keep_one(docs.select("doc_id", "text"))
+    assert ordered(map(tuple, kept.select("doc_id").collect())) == ordered(map(tuple, plain.select("doc_id").collect()))
 
 
 def test_similar_documents_empty(spark):
     assert jaccard_join.similar_documents(empty_documents(spark)).count() == 0
+    assert jaccard_join.keep_one(empty_documents(spark)).count() == 0
 
 
 # 6 personal data -----------------------------------------------------------------------------------

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session sets none (tests in local mode) is a temporary folder used.
+    Where the session sets none, a local session (tests) gets a temporary folder; on a cluster that
+    would be a disk of one machine, so it is refused.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = spark.conf.get("tidemark.local.shared", None)
     if fallback is None:
         fallback = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -28,7 +33,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and a plan that
-    uses the table several times computes it once.
+    uses the table several times computes it once. A join of two such tables is also one that
+    adaptive execution can split where a key is hot.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -38,3 +44,33 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def identity(df: DataFrame) -> list[Column]:
+    """``h, g``: two 64-bit hashes of a whole row, nulls told apart from their neighbours.
+
+    Rows equal in every column, and only those, are equal in both.
+    """
+    parts = []
+    for f in df.schema.fields:
+        c = named(f.name)
+        parts += [F.to_json(F.struct(c)) if _has_map(f.dataType) else c, c.isNull()]
+    return [F.xxhash64(F.lit(k), *parts).alias(n) for k, n in enumerate(("h", "g"))]
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``df`` as one, so that their names clash with nothing), ``h, g``."""
+    return df.select(F.struct(*map(named, df.columns)).alias("row"), *identity(df))

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its distinct 5-word shingles. Documents with equal sets form one class and
-count once. Two classes link when their Jaccard similarity is at least ``SIMILAR`` percent.
+A document is the set of its distinct 5-word shingles. Documents with equal sets form one class,
+named by a 64-bit hash of the set, and count once. Two classes link when their Jaccard similarity
+is at least ``SIMILAR`` percent.
 
 Filters, all exact (each is implied by the similarity bound, so no link is lost):
 
@@ -12,24 +13,31 @@ Filters, all exact (each is implied by the similarity bound, so no link is lost)
 2. *Prefixes under three global token orders*: rarest first, ascending hash, descending hash. With
    p = n - ceil(0.8 n) + 1, two linking sets share a token of their p-prefixes under every order.
    The rarest-first order makes the candidates, within bounds on the sizes and on the tokens that
-   come before the common one; the other two orders must agree before a pair is verified.
+   come before the common one. Those are intersected with the other two orders on 16-bit parts of
+   the prefixes' tokens, and only what is left is verified on whole sets.
 
 Large groups don't make all pairs. In each list of classes that share a prefix token, a pivot is
-compared with the others, in a few rounds with other pivots; what links is contracted. Only pairs
-that still lie in different components are formed in the end, each with a member outside its list's
-largest component, so every link between components is found exactly.
+compared with the others, in a few rounds with other pivots; what links is contracted, and lists
+whose members have all met in one component are done. Only pairs that still lie in different
+components are formed in the end, each with a member outside its list's largest component, so every
+link between components is found exactly.
+
+Hot keys (a set or a token in a third of all rows) are combined before the shuffle where they are
+counted; where they are joined, both sides are written tables, so that adaptive execution splits
+the key's partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import identified, identity, staged
 
 #: Words in a shingle.
 WORDS = 5
@@ -40,8 +48,6 @@ SIMILAR = 80
 SHARE, SMALL = 0.3, 64
 #: Rounds in which each list compares one pivot with its other components.
 PIVOT_ROUNDS = 3
-#: Ids up to which a survivors' list is broadcast (8 bytes each); above, it is joined by shuffle.
-BROADCAST_IDS = 500_000
 
 _LOW = np.uint64(int(SHARE * 2**64))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,62 +87,72 @@ def _signature(tokens: np.ndarray) -> int:
         return int(_mix(np.array([folded]))[0].astype(np.int64))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, sig, low``: the last has the shingles that the first filter compares.
+_PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("lead", T.ArrayType(T.ShortType())), T.StructField("trail", T.ArrayType(T.ShortType()))])
+
+
+@F.pandas_udf(_PROFILE)
+def _profile(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    low = [s if len(s) <= SMALL * 5 // 4 else s[: np.searchsorted(s, _LOW)] for s in sets]
+    return pd.DataFrame({"n": [len(s) for s in sets], "sig": [_signature(s) for s in sets], "low": [x.astype(np.int64) for x in low]})
 
-    Rows without an id are left out. Rows that repeat an id give a profile each.
-    """
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            sets = [shingle_set(t) for t in pdf["text"]]
-            low = [s if len(s) <= SMALL * 5 // 4 else s[: np.searchsorted(s, _LOW)] for s in sets]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_shingles": [len(s) for s in sets],
-                "sig": [_signature(s) for s in sets],
-                "low": [x.astype(np.int64) for x in low],
-            })
+@F.pandas_udf(_SETS)
+def _whole_set(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    short = [(s & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16) for s in sets]  # equal for equal tokens
+    size = [prefix_length(len(s)) for s in sets]
+    return pd.DataFrame({
+        "tokens": [s.astype(np.int64) for s in sets],
+        "lead": [np.unique(c[:p]) for c, p in zip(short, size, strict=True)],
+        "trail": [np.unique(c[-p:]) for c, p in zip(short, size, strict=True)],
+    })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInPandas(work, "doc_id long, n_shingles long, sig long, low array<long>")
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, h, g`` of every row; the last two are hashes of the whole row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *identity(docs))
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, g, n, sig, low`` of every row: the set's size and 64-bit name, and the shingles
+    that the first filter compares."""
+    return _rows(docs).select("doc_id", "h", "g", _profile("text").alias("p")).select("doc_id", "h", "g", "p.*")
 
 
-def _survivors(profile: DataFrame) -> DataFrame:
-    """``sig, n, cid``: classes that may link with another; cid is the least id of the class."""
+def _classes(profile: DataFrame) -> DataFrame:
+    """``sig, n, least, first``: a class for each different set, its least id (null where all are)
+    and one of its rows. Copies are combined before the shuffle."""
+    each = profile.where("n > 0").groupBy("sig")
+    return each.agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("h", "g")).alias("first"))
+
+
+def _survivors(profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sig, n, h, g``: the classes that may link with another, and a row of each."""
     # signed values below _LOW, read as unsigned, are the non-negative ones below it
     low_bound = int(_LOW)
-    shown = profile.where("n_shingles > 0").select("sig", F.col("n_shingles").alias("n"), F.explode("low").alias("token"))
+    shown = profile.where("n > 0").select("sig", "n", F.explode("low").alias("token"))
     own = (
         shown.groupBy("token")
         .agg(F.min("sig").alias("sig"), F.max("sig").alias("other"), F.max("n").alias("n"))
         .where(F.col("sig") == F.col("other"))
         .where((F.col("n") <= SMALL) | F.col("token").between(0, low_bound - 1))
-        .groupBy("sig", "n")
+        .groupBy("sig")
         .agg(F.count(F.lit(1)).alias("own"))
     )
-    classes = profile.where("n_shingles > 0").groupBy("sig", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("cid"))
-    return (
-        classes.join(own, ["sig", "n"], "left")
-        .where(F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - SIMILAR))
-        .select("sig", "n", "cid")
-    )
+    may = F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - SIMILAR)
+    return classes.join(own, "sig", "left").where(may).select("sig", "n", "first.h", "first.g")
 
 
 def _full_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """``cid, n, tokens`` (ascending as unsigned values) of each surviving class."""
-    ids = survivors.select(F.col("cid").alias("doc_id"), F.col("sig"), F.col("n"))
-    if survivors.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """``sig, n, tokens, lead, trail`` of each surviving class.
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            sets = [shingle_set(t) for t in pdf["text"]]
-            keep = [i for i, s in enumerate(sets) if _signature(s) == pdf["sig"].iat[i]]  # an id may repeat with other texts
-            yield pd.DataFrame({"cid": pdf["doc_id"].iloc[keep], "n": pdf["n"].iloc[keep], "tokens": [sets[i].astype(np.int64) for i in keep]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return rows.join(ids, "doc_id").mapInPandas(work, "cid long, n long, tokens array<long>")
+    ``tokens`` ascend as unsigned values; ``lead`` and ``trail`` are 16-bit parts of the prefixes
+    under the ascending and the descending order.
+    """
+    found = _rows(docs).join(survivors, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
+    return found.select("sig", "n", "s.*").dropDuplicates(["sig"])  # a row may be repeated as it is
 
 
 def prefix_length(n):
@@ -145,20 +161,20 @@ def prefix_length(n):
 
 
 def _rare_prefixes(sets: DataFrame) -> DataFrame:
-    """``token, cid, n, pos``: prefixes under the order (classes that have the token, token).
+    """``token, sig, n, pos``: prefixes under the order (classes that have the token, token).
 
     ``pos`` is the token's place in its set, from 0. Tokens of one class come first in that order
     and match nothing, so they only use up places.
     """
-    each = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    each = sets.select("sig", "n", F.explode("tokens").alias("token"))
+    often = staged(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token-counts")
+    shared = each.join(often, "token").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     own = F.col("n") - F.size("ranked")
     room = prefix_length(F.col("n")) - own
     return (
         shared.where(room > 0)
-        .select("cid", "n", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("k", "r"))
-        .select(F.col("r.token").alias("token"), "cid", "n", (F.col("own") + F.col("k")).alias("pos"))
+        .select("sig", "n", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("k", "r"))
+        .select(F.col("r.token").alias("token"), "sig", "n", (F.col("own") + F.col("k")).alias("pos"))
     )
 
 
@@ -174,37 +190,41 @@ def _may_link(n_a, n_b, pos_a, pos_b):
     return by_size & common & ((pos_a + pos_b) * (100 + SIMILAR) <= (n_a + n_b) * (100 - SIMILAR))
 
 
+def _both_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with the given columns of either class, named by ``_a`` and ``_b``."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sig").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of those pairs that pass the size bound, both hash orders and the count itself."""
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    p_a, p_b = prefix_length(F.col("n_a")).cast("int"), prefix_length(F.col("n_b")).cast("int")
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR)
-        .where(F.arrays_overlap(F.slice("t_a", F.lit(1), p_a), F.slice("t_b", F.lit(1), p_b)))
-        .where(F.arrays_overlap(F.slice("t_a", -p_a, p_a), F.slice("t_b", -p_b, p_b)))
-        .where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * SIMILAR)
-        .select("a", "b")
-    )
+    """``a, b`` of those pairs that link.
+
+    The pairs, which share a token of their rarest-first prefixes, are cut down to those that also
+    share one under both hash orders. Only then do whole sets travel, and common tokens are counted.
+    """
+    pairs = staged(pairs, "candidates")
+    ends = _both_ends(pairs, sets, "lead", "trail")
+    near = staged(ends.where(F.arrays_overlap("lead_a", "lead_b") & F.arrays_overlap("trail_a", "trail_b")).select("a", "b"), "intersected")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    whole = _both_ends(near, sets, "n", "tokens").withColumn("both", both)
+    return staged(whole.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * SIMILAR).select("a", "b"), "verified")
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """``cid, comp``: the least vertex that each of ``vertices`` (cid) reaches over ``links`` (a, b).
+    """``sig, comp``: the least vertex that each of ``vertices`` (sig) reaches over ``links`` (a, b).
 
     Each round hooks every vertex to its least neighbour, follows hooks once, and contracts the
     links to the vertices they lead to; rounds grow with the logarithm of a component's length.
     """
-    label = staged(vertices.select("cid", F.col("cid").alias("comp")), "labels")
+    label = staged(vertices.select("sig", F.col("sig").alias("comp")), "labels")
     live = staged(links.where("a <> b").select("a", "b").distinct(), "links")
     while not live.isEmpty():
         ends = live.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(live.select(F.col("b").alias("v"), F.col("a").alias("w")))
         hook = staged(ends.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("to")), "hooks")
         onward = hook.select(F.col("v").alias("to"), F.col("to").alias("further"))
         jump = staged(hook.join(onward, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "jumps")
-        label = staged(label.join(jump, F.col("comp") == F.col("v"), "left").select("cid", F.coalesce("to", "comp").alias("comp")), "labels")
+        label = staged(label.join(jump, F.col("comp") == F.col("v"), "left").select("sig", F.coalesce("to", "comp").alias("comp")), "labels")
         moved_a = live.join(jump.select(F.col("v").alias("a"), F.col("to").alias("a_to")), "a").select("a_to", "b")
         moved = moved_a.join(jump.select(F.col("v").alias("b"), F.col("to").alias("b_to")), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         live = staged(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
@@ -212,19 +232,21 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def class_components(sets: DataFrame, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """``cid, comp`` for every class in ``sets`` (cid, n, tokens)."""
+    """``sig, comp`` for every class in ``sets`` (sig, n, tokens, lead, trail)."""
     lists = staged(_rare_prefixes(sets), "prefixes")
-    comp = sets.select("cid", F.col("cid").alias("comp"))
+    comp = sets.select("sig", F.col("sig").alias("comp"))
     for k in range(pivot_rounds):
-        here = lists.join(comp, "cid") if k else lists.withColumn("comp", F.col("cid"))
+        here = staged(lists.join(comp, "sig"), "lists") if k else lists.withColumn("comp", F.col("sig"))
         pivot = here.groupBy("token").agg(
-            F.min_by(F.struct("cid", "comp", "n", "pos"), _centrality(k)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        ).where("lo <> hi")
+            F.min_by(F.struct("sig", "comp", "n", "pos"), _centrality(k)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        )
+        pivot = staged(pivot.where("lo <> hi").select("token", "p"), "pivots")
         if pivot.isEmpty():
             return comp
-        met = here.join(pivot, "token").where("comp <> p.comp").where(_may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
-        pairs = met.select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        lists = staged(here.join(pivot, "token").select("token", "sig", "n", "pos", "comp", "p"), "open-lists")
+        met = lists.where("comp <> p.comp").where(_may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
+        pairs = met.select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
+        lists = lists.select("token", "sig", "n", "pos")
         comp = _joined(comp, _verified(pairs, sets))
     return _joined(comp, _verified(_open_pairs(lists, comp), sets))
 
@@ -234,66 +256,83 @@ def _centrality(k: int):
     the common token, which few others can share; then a hash of round and token, so that a class
     meets another pivot in each of its lists."""
     if k == 0:
-        return F.struct((F.col("pos") / F.col("n")).alias("before"), F.xxhash64("cid").alias("h"), "cid")
-    return F.struct(F.xxhash64("cid", "token", F.lit(k)).alias("h"), "cid")
+        return F.struct((F.col("pos") / F.col("n")).alias("before"), F.xxhash64("sig").alias("x"), "sig")
+    return F.struct(F.xxhash64("sig", "token", F.lit(k)).alias("x"), "sig")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` after the components at both ends of each link have become one."""
-    ends = links.join(comp.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(
-        comp.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b"
-    )
-    merged = components(comp.select(F.col("comp").alias("cid")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return staged(comp.join(merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root")), "comp").select("cid", F.col("root").alias("comp")), "components")
+    if links.isEmpty():
+        return comp
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(comp.select(F.col("sig").alias(end), F.col("comp").alias(f"c{end}")), end)
+    ends = staged(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "component-links")
+    touched = ends.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    merged = components(touched, ends).select(F.col("sig").alias("comp"), F.col("comp").alias("root"))
+    return staged(comp.join(merged, "comp", "left").select("sig", F.coalesce("root", "comp").alias("comp")), "components")
 
 
 def _open_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of one list whose components differ; one of them lies outside the list's largest."""
-    here = lists.join(comp, "cid")
+    """Pairs of one list whose components differ; one of them lies outside the list's largest.
+
+    Sizes of linking sets lie in the same or in neighbouring bands of a factor of 100 / SIMILAR, so
+    bands are part of the key, and a list is dealt over as many keys as it has bands.
+    """
+    here = staged(lists.join(comp, "sig"), "lists")
     parts = here.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    here = staged(here.join(main, "token").select("token", "cid", "comp", "n", "pos", (F.col("comp") == F.col("main")).alias("is_main")), "open")
-    minor = here.where("NOT is_main").select("token", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    others = here.select("token", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"), "is_main")
+    main = staged(main.select("token", "main"), "main-components")
+    band = F.floor(F.log("n") / math.log(100 / SIMILAR)).cast("int")
+    here = staged(here.join(main, "token").select("token", "sig", "comp", "n", "pos", band.alias("band"), (F.col("comp") == F.col("main")).alias("is_main")), "open")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    minor = here.where("NOT is_main").select("token", F.col("sig").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"), near)
+    others = here.select("token", F.col("sig").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"), "is_main", "band")
     may = _may_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"))
-    found = minor.join(others, "token").where(F.expr("cx <> cy AND (is_main OR x < y)") & may)
+    found = minor.join(others, ["token", "band"]).where(F.expr("cx <> cy AND (is_main OR x < y)") & may)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, g, n, root, component_id`` of every row; rows of one root are one group."""
+    profile = staged(profiles(docs), "profiles")
+    classes = staged(_classes(profile), "classes")
+    survivors = staged(_survivors(profile, classes), "survivors")
+    sets = staged(_full_sets(docs, survivors), "sets")
+    comp = class_components(sets)
+    known = classes.select("sig", "least").join(comp, "sig", "left").select("sig", "least", F.coalesce("comp", "sig").alias("root"))
+    known = staged(known, "class-roots")
+    roots = staged(known.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    labels = staged(known.select("sig", "root").join(roots, "root"), "class-labels")
+    return profile.select("doc_id", "h", "g", "n", "sig").join(labels, "sig", "left")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     ``component_id`` is the least id that the document reaches over links, itself included. A text
     that is null or has no words has 0 shingles and links with nothing: its component is its own
-    id. A row without an id gets a null component. Repeated rows come out repeated; an id that
-    occurs with several texts is in one component with what any of them links to only through the
-    row concerned. An empty table gives an empty one; other columns are ignored.
+    id. Rows without an id take part as the others do: theirs is the least id of their group, null
+    where no row of it has one. Repeated rows come out repeated; an id that occurs with several
+    texts is as many documents, each in its own group. An empty table gives an empty one; other
+    columns are ignored, whatever their names.
     """
-    profile = staged(profiles(docs), "profiles")
-    survivors = staged(_survivors(profile), "survivors")
-    sets = staged(_full_sets(docs, survivors).dropDuplicates(["cid", "n"]), "sets")
-    comp = class_components(sets)
-    classes = profile.where("n_shingles > 0").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("cid"))
-    found = profile.select("doc_id", "n_shingles", "sig").join(classes, ["sig", "n_shingles"], "left").join(comp, "cid", "left")
-    known = found.select("doc_id", "n_shingles", F.coalesce("comp", "cid", "doc_id").alias("component_id"))
-    unnamed = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return known.unionByName(unnamed)
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, less all but one document of each group.
+    """The rows of ``docs``, all columns, less all but one row of each group.
 
-    The document with the least id stays. Rows without an id stay. Of rows that repeat an id, one
-    of each different text stays.
+    The row with the least id stays (a null id comes last; then the least hash of the row). Rows
+    whose text is null or has no words are in no group: all stay. An empty table gives an empty one.
     """
-    found = staged(similar_documents(docs).where("doc_id IS NOT NULL"), "groups")
-    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("k")).where("least = doc_id")
-    once = docs.join(ids.where("k = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    unnamed = docs.where("doc_id IS NULL")
-    repeated = ids.where("k > 1").select("doc_id")
-    if repeated.isEmpty():
-        return once.unionByName(unnamed)
-    several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    several = several.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return once.unionByName(several).unionByName(unnamed)
+    found = staged(_grouped(docs).where("n > 0").select("doc_id", "h", "g", "root"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "g")).alias("w")
+    winners = staged(found.groupBy("root").agg(first).select("w.h", "w.g"), "winners")
+    drops = staged(found.join(winners, ["h", "g"], "left_anti").select("h", "g").distinct(), "drops")
+    again = staged(found.join(winners, ["h", "g"], "left_semi").groupBy("h", "g").count().where("count > 1").select("h", "g"), "repeated")
+    kept = identified(docs).join(drops, ["h", "g"], "left_anti")
+    if not again.isEmpty():  # rows repeated as they are
+        once = kept.join(again, ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+        kept = kept.join(again, ["h", "g"], "left_anti").unionByName(once)
+    return kept.select("row.*")
