@@ -48,6 +48,9 @@ SIMILAR = 80
 SHARE, SMALL = 0.3, 64
 #: Rounds in which each list compares one pivot with its other components.
 PIVOT_ROUNDS = 3
+#: Surviving classes up to which their list (24 bytes each) is broadcast to the texts. Beyond, both
+#: sides are shuffled, and Spark's runtime Bloom filter thins the texts out before that.
+BROADCAST_CLASSES = 500_000
 
 _LOW = np.uint64(int(SHARE * 2**64))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +154,10 @@ def _full_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     ``tokens`` ascend as unsigned values; ``lead`` and ``trail`` are 16-bit parts of the prefixes
     under the ascending and the descending order.
     """
-    found = _rows(docs).join(survivors, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
+    wanted = survivors.where("n > 0")
+    if survivors.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    found = _rows(docs).join(wanted, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
     return found.select("sig", "n", "s.*").dropDuplicates(["sig"])  # a row may be repeated as it is
 
 
