@@ -339,6 +339,22 @@ def test_mixed_disguises(text, kind, source):
     assert pii.all_spans("see it at www.example.com at 3.30", []) == []
 
 
+def test_disguises_in_long_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    for text in ("two dot x" + " " * 1_000_000, "a at b" + " " * 1_000_000 + "[at] c", "one two three four 1.2.3.4 " * 20_000, "a at b dot com " * 20_000, "( at " * 100_000):
+        pii.all_spans(text, pii.base_spans(text))
+    assert time.time() - start < 30
+
+
+def test_span_rows(spark):
+    docs = spark.createDataFrame([(1, "x a@b.de, 1.2.3.4"), (2, None), (None, "a@b.de"), (None, "a@b.de")], "doc_id long, text string").selectExpr("*", "1 AS kind", "2 AS start", "3 AS s")
+    got = ordered(map(tuple, pii.span_rows(docs).collect()))
+    assert got == ordered([(1, "email", 2, 8), (1, "ip", 10, 17), (None, "email", 0, 6), (None, "email", 0, 6)])
+    assert pii.span_rows(docs.limit(0)).count() == 0
+
+
 # 7 packing -----------------------------------------------------------------------------------------
 
 

@@ -49,7 +49,7 @@ _ONE = "|".join(DIGIT_WORDS)
 _DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)"
 _HOST_AHEAD = rf"(?=(?!www\.)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2}})"
 _SIGN = re.compile(
-    r"\s*[\[({<]\s*(?P<sign>at|dot|@|\.)\s*[\])}>]\s*"
+    r"[\[({<]\s*(?P<sign>at|dot|@|\.)\s*[\])}>]\s*"  # white space before it is taken in by walking left
     r"|(?<=[A-Za-z0-9._%+-])(?P<at>\s+at\s+)(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)"
     rf"|(?<=[A-Za-z0-9._%+-])(?P<mixed>\s+at\s+){_HOST_AHEAD}"
     r"|(?<=[A-Za-z0-9-])(?P<dot>\s+dot\s+)(?=[A-Za-z0-9-])"
@@ -150,14 +150,17 @@ def normalised(text: str) -> tuple[str, list[int], list[int], list[int]]:
         if m["run"] and not m["plus"] and len(_DIGIT_WORD.findall(m["run"])) < LEAST_RUN:
             if not _BEFORE_RUN.search(flat, max(0, m.start() - 12), m.start()) and not _AFTER_RUN.match(flat, m.end()):
                 continue
-        copy(m.start())
+        first = m.start()
+        while m["sign"] and first > at and flat[first - 1].isspace():
+            first -= 1
+        copy(first)
         while nxt is not None and nxt < m.end():
             nxt = next(old, None)
         if m["run"]:
             pieces = [("+", m.start(), m.start("run"))] if m["plus"] else []
             pieces += [(DIGIT_WORDS[d[0].lower()], d.start(), d.end()) for d in _DIGIT_WORD.finditer(flat, m.start("run"), m.end("run"))]
         else:
-            pieces = [("@" if m["at"] or m["mixed"] or (m["sign"] or "").lower() in ("at", "@") else ".", m.start(), m.end())]
+            pieces = [("@" if m["at"] or m["mixed"] or (m["sign"] or "").lower() in ("at", "@") else ".", first, m.end())]
         for c, a, b in pieces:
             c_out.append(len(s_out))
             text_out.append(c)
@@ -184,15 +187,25 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     """Base spans and those found behind disguises."""
     if not _disguised(text):
         return base
-    flat, starts, ends, changed = normalised(text)
-    marks, extra = changed, []
-    k = 0
+    flat, starts, ends, marks = normalised(text)
+    extra, k = [], 0
+    kinds = [[(x, y) for x, kind, y in base if kind == j] for j in range(len(KINDS))]  # in order, without overlap
+    at = [0] * len(KINDS)
     for s, kind, e in base_spans(flat):
-        k = next((j for j in range(k, len(marks)) if marks[j] >= s), len(marks))
-        if k < len(marks) and marks[k] < e:
-            a, b = starts[s], ends[e - 1]
-            if not any(kk == kind and x < b and a < y and y - x >= b - a for x, kk, y in base):
-                extra.append((a, kind, b))
+        while k < len(marks) and marks[k] < s:
+            k += 1
+        if k == len(marks) or marks[k] >= e:
+            continue
+        a, b = starts[s], ends[e - 1]
+        known, j = kinds[kind], at[kind]
+        while j < len(known) and known[j][1] <= a:
+            j += 1
+        at[kind] = j  # spans of a kind come in order too
+        longest = 0
+        while j < len(known) and known[j][0] < b:
+            longest, j = max(longest, known[j][1] - known[j][0]), j + 1
+        if longest < b - a:
+            extra.append((a, kind, b))
     return sorted({*base, *extra})
 
 
@@ -223,7 +236,7 @@ def _find(texts: pd.Series) -> pd.DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row.
 
-    The counts are of all spans. A null text is empty: no spans. Null ids stay null, repeated rows
+    The counts are of all spans. Texts are read whole, in time linear in their length. A null text is empty: no spans. Null ids stay null, repeated rows
     are repeated, an empty table gives an empty one, other columns are ignored.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _find(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("f"))
@@ -231,7 +244,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, start, end``: one row for each span."""
+    """``doc_id, kind, start, end``: one row for each span, in the source's code points.
+
+    Texts without spans, null ones too, have no row; null ids stay null, repeated rows give repeated
+    rows, an empty table gives an empty one, other columns are ignored.
+    """
     each = personal_data(docs).where("spans <> ''").select("doc_id", F.explode(F.split("spans", ",")).alias("s"))
     part = F.split("s", ":")
     return each.select("doc_id", part[0].alias("kind"), part[1].cast("long").alias("start"), part[2].cast("long").alias("end"))
