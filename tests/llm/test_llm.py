@@ -409,7 +409,7 @@ def test_leaks(spark):
         rows.append((k, clean + " ".join(w).upper() + " " + clean, i))
     edited = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
     found = {(r.doc_id, r.item_id) for r in decontamination.leaks(edited, bench).collect()}
-    assert len(found & {(k, i) for k, _, i in rows}) >= 0.8 * len(rows)
+    assert len(found & {(k, i) for k, _, i in rows}) >= 0.95 * len(rows)
     odd = odd_documents(spark)
     assert decontamination.leaks(odd, bench).count() == 0 and decontamination.drop_leaks(odd, bench).count() == odd.count()
     nulls = spark.createDataFrame([(None, "x" * 50), (1, None), (2, "")], "item_id long, text string")
@@ -444,6 +444,50 @@ def test_leaks_of_edited_and_cut_items(spark):
     assert r[0].end - r[0].start >= decontamination.WINDOW
 
 
+def test_leaks_at_the_whole_edit_budget(spark):
+    """Items with as many edited characters as the budget allows, against the distance by a full table."""
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items, rng, rows = [(r.item_id, r.text) for r in bench.collect()], random.Random(12), []
+    for k, (i, t) in enumerate(items * 3):
+        chars = list(t)
+        for j in rng.sample(range(len(chars)), decontamination.budget(len(t))):
+            chars[j] = rng.choice(["", "x", chars[j] + "y"])
+        rows.append((k, "clean words before it " + "".join(chars) + " and after it", i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    within = []
+    for k, text, i in rows[:100]:
+        item, doc = (decontamination._words(decontamination._trimmed(t)) for t in (dict(items)[i], text))
+        if distance_inside(item, doc) <= decontamination.budget(len(item)):
+            within.append((k, i))
+    assert len(within) > 50 and len(found & set(within)) >= 0.9 * len(within)
+
+
+def test_items_of_one_stem():
+    import time
+
+    rng = random.Random(13)
+    stem = "which of the following statements about the text above is the one that is most likely to be true: "
+    items = [stem + " ".join(rng.choice("abcdefghijk") + str(rng.randrange(10**6)) for _ in range(25)) for _ in range(1000)]
+    index = decontamination.Index(list(range(1000)), items)
+    words = " ".join(rng.choice("lmnop") + str(rng.randrange(10**6)) for _ in range(150))
+    start = time.time()
+    some = decontamination.found_in(words + " which of the following statements is true " + words + " " + items[17] + " " + words, index)
+    assert time.time() - start < 30
+    assert next(r for r in some if r["item_id"] == 17)["edits"] == 0
+    part = " ".join(items[5].split(" ")[8:])[40:]
+    assert {r["item_id"] for r in decontamination.found_in(words + " " + part, index)} == {5}
+
+
+def test_least_edits_like_full_table():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(5, 65, 300)
+    patterns, regions = rng.integers(97, 100, (300, 64)).astype(np.uint32), rng.integers(97, 100, (300, 80)).astype(np.uint32)
+    got = decontamination.least_edits(patterns, sizes, regions)
+    want = [distance_inside(p[:n].tolist(), r.tolist()) for p, n, r in zip(patterns, sizes, regions, strict=True)]
+    assert got.tolist() == want
+
+
 def distance_inside(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):

@@ -32,8 +32,13 @@ from pyspark.sql import types as T
 Q = 5
 #: Edits allowed for each character of an item or of a segment.
 EDIT_RATE = 0.15
-#: Characters of a segment of a longer item; item positions of a cell of the grid.
-WINDOW = 66
+#: Characters of a segment of a longer item, one machine word of the alignment; item positions of a
+#: cell of the grid.
+WINDOW = 64
+#: Strings that are aligned side by side.
+SIDE_BY_SIDE = 2048
+#: Characters of an item up to which its pieces are aligned before the whole.
+PIECEWISE = 2048
 #: Diagonals of a cell of the grid; two cells hold a segment's hits.
 CELL = 16
 #: Diagonals of a cell of the bands of single windows; three cells hold a segment's hits.
@@ -125,6 +130,31 @@ def _near(pattern: list[int], region: list[int], e: int) -> bool:
     return False
 
 
+def least_edits(patterns: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """For each row, the edits between its pattern and the nearest part of its region.
+
+    As ``_near``, one column of all regions at a time: patterns (K, 64) and regions (K, n) of code
+    points, of which the first ``sizes`` of a pattern count and no pattern has the region's padding.
+    """
+    one = np.uint64(1)
+    inside = np.arange(WINDOW) < sizes[:, None]
+    full = np.packbits(inside, axis=1, bitorder="little").view("<u8").ravel()
+    last = (sizes - 1).astype(np.uint64)
+    up, down, score, best = full.copy(), np.zeros(len(sizes), np.uint64), sizes.astype(np.int64), sizes.astype(np.int64)
+    with np.errstate(over="ignore"):
+        for j in range(regions.shape[1]):
+            eq = np.packbits((patterns == regions[:, j, None]) & inside, axis=1, bitorder="little").view("<u8").ravel()
+            xv = eq | down
+            xh = (((eq & up) + up) ^ up) | eq
+            ph = down | (full & ~(xh | up))
+            mh = up & xh
+            score += (ph >> last & one).astype(np.int64) - (mh >> last & one).astype(np.int64)
+            best = np.minimum(best, score)
+            ph, mh = (ph << one) & full, (mh << one) & full
+            up, down = mh | (full & ~(xv | ph)), ph & xv
+    return best
+
+
 class Index:
     """The q-grams and segments of some benchmark items."""
 
@@ -152,6 +182,8 @@ class Index:
             start, size = np.array(_segments(c)).T
             edits = np.array([budget(int(m)) for m in size])
             self.segments.append((start, size, edits, np.maximum(1, size - Q + 1 - Q * edits)))
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.codes]).astype(np.uint32)
+        self.offset = np.cumsum(self.length) - self.length
         self.bound = np.array([int(s[3].min()) for s in self.segments] or [1])
         reach = self.bound[self.item_of]
         self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], 10_000)), 10_000).astype(np.int16)[:, None]  # of the stretch and the next
@@ -199,12 +231,48 @@ class Index:
         live = np.flatnonzero(marked.ravel()[key])
         ref, diagonal = ref[live], diagonal[live]
         item, place, out = self.item_of[self.cell[ref]], self.place[ref].astype(np.int64), []
-        for i, low, places in sorted(self.bands(item, place, diagonal), key=lambda x: x[:2]):
-            if any(x[0] == i and x[4] == self.length[i] and abs(d - low) <= 2 * CELL for x, d in out[-4:]):
+        bands = sorted(self.bands(item, place, diagonal), key=lambda x: x[:2])
+        if not bands:
+            return []
+        span = self.longest + WINDOW
+        seen = np.bincount(np.unique(item * span + place) // span, minlength=len(self.codes))  # item positions hit anywhere
+        close = self.close_segments(bands, codes)
+        whole = self.may_be_whole(bands, close, seen, codes)
+        aligned: dict[tuple, tuple[int, int, int] | None] = {}
+        for (i, low, _), segments, may in zip(bands, close, whole, strict=True):
+            if not len(segments):
                 continue
-            if (found := self.verify(i, low - self.longest, places, codes)) is not None:
-                out.append((found, low))
-        return sorted(x for x, _ in out)
+            before = next(((x, held) for x, d, held in reversed(out[-4:]) if x[0] == i and abs(d - low) <= 2 * CELL), None)
+            if before and (before[0][4] == self.length[i] or before[1].issuperset(segments[:, 0].tolist())):
+                continue  # the same place, from a band that overlaps
+            if (found := self.verify(i, low - self.longest, segments, codes, may, aligned)) is not None:
+                out.append((found, low, set(segments[:, 0].tolist())))
+        return sorted(x for x, _, _ in out)
+
+    def close_segments(self, bands: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> list[np.ndarray]:
+        """For each band, (segment, edits) of those of its item that share enough q-grams there and are within their edits.
+
+        Segments of equal text at one place, as items made from one template have them, are aligned once.
+        """
+        tried = []
+        for b, (i, low, places) in enumerate(bands):
+            start, size, edits, bound = self.segments[i]
+            hit = np.zeros(int(self.length[i]) + 1, np.int64)
+            hit[places + 1] = 1
+            upto = np.cumsum(hit)
+            j = np.flatnonzero(upto[start + size - Q + 1] - upto[start] >= bound)
+            if len(j):
+                left = np.maximum(0, start[j] + low - self.longest - edits[j])
+                right = np.maximum(0, start[j] + low - self.longest + 3 * FINE + size[j] + edits[j])
+                tried.append(np.stack([np.full(len(j), b), j, self.offset[i] + start[j], size[j], edits[j], left, right], axis=1))
+        out: list[list[tuple[int, int]]] = [[] for _ in bands]
+        if tried:
+            rows = np.concatenate(tried)
+            least = self.nearest(rows[:, 2:4], rows[:, 5:], codes)
+            near = least <= rows[:, 4]
+            for (b, j), d in zip(rows[near, :2].tolist(), least[near].tolist(), strict=True):
+                out[b].append((j, d))
+        return [np.array(js, np.int64).reshape(-1, 2) for js in out]
 
     def bands(self, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(item, first diagonal, item positions) of the bands where a window of item positions reaches the bound."""
@@ -219,33 +287,72 @@ class Index:
                 a, b = np.searchsorted(one, (g * span, (g + 1) * span))
                 yield g // wide, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
 
-    def verify(self, i: int, low: int, places: np.ndarray, codes: np.ndarray) -> tuple[int, int, int, int, int] | None:
-        """The region of item i on the band of diagonals from low on, given the item positions of the hits there."""
-        start, size, edits, bound = self.segments[i]
-        m = int(self.length[i])
-        hit = np.zeros(m + 1, np.int64)
-        hit[places + 1] = 1
-        upto = np.cumsum(hit)
-        shared = upto[start + size - Q + 1] - upto[start]
-        spans = []
-        for j in np.flatnonzero(shared >= bound).tolist():
+    def nearest(self, strings: np.ndarray, spans: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The least edits between strings (offset, size; at most ``WINDOW`` long) of items and spans (from, to) of a text.
+
+        Strings of equal text that meet the same span are aligned once.
+        """
+        wide, out = int((spans[:, 1] - spans[:, 0]).max()), np.zeros(len(strings), np.int64)
+        padded = np.concatenate([codes.astype(np.uint32), np.full(wide + 1, 0xFFFFFFFF, np.uint32)])
+        flat = np.concatenate([self.flat, np.zeros(WINDOW, np.uint32)])
+        for k in range(0, len(strings), SIDE_BY_SIDE):
+            here = slice(k, k + SIDE_BY_SIDE)
+            size, span = strings[here, 1], spans[here]
+            patterns = flat[strings[here, 0, None] + np.arange(WINDOW)]
+            patterns[np.arange(WINDOW) >= size[:, None]] = 0
+            key = np.ascontiguousarray(np.concatenate([patterns, size[:, None], span], axis=1).astype(np.uint32))
+            _, first, same = np.unique(key.view(np.dtype((np.void, key.strides[0]))).ravel(), return_index=True, return_inverse=True)
+            low, high = span[first, 0], span[first, 1]
+            regions = padded[np.minimum(low[:, None] + np.arange(wide), len(padded) - 1)]
+            regions[np.arange(wide) >= (high - low)[:, None]] = 0xFFFFFFFF
+            out[here] = least_edits(patterns[first], size[first], regions)[same.ravel()]
+        return out
+
+    def may_be_whole(self, bands: list[tuple[int, int, np.ndarray]], close: list[np.ndarray], seen: np.ndarray, codes: np.ndarray) -> list[bool]:
+        """Whether a band's whole item can be within its edits: by the lemma over all hits, and as the item's pieces
+        of ``WINDOW`` characters need at least the sum of their own least edits."""
+        out, strings, spans, of = [False] * len(bands), [], [], []
+        for b, (i, low, _) in enumerate(bands):
+            m, e = int(self.length[i]), int(self.edits[i])
+            out[b] = len(close[b]) > 0 and bool(seen[i] >= m - Q + 1 - Q * e)
+            if out[b] and m <= PIECEWISE:
+                at = np.arange(0, m, WINDOW)
+                low -= self.longest
+                strings.append(np.stack([self.offset[i] + at, np.minimum(WINDOW, m - at)], axis=1))
+                spans.append(np.broadcast_to([max(0, low - e), max(0, low + 3 * FINE + m + e)], (len(at), 2)))
+                of += [b] * len(at)
+        if of:
+            least = np.bincount(of, self.nearest(np.concatenate(strings), np.concatenate(spans), codes), minlength=len(bands))
+            for b in set(of):
+                out[b] = bool(least[b] <= self.edits[bands[b][0]])
+        return out
+
+    def verify(self, i: int, low: int, segments: np.ndarray, codes: np.ndarray, whole_may: bool, aligned: dict) -> tuple[int, int, int, int, int] | None:
+        """The region of item i on the band of diagonals from low on, given its segments that are close there.
+
+        It is the whole item's, or from the start of the first to the end of the last of those segments.
+        ``aligned`` remembers alignments by text and place, which items of one template share.
+        """
+        start, size, edits, _ = self.segments[i]
+        m, e = int(self.length[i]), int(self.edits[i])
+        if whole_may:
+            side = max(0, low - e)
+            around = codes[side : max(0, low + 3 * FINE + m + e)]
+            if _near(self.codes[i].tolist(), around.tolist(), e) and (whole := self.align(i, around)) is not None:
+                return i, side + whole[0], side + whole[1], whole[2], m
+        ends = []
+        for j in (int(segments[0, 0]), int(segments[-1, 0])):
             p, n, e = int(start[j]), int(size[j]), int(edits[j])
-            left = max(0, p + low - e)
-            region = codes[left : max(0, p + low + 3 * FINE + n + e)]
+            left, right = max(0, p + low - e), max(0, p + low + 3 * FINE + n + e)
             part = self.codes[i][p : p + n]
-            if not _near(part.tolist(), region.tolist(), e) or (got := _align(part, e, region)) is None:
-                continue
-            if not spans:
-                e = int(self.edits[i])
-                side = max(0, low - e)
-                around = codes[side : max(0, low + 3 * FINE + m + e)]
-                if _near(self.codes[i].tolist(), around.tolist(), e) and (whole := self.align(i, around)) is not None:
-                    return i, side + whole[0], side + whole[1], whole[2], m
-            spans.append((got[2] / n, got[2], n, left + got[0], left + got[1]))
-        if not spans:
-            return None
-        _, d, n, _, _ = min(spans)
-        return i, min(s[3] for s in spans), max(s[4] for s in spans), d, n
+            key = part.tobytes(), left, right
+            if key not in aligned:
+                aligned[key] = _align(part, e, codes[left:right])
+            if (got := aligned[key]) is None:
+                return None  # within its edits only beside this band, whose own neighbour finds it
+            ends.append((left + got[0], left + got[1]))
+        d, n = min(((int(d), int(size[j])) for j, d in segments.tolist()), key=lambda x: x[0] / x[1])
+        return i, min(x for x, _ in ends), max(y for _, y in ends), d, n
 
     def align(self, i: int, region: np.ndarray) -> tuple[int, int, int] | None:
         """The best place of item i in a region of few diagonals, as (start, end, edits)."""
@@ -282,6 +389,8 @@ def _align(item: np.ndarray, e: int, region: np.ndarray) -> tuple[int, int, int]
         take = np.maximum.accumulate(np.where(lead == best, steps, 0))
         row, origin = best + steps, source[take]
         row[: max(0, e - k)], row[high:] = far, far
+        if row.min() > e:
+            return None
     j = int(np.argmin(row))
     if row[j] > e:
         return None
@@ -369,7 +478,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no benchmark passage is found."""
+    """The rows of ``docs``, all columns, in whose text no benchmark passage is found.
+
+    A null text has no passage and stays, as do rows with a null id; repeated rows stay or go
+    together; an empty benchmark keeps all, an empty table gives an empty one. Column names don't
+    matter.
+    """
     kept = docs
     for index in _blocks(benchmark):
         kept = kept.where(_clean(docs, index)(F.coalesce("text", F.lit(""))))
