@@ -4,8 +4,9 @@ Each block of documents (an Arrow batch of a task) is tokenized and packed by it
 shuffled and memory is bounded by a block. A document longer than a row is split, losslessly, into
 full rows and a rest. Pieces are placed longest first, each in the open row with the least free
 capacity that still holds it; a segment tree over capacities 0..width finds that row in log(width)
-steps. A packed row holds its ids, padded to the width, cumulative segment lengths, and for each
-segment its document and the place in the document where it starts.
+steps. A packed row holds its ids, padded to the width, their positions, which are reset to 0 where
+a segment starts, cumulative segment lengths, and for each segment its document and the place in
+the document where it starts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ REMEMBER_CHUNKS = 700_000
 BLOCK_CHARS = 16_000_000
 
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-SCHEMA = "row_id string, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+SCHEMA = "row_id string, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
 
 class CapacityTree:
@@ -137,25 +138,29 @@ def _encode_whole(text: str, enc) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def pack_block(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> list[tuple[int, bytes, list[int], list[int | None], list[int]]]:
-    """(n_tokens, padded ids, cu_seqlens, doc_ids, starts) of each packed row of a block."""
+def pack_block(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> list[tuple[int, bytes, bytes, list[int], list[int | None], list[int]]]:
+    """(n_tokens, padded ids, their positions, cu_seqlens, doc_ids, starts) of each packed row of a block."""
     pieces = [(d, s, x[s : s + width]) for d, x in zip(doc_ids, ids, strict=True) for s in range(0, max(1, len(x)), width)]
     out = []
     for row in best_fit_decreasing([len(p[2]) for p in pieces], width):
         parts = [pieces[k] for k in row]
-        lengths = np.cumsum([0, *(len(p[2]) for p in parts)])
+        sizes = np.array([len(p[2]) for p in parts])
+        lengths = np.append(0, np.cumsum(sizes))
         flat = np.full(width, PAD, "<u2")
         flat[: lengths[-1]] = np.concatenate([p[2] for p in parts])
-        out.append((int(lengths[-1]), flat.tobytes(), lengths.tolist(), [p[0] for p in parts], [p[1] for p in parts]))
+        place = np.zeros(width, "<u2")
+        place[: lengths[-1]] = np.arange(lengths[-1]) - np.repeat(lengths[:-1], sizes)
+        out.append((int(lengths[-1]), flat.tobytes(), place.tobytes(), lengths.tolist(), [p[0] for p in parts], [p[1] for p in parts]))
     return out
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", width: int = WIDTH) -> DataFrame:
-    """Packed rows: ``row_id, n_tokens, ids, cu_seqlens, doc_ids, starts``.
+    """Packed rows: ``row_id, n_tokens, ids, position_ids, cu_seqlens, doc_ids, starts``.
 
-    ``ids`` is a row of a little-endian 16-bit matrix of ``width`` columns. Segment k of a row is
-    ``ids[cu_seqlens[k] : cu_seqlens[k + 1]]`` and stands at token ``starts[k]`` of document
-    ``doc_ids[k]``; positions restart at 0 with each segment (``position_ids``). An empty or null
+    ``ids`` and ``position_ids`` are rows of little-endian 16-bit matrices of ``width`` columns.
+    Segment k of a row is ``ids[cu_seqlens[k] : cu_seqlens[k + 1]]`` and stands at token
+    ``starts[k]`` of document ``doc_ids[k]``; positions restart at 0 with each segment and are 0 in
+    the padding. Which documents share a row depends on how the input is split into tasks. An empty or null
     text has one segment of length 0. Null ids stay null, repeated rows are packed as often as they
     occur, an empty table gives no rows, other columns are ignored.
     """
@@ -181,11 +186,12 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", width: int
                             pa.array([f"{task}-{n + j}" for j in range(len(some))], pa.string()),
                             pa.array([r[0] for r in some], pa.int32()),
                             pa.array([r[1] for r in some], pa.binary()),
-                            pa.array([r[2] for r in some], pa.list_(pa.int32())),
-                            pa.array([r[3] for r in some], pa.list_(pa.int64())),
+                            pa.array([r[2] for r in some], pa.binary()),
+                            pa.array([r[3] for r in some], pa.list_(pa.int32())),
                             pa.array([r[4] for r in some], pa.list_(pa.int64())),
+                            pa.array([r[5] for r in some], pa.list_(pa.int64())),
                         ],
-                        names=["row_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts"],
+                        names=["row_id", "n_tokens", "ids", "position_ids", "cu_seqlens", "doc_ids", "starts"],
                     )
                     n += len(some)
 
@@ -193,12 +199,18 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", width: int
     return rows.mapInArrow(work, SCHEMA)
 
 
-def position_ids(packed: DataFrame) -> DataFrame:
-    """``packed`` with ``position_ids``: each token's place in its segment, so it resets to 0 at every start."""
-    segment = F.expr("flatten(transform(sequence(1, size(cu_seqlens) - 1), k -> if(cu_seqlens[k] > cu_seqlens[k - 1], sequence(0, cu_seqlens[k] - cu_seqlens[k - 1] - 1), cast(array() AS array<int>))))")
-    return packed.withColumn("position_ids", segment)
+def position_resets(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``resets``: where in each row positions are 0 again, as an ascending array.
+
+    Segments without a token have no place of their own; a row without tokens has no resets.
+    """
+    starts = F.array_distinct(F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1))
+    return packed.withColumn("resets", F.filter(starts, lambda x: x < F.col("n_tokens")))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Write the matrices' rows with their cumulative lengths and position resets as Parquet."""
-    packed.write.parquet(path)
+    """Write the id and position matrices' rows with cumulative lengths and resets as Parquet.
+
+    The folder must not exist; an empty table gives an empty one.
+    """
+    position_resets(packed).write.parquet(path)
