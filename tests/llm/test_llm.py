@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from collections import defaultdict
 
@@ -157,8 +158,38 @@ def test_mixing(spark):
         for _, g in out.groupby("source_size"):
             assert abs(g.taken.sum() - g.target.iloc[0]) <= 1.5 * g["size"].max()
     assert mixing.mix(empty_documents(spark)).count() == 0
-    mixed = mixing.mixed_rows(odd_documents(spark))
-    assert mixed.columns == odd_documents(spark).columns
+
+
+def test_mixing_like_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(db.execute(mixing.SQL).fetchall()) == sorted(map(tuple, mixing.mix(documents(spark, sf)).collect()))
+
+
+def test_mixed_rows_are_the_copies_of_each_row(spark):
+    word = "w " * 40
+    rows = [(1, word + str(k % 2), "b", k) for k in range(4)] + [(k, word * (k % 3 + 1) + str(k), "a", 0) for k in range(60)] + [(None, word, "a", 7), (None, word + "x", None, 8)]
+    rows += [rows[5]] * 3 + [(99, None, "a", 0), (98, "", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").selectExpr("*", "1 AS __n", "2 AS __copy", "3 AS copy", "map('k', 1) AS h").repartition(3)
+    want = defaultdict(int)
+    plain = mixing.copies(docs).select("h", "g", "copies").collect()
+    for r in plain:
+        want[r.h, r.g] += r.copies
+    from tidemark.llm.common import identity
+
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.schema == docs.schema
+    got = defaultdict(int)
+    for r in mixed.select(*identity(mixed)).collect():
+        got[r.h, r.g] += 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert any(r.source == "b" for r in mixed.collect())
+    for some in (odd_documents(spark), empty_documents(spark)):
+        assert mixing.mixed_rows(some).columns == some.columns
+    assert mixing.mixed_rows(empty_documents(spark)).count() == 0
 
 
 # 5 similarity --------------------------------------------------------------------------------------
@@ -362,11 +393,13 @@ def test_packing_round_trip(spark, sf_dir):
     enc = packing._encoder("byte_bpe_50k.tiktoken")
     for docs in (documents(spark, sf_dir), odd_documents(spark)):
         back = defaultdict(list)
-        packed = packing.position_ids(packing.pack(docs))
+        packed = packing.position_resets(packing.pack(docs))
         for r in packed.collect():
             ids = np.frombuffer(r.ids, "<u2")
             assert len(ids) == packing.WIDTH and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == packing.PAD).all()
-            assert r.position_ids == [j for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False) for j in range(b - a)]
+            places = [j for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False) for j in range(b - a)]
+            assert np.frombuffer(r.position_ids, "<u2").tolist() == places + [0] * (packing.WIDTH - r.n_tokens)
+            assert r.resets == [k for k, j in enumerate(places) if j == 0]
             for k, d in enumerate(r.doc_ids):
                 back[d].append((r.starts[k], ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
         want = defaultdict(list)
@@ -375,6 +408,11 @@ def test_packing_round_trip(spark, sf_dir):
             want[r.doc_id] += [(s, ids[s : s + packing.WIDTH]) for s in range(0, max(1, len(ids)), packing.WIDTH)]
         assert {k: sorted(v) for k, v in back.items()} == {k: sorted(v) for k, v in want.items()}
     assert packing.pack(empty_documents(spark)).count() == 0
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    packing.write_packed(packing.pack(odd_documents(spark)), f"{folder}/odd")
+    packing.write_packed(packing.pack(empty_documents(spark)), f"{folder}/none")
+    assert {"ids", "position_ids", "cu_seqlens", "resets"} <= set(spark.read.parquet(f"{folder}/odd").columns)
+    assert spark.read.parquet(f"{folder}/none").count() == 0
 
 
 def test_best_fit_like_plain_search():

@@ -229,6 +229,8 @@ def _frame(body: bytes, quant: dict, comments: list[bytes]) -> Image:
         raise ValueError("8 bits and one or three components are read")
     parts = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
     most_h, most_v = max(c.h for c in parts), max(c.v for c in parts)
+    if any(most_h % c.h or most_v % c.v for c in parts):
+        raise ValueError("sampling factors whose ratio is no whole number are not read")
     across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
     for c in parts:
         c.wide, c.high = across * c.h, down * c.v
