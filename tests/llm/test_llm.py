@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import tempfile
@@ -85,39 +86,55 @@ def test_token_counts_like_the_library(spark, sf_dir):
 # 3 chats -------------------------------------------------------------------------------------------
 
 
+def insertions(said):
+    """Empty turns that make a sequence of output roles legal; None where none can. Written without the module."""
+    n, before = 0, ""
+    for k, role in enumerate(said):
+        if role == "system" and k:
+            return None
+        if role == "user" and before == "user":
+            n += 1  # an answer between two questions
+        if role == "assistant" and before != "user":
+            n += 1  # a question before an answer
+        before = role
+    return n + {"assistant": 0, "user": 1, "system": 2}[before]
+
+
 def cheapest(roles):
-    """Least repair cost over all output roles, by enumeration."""
-    best = {chat_format.START: 0}
-    for role in roles:
-        new = {}
-        for p, c in best.items():
-            for q in (1, 2, 3):
-                s = chat_format.step(p, q)
-                if s:
-                    new[q] = min(new.get(q, 10**9), c + s[0] + chat_format.RELABEL * (q != chat_format._wanted(role)))
-        best = new
-    return min(c + {3: 0, 2: chat_format.INSERT, 1: 2 * chat_format.INSERT}[q] for q, c in best.items())
+    """Least repair cost by enumeration of every output role and of every merge of equal neighbours."""
+    wanted = {"user": "user", "assistant": "assistant", "system": "system", "User": "user"}
+    best = None
+    for out in itertools.product(("system", "user", "assistant"), repeat=len(roles)):
+        same = [k for k in range(1, len(out)) if out[k] == out[k - 1]]
+        for merged in itertools.product((False, True), repeat=len(same)):
+            drop = {k for k, m in zip(same, merged, strict=True) if m}
+            added = insertions([q for k, q in enumerate(out) if k not in drop])
+            if added is not None:
+                cost = len(drop) + 3 * added + 2 * sum(wanted.get(r) != q for r, q in zip(roles, out, strict=True))
+                best = cost if best is None else min(best, cost)
+    return best
 
 
 def test_chats_are_legal_cheapest_and_independent_of_ranges(spark):
     rng, rows = random.Random(5), []
     for conv in range(40):
-        n = 300 if conv == 7 else rng.randint(1, 9)
+        n = 300 if conv == 7 else rng.randint(1, 7)
         rows += [(conv, t, rng.choice(["user", "assistant", "system", "User", None, "tool"]), rng.choice(["x", "y", None, ""]), "extra", t) for t in range(n)]
     rows += [(None, 0, "user", "lost", "", 0), (3, None, "user", "q", "", 0), (5, 1, "user", "again", "", 0), (5, 1, "user", "again", "", 0)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string, place long")
     results = []
     for ranges in (1, 3, 11):
-        out = chat_format.format_chats(turns, ranges).toPandas()
-        out["k"] = out.turn.fillna(-1)
-        out = out.sort_values(["conv_id", "k", "role", "place"], na_position="first")
-        results.append({c: (g.cost.sum(), "".join(g.sort_values(["k", "place"]).fragment)) for c, g in out.groupby("conv_id")})
+        out = chat_format.format_chats(turns.repartition(ranges), ranges).toPandas()
+        out = out.sort_values(["conv_id", "place"])
+        assert all(g.place.tolist() == list(range(len(g))) for _, g in out.groupby("conv_id"))
+        results.append({c: (g.cost.sum(), "".join(g.fragment), tuple(g.turn.fillna(-1)), tuple(g.role.fillna(""))) for c, g in out.groupby("conv_id")})
     assert results[0] == results[1] == results[2]
     byconv = defaultdict(list)
     for r in turns.where("conv_id is not null").orderBy("conv_id", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text")).collect():
         byconv[r.conv_id].append(r.role)
-    for conv, (cost, text) in results[0].items():
-        assert cost == cheapest(byconv[conv])
+    for conv, (cost, text, _, _) in results[0].items():
+        if len(byconv[conv]) < 9:
+            assert cost == cheapest(byconv[conv])
         said = re.findall(r"<\|im_start\|>(\w+)\n", text)
         assert text.count("<|im_end|>") == len(said) and said[-1] == "assistant" and "system" not in said[1:]
         assert all(a != b for a, b in zip(said, said[1:], strict=False)) and (said[0] == "user" or said[1] == "user")
@@ -593,8 +610,12 @@ def test_media_round_trip(spark):
         want.add((hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-16:]), len(raw)))
     assert got == want
     assert media.media_digests(empty_documents(spark)).count() == 0
-    tensors = media.rgb_tensors(media.to_media(docs)).collect()
-    assert all(len(r.rgb) == 3 * r.height * r.width for r in tensors)
+    stored = media.to_media(docs)
+    tensors = {(r.doc_id, r.n_bytes, r.height, r.width, bytes(r.rgb)) for r in media.rgb_tensors(stored.selectExpr("*", "1 AS width", "2 AS row")).collect()}
+    assert tensors == {(r.doc_id, r.n_bytes, r.height, r.width, bytes(r.rgb)) for r in media.media_digests(docs).collect()}
+    assert all(len(r[4]) == 3 * r[2] * r[3] for r in tensors)
+    assert media.rgb_tensors(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().rgb is None
+    assert media.rgb_tensors(stored.limit(0)).count() == 0
     for payload in (bytes(range(256)) * 3, b"\xff" * 192, b"\x00" * 192):
         assert media.payload_of(media.decode_coefficients(media.encode_payload(payload))) == payload
 

@@ -29,6 +29,8 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
 MERGE, RELABEL, INSERT = 1, 2, 3
 FAR = 1 << 60
+#: Turns in a range of rows, about; a task holds one range's turns of one conversation at a time.
+RANGE_ROWS = 100_000
 HEAD, TAIL = "<|im_start|>{}\n", "<|im_end|>\n"
 SCHEMA = "conv_id long, turn long, place long, role string, out_role string, action string, fragment string, cost long"
 
@@ -148,15 +150,16 @@ def _ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r.conv_id != current:
                 if latest is not None and first is None:
                     first = latest
-                latest, current = (r.conv_id, r.piece, Paths(keep=False)), r.conv_id
+                latest, current = [r.conv_id, r.piece, Paths(keep=False), 0], r.conv_id
             latest[2].read(r.role)
-    for conv, piece, paths in ([first] if first else []) + ([latest] if latest else []):
+            latest[3] += 1
+    for conv, piece, paths, turns in ([first] if first else []) + ([latest] if latest else []):
         flat = [x for p in range(4) for t in paths.at[p] for x in t]
-        yield pd.DataFrame({"conv_id": [conv], "piece": [piece], "table": [flat]})
+        yield pd.DataFrame({"conv_id": [conv], "piece": [piece], "turns": [turns], "table": [flat]})
 
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry and exit state of each piece of one conversation; a row a range, never a row a turn."""
+    """Entry and exit state, and first place, of each piece of one conversation; a row a range, never a row a turn."""
     pdf = pdf.sort_values("piece")
     tables = [[(t[8 * p : 8 * p + 4], t[8 * p + 4 : 8 * p + 8]) for p in range(4)] for t in (list(x) for x in pdf["table"])]
     cost, rank, backs = [0, FAR, FAR, FAR], [0] * 4, []
@@ -175,7 +178,8 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
         state = back[state]
         entries.append(state)
     n = len(pdf)
-    return pd.DataFrame({"conv_id": pdf["conv_id"], "piece": pdf["piece"], "entry": entries[::-1], "exit": exits[::-1], "is_first": [k == 0 for k in range(n)], "is_last": [k == n - 1 for k in range(n)]})
+    start = pdf["turns"].cumsum() - pdf["turns"]
+    return pd.DataFrame({"conv_id": pdf["conv_id"], "piece": pdf["piece"], "start": start, "entry": entries[::-1], "exit": exits[::-1], "is_first": [k == 0 for k in range(n)], "is_last": [k == n - 1 for k in range(n)]})
 
 
 #: Output rows that a task gathers before it hands them on.
@@ -195,7 +199,8 @@ def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = bool(rows[0].is_last) if known else True
         roles = paths.roles(end)
         made = render([(r.role, q) for r, q in zip(rows, roles, strict=True)], [r.text for r in rows], entry, last)
-        out += [(conv, r.turn, r.place, r.role, *m) for r, m in zip(rows, made, strict=True)]
+        start = int(rows[0].start) if known else 0
+        out += [(conv, r.turn, start + k, r.role, *m) for k, (r, m) in enumerate(zip(rows, made, strict=True))]
         if len(out) >= HELD:
             yield pd.DataFrame(out, columns=columns)
             out = []
@@ -206,30 +211,39 @@ def format_chats(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """The repaired conversations, one row a turn: ``conv_id, turn, place, role, out_role, action,
     fragment, cost``.
 
-    The fragments of a conversation, in order of (turn, place), are its rendered text. Turns stand
-    in order of turn number, null first; rows that repeat a number, and repeated rows, stand in
-    order of role and text. Roles are read without regard to case; an unknown or null role must be
-    relabelled. A null text is empty. Rows without a conversation are left out, as they belong to
-    none. An empty table gives an empty one; other columns are ignored.
+    ``place`` counts a conversation's turns from 0; its fragments in order of place are its rendered
+    text. Turns stand in order of turn number, null first; rows that repeat a number stand in order
+    of role and of a hash of the text, so neither the input's files nor ``ranges`` change a result.
+    Roles are read without regard to case; an unknown or null role must be relabelled. A null text
+    is empty. Rows without a conversation are left out, as they belong to none. An empty table gives
+    an empty one; other columns are ignored.
+
+    Rows are dealt by ranges of about ``RANGE_ROWS`` at most, so what a task holds of one
+    conversation is bounded however long that is.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    key = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
-    rows = rows.where("conv_id IS NOT NULL").withColumn("place", F.monotonically_increasing_id())
-    ranges = ranges or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(ranges, *key, F.col("place")).withColumn("piece", F.spark_partition_id())
-    return _formatted(staged(dealt, "turns"), key)
+    rows = rows.where("conv_id IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    if ranges is None:
+        ranges = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // RANGE_ROWS))
+    key = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("hash")]
+    # rows equal in the whole key are equal, so which of them comes first makes no difference
+    dealt = rows.repartitionByRange(ranges, *key, F.monotonically_increasing_id()).withColumn("piece", F.spark_partition_id())
+    return _formatted(staged(dealt, "turns"), key, ranges)
+
 
+def _formatted(dealt: DataFrame, key: list, ranges: int) -> DataFrame:
+    def by_piece(df: DataFrame) -> DataFrame:  # ranges of piece numbers, as hashes of them would collide
+        return df.repartitionByRange(ranges, "piece").sortWithinPartitions("piece", *key)
 
-def _formatted(dealt: DataFrame, key: list) -> DataFrame:
-    sorted_rows = dealt.repartition(F.col("piece")).sortWithinPartitions("piece", *key, "place")
-    ends = sorted_rows.select("conv_id", "piece", "role").mapInPandas(_by_piece(_ends), "conv_id long, piece int, table array<long>")
+    ends = by_piece(dealt.select("conv_id", "piece", "turn", "role", "hash")).mapInPandas(_by_piece(_ends), "conv_id long, piece int, turns long, table array<long>")
+    ends = staged(ends, "ends")  # at most two rows for each range
     several = ends.groupBy("conv_id").agg(F.count_distinct("piece").alias("k")).where("k > 1").select("conv_id")
     bounds = staged(
-        ends.join(several, "conv_id").groupBy("conv_id").applyInPandas(_compose, "conv_id long, piece int, entry int, exit int, is_first boolean, is_last boolean"),
+        ends.join(several, "conv_id").groupBy("conv_id").applyInPandas(_compose, "conv_id long, piece int, start long, entry int, exit int, is_first boolean, is_last boolean"),
         "bounds",
-    )  # at most two rows for each range
-    joined = dealt.join(bounds, ["conv_id", "piece"], "left").select("conv_id", "piece", "turn", "place", "role", "text", "entry", "exit", "is_last")
-    return joined.repartition(F.col("piece")).sortWithinPartitions("piece", *key, "place").mapInPandas(_by_piece(_repair), SCHEMA)
+    )
+    joined = dealt.join(bounds, ["conv_id", "piece"], "left").select("conv_id", "piece", "turn", "role", "text", "hash", "start", "entry", "exit", "is_last")
+    return by_piece(joined).mapInPandas(_by_piece(_repair), SCHEMA)
 
 
 def _by_piece(work):

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import named
+
 #: Payloads are padded with bytes 32 to a positive multiple of this.
 UNIT = 192
 #: Rows of MCUs that are transformed at once, to bound memory: about this many blocks.
@@ -422,39 +424,44 @@ def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 _READ = T.StructType([
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-    T.StructField("feature", T.StringType()),
+    T.StructField("feature", T.StringType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
+    T.StructField("rgb", T.BinaryType()),
 ])
 
 
-def describe(data: bytes) -> tuple[int, str, int, str]:
-    """What one stored file gives: its payload's size and digests, and features of its RGB tensor."""
+def describe(data: bytes) -> tuple[int, str, int, str, int, int, bytes]:
+    """What one stored file gives: its payload's size and digests, features of its RGB tensor, and the tensor."""
     image = decode_coefficients(data)
     payload = payload_of(image)
-    sums, squares = np.zeros(3, np.int64), 0
+    sums, squares, rows = np.zeros(3, np.int64), 0, []
     for band in rgb_bands(image):
         sums += band.reshape(-1, 3).sum(axis=0, dtype=np.int64)
         squares += int((band[..., 1].astype(np.int64) ** 2).sum())
+        rows.append(band.tobytes())
     feature = f"{image.width}x{image.height}:" + ":".join(map(str, [*sums.tolist(), squares]))
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature, image.height, image.width, b"".join(rows)
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests of the payload read back from ``media``, with the file's own and the RGB features."""
+    """Digests of the payload read back from ``media``, with the file's own, the RGB features and the
+    full-resolution RGB tensor (``height, width, rgb``: row-major bytes)."""
 
     @F.pandas_udf(_READ)
     def read(files: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([describe(f) for f in files], columns=[f.name for f in _READ])
 
     each = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), read("media").alias("r"))
-    return each.select("doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32", "media_bytes", "media_sha256", "r.feature")
+    return each.select("doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32", "media_bytes", "media_sha256", "r.feature", "r.height", "r.width", "r.rgb")
 
 
 def rgb_tensors(media: DataFrame) -> DataFrame:
     """``media``'s columns with ``height, width, rgb`` (row-major bytes) in place of ``media``.
 
-    A null file gives nulls.
+    A null file gives nulls, repeated rows give repeated tensors, an empty table gives an empty one.
+    Any progressive file of one or three components is read. Columns that are called height, width
+    or rgb already are replaced.
     """
-    kind = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
+    kind = T.StructType(_READ.fields[4:])
 
     @F.pandas_udf(kind)
     def tensor(files: pd.Series) -> pd.DataFrame:
@@ -464,11 +471,13 @@ def rgb_tensors(media: DataFrame) -> DataFrame:
             rows.append((None, None, None) if t is None else (t.shape[0], t.shape[1], t.tobytes()))
         return pd.DataFrame(rows, columns=[f.name for f in kind]).astype({"height": "Int32", "width": "Int32"})
 
-    return media.withColumn("__t", tensor("media")).select(*[c for c in media.columns if c != "media"], "__t.height", "__t.width", "__t.rgb")
+    others = [named(c) for c in media.columns if c not in ("media", "height", "width", "rgb")]
+    whole = media.select(F.struct(F.lit(0).alias("media"), *others).alias("row"), tensor("media").alias("tensor"))
+    return whole.select("row.*", "tensor.*").drop("media")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Every text stored as media and read back.
+    """Every text stored as media and read back, with its RGB tensor.
 
     One row for each row: a null text is empty (one unit of bytes 32), null ids stay null, equal
     texts give equal values, an empty table gives an empty one, other columns are ignored.
