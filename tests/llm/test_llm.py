@@ -54,6 +54,35 @@ def test_quality_held_out(spark):
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_quality_gradient_like_finite_differences():
+    rng = np.random.default_rng(7)
+    row, col, shapes = np.repeat(np.arange(30), 3), rng.integers(0, 6, 90), rng.random((30, 4))
+    grades, params = rng.integers(0, 3, 30), [rng.normal(size=6), rng.normal(size=4), np.array([-0.4, 0.7])]
+    _, grads = quality.likelihood(params, row, col, shapes, grades, 1e-2)
+    for p, g in zip(params, grads, strict=True):
+        for k in range(len(p)):
+            p[k] += 1e-6
+            up = quality.likelihood(params, row, col, shapes, grades, 1e-2)[0]
+            p[k] -= 2e-6
+            down = quality.likelihood(params, row, col, shapes, grades, 1e-2)[0]
+            p[k] += 1e-6
+            assert abs((up - down) / 2e-6 - g[k]) < 1e-5
+
+
+def test_quality_tails_like_plain_arithmetic(spark, sf_dir):
+    """Grades of every document against the model's formula over plain loops."""
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least_z=2.0, least_lift=2.0)
+    assert model.weights is not None and (model.weights != 0).any()
+    got = docs.select("text", quality.scorer(docs, model)("text").alias("g")).collect()
+    for r in got:
+        words = {w.lower() for w in (r.text or "").split()}
+        used = {b for w in words for b in quality.buckets_of(w)}
+        score = sum(float(model.weights[b]) for b in used) + float(np.dot(model.shape, quality.features_of(r.text)[1]))
+        tails = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert abs(sum(tails) - r.g.expected_grade) < 1e-3 and abs(tails[-1] - r.g.p_tail) < 1e-3
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (11, 1, 1), (10, None, 0), (None, 1, 0), (12, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
@@ -588,15 +617,53 @@ def test_url_rules(spark):
 def test_url_trees_held_out(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     seen, held = pages.where("page_id % 3 > 0"), pages.where("page_id % 3 = 0")
-    suffixes, sections = url_filter.statistics(url_filter.lexical(seen))
-    ready = lambda df: url_filter.VectorAssembler(inputCols=list(url_filter.FEATURES), outputCol="lexical_vector").transform(
-        url_filter.with_statistics(url_filter.lexical(df).where("ruled is not null"), suffixes, sections).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    features = url_filter.lexical(seen)
+    labelled, shares = features.where("ruled is not null"), url_filter.suffix_shares(features)
+    counts = {k: url_filter.block_counts(labelled, k) for k in ("suffix", "section")}
+    ready = lambda df, own: url_filter.VectorAssembler(inputCols=list(url_filter.FEATURES), outputCol="lexical_vector").transform(
+        url_filter.with_statistics(df.where("ruled is not null"), shares, counts, own).withColumn("label", (F.col("ruled") == "block").cast("double"))
     )
-    model = url_filter.fit(ready(seen))
-    right = model.transform(ready(held)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    model = url_filter.fit(ready(features, True))
+    right = model.transform(ready(url_filter.lexical(held), False)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert right > 0.8
 
 
+def test_url_statistics_leave_a_row_s_own_fold_out(spark):
+    urls = [(k, f"http://h{k % 3}.com/{'de' if k % 2 else 'fr'}/{k}") for k in range(60)]
+    rows = url_filter.lexical(spark.createDataFrame(urls, "page_id long, url string")).where("ruled is not null")
+    counts = {k: url_filter.block_counts(rows, k) for k in ("suffix", "section")}
+    out = url_filter.with_statistics(rows, url_filter.suffix_shares(rows), counts, own=True)
+    got = {r.page_id: r.section_block for r in out.collect()}
+    fold = {r.page_id: r.f for r in rows.select("page_id", url_filter._fold().alias("f")).collect()}
+    for k, _ in urls:
+        others = [j for j, _ in urls if j % 2 == k % 2 and fold[j] != fold[k]]
+        assert abs(got[k] - ((len(others) if k % 2 else 0) + 1) / (len(others) + 2)) < 1e-12
+    assert {r.suffix_share for r in out.collect()} == {1.0}
+
+
+URL_SQL = """WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS raw, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, host, path, r.h || r.p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
+    FROM h LEFT JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))
+SELECT page_id, host, path, rule, v FROM m WHERE k = 1"""
+
+
+def test_url_rules_like_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = db.execute(URL_SQL).fetchall()
+    got = {r.page_id: r for r in url_filter.verdicts(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    assert len(got) == len(want)
+    for page_id, host, path, rule, verdict in want:
+        r = got[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ({verdict} if verdict else {"allow", "block"})
+
+
 # 10 media ------------------------------------------------------------------------------------------
 
 
@@ -713,3 +780,59 @@ def test_general_progressive_scans():
         block[media.ZIGZAG] = coefs[1, 2] * quant
         want = np.clip(basis @ block.reshape(8, 8) @ basis.T + 128, 0, 255)
         assert np.abs(rgb[8:16, 16:24, 0] - want).max() <= 1
+
+
+# pipeline ------------------------------------------------------------------------------------------
+
+
+def tables(spark, docs, bench):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(4, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_stages_keep_what_they_should(spark, sf_dir):
+    from tidemark.llm import pipeline
+
+    docs, seen, by_name = documents(spark, sf_dir), [], dict(pipeline.STAGES)
+    for name, stage in pipeline.STAGES[:-1]:
+        after = pipeline.staged(stage(spark, docs, sf_dir), "test")
+        assert after.columns == docs.columns
+        seen.append((name, docs, after))
+        docs = after
+    (_, every, good), (_, _, single), (_, _, clean), (_, _, mixed) = seen
+    graded = quality.classify(every, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select("doc_id")
+    assert sorted(graded.collect()) == sorted(good.select("doc_id").collect())
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, n, c, _ in brute_components(rows) if n} | {i for i, n, _, _ in brute_components(rows) if not n})
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = {r.doc_id for r in decontamination.leaks(single, bench).collect()}
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - bad
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(clean).collect() if r.taken}
+    got = defaultdict(int)
+    for r in mixed.collect():
+        got[r.doc_id] += 1
+    assert got == taken
+    back, enc = defaultdict(list), packing._encoder("byte_bpe_50k.tiktoken")
+    for r in pipeline.pack_tokens(spark, mixed, sf_dir).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        for k, d in enumerate(r.doc_ids):
+            back[d] += ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
+    text = {r.doc_id: r.text for r in mixed.collect()}
+    assert {d: sorted(x) for d, x in back.items()} == {d: sorted(enc.encode_ordinary(text[d]) * n) for d, n in taken.items()}
+    assert set(by_name) == {n for n, _ in pipeline.STAGES}
+
+
+@pytest.mark.parametrize("case", ["odd", "empty", "no benchmark"])
+def test_pipeline_of_odd_and_empty_tables(spark, case):
+    from tidemark.llm import pipeline
+
+    docs = empty_documents(spark) if case == "empty" else odd_documents(spark)
+    bench = spark.createDataFrame([] if case == "no benchmark" else [(1, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11 word12"), (2, None)], "item_id long, text string")
+    out = pipeline.run(spark, tables(spark, docs, bench))
+    assert "ids" in out.columns and (out.count() == 0) == (case == "empty")
+    found = {d for r in out.select("doc_ids").collect() for d in r.doc_ids}
+    assert (4 in found) == (case == "no benchmark")

@@ -29,8 +29,10 @@ FIT_ROWS = 8000
 BUCKETS = 1 << 18
 #: Letters of a word's stem features.
 STEMS = (4, 5)
-#: Features that the fit uses: those whose share of documents differs most between grades, with at
-#: least this z statistic and one share at least this many times the other.
+#: Features that the fit uses, unless told otherwise: those whose share of documents differs most
+#: between grades, with at least this z statistic and one share at least this many times the other.
+#: The z statistic grows with the square root of the sample, so a sample of under some hundred rows
+#: may pass no word; its model then judges by shapes alone. Give a lower bar for such samples.
 FEATURES = 2000
 LEAST_Z = 6.0
 LEAST_LIFT = 8.0
@@ -94,7 +96,7 @@ def features_of(text: str | None) -> tuple[list[int], list[float]]:
     return sorted(found), shape_of(text, words, len(kinds))
 
 
-def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+def telling(counts: np.ndarray, totals: np.ndarray, features: int = FEATURES, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> np.ndarray:
     """Buckets, in order, whose share of documents differs between those below and above some grade.
 
     ``counts[b, g]`` is the number of documents of grade g that have bucket b.
@@ -106,9 +108,30 @@ def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
         p, q = counts[:, cut:].sum(axis=1) / above, counts[:, :cut].sum(axis=1) / below
         z = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / above + 1 / below))
         lift = np.maximum((p + 0.5 / above) / (q + 0.5 / below), (q + 0.5 / below) / (p + 0.5 / above))
-        best = np.maximum(best, np.where(lift >= LEAST_LIFT, z, 0))
-    order = np.argsort(-best, kind="stable")[:FEATURES]
-    return np.sort(order[best[order] >= LEAST_Z])
+        best = np.maximum(best, np.where(lift >= least_lift, z, 0))
+    order = np.argsort(-best, kind="stable")[:features]
+    return np.sort(order[best[order] >= least_z])
+
+
+def likelihood(params: tuple, row: np.ndarray, col: np.ndarray, shapes: np.ndarray, grades: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """Mean log-likelihood of the grades, less ``decay`` / 2 of the squared weights, and its gradient.
+
+    ``params`` are the weights of the used buckets, those of the shapes, and the ordered thresholds;
+    document ``row[k]`` has the used bucket ``col[k]``.
+    """
+    w, s, cuts = params
+    n, at = len(grades), np.arange(len(grades))
+    score = np.bincount(row, w[col], minlength=n) + shapes @ s
+    tail = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - cuts[None, :], -40, 40)))
+    bounds = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
+    slope = bounds * (1 - bounds)
+    likely = np.maximum(bounds[at, grades] - bounds[at, grades + 1], 1e-9)
+    d_score = (slope[at, grades] - slope[at, grades + 1]) / likely
+    share = slope[:, 1:-1] / likely[:, None]
+    above = grades[:, None] - np.arange(len(cuts))[None, :]  # 1: the threshold is the grade's lower bound, 0: its upper one
+    d_cuts = np.where(above == 0, share, np.where(above == 1, -share, 0.0)).sum(axis=0)
+    grads = [np.bincount(col, d_score[row], minlength=len(w)) / n - decay * w, shapes.T @ d_score / n, d_cuts / n]
+    return float(np.log(likely).mean() - decay / 2 * (w @ w)), grads
 
 
 def fit(buckets: list[np.ndarray], used: np.ndarray, shapes: np.ndarray, grades: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
@@ -118,37 +141,24 @@ def fit(buckets: list[np.ndarray], used: np.ndarray, shapes: np.ndarray, grades:
     model that keeps everything.
     """
     if len(grades) == 0 or len(np.unique(grades)) < 2:
-        return OrdinalModel(None, None, np.array([-1.0, -0.5]))
+        return OrdinalModel(None, None, np.linspace(-1.0, -0.5, GRADES - 1))
     sizes = np.array([len(b) for b in buckets])
     flat = np.concatenate(buckets) if sizes.sum() else np.zeros(0, np.int64)
     row, col = np.repeat(np.arange(len(grades)), sizes), np.searchsorted(used, flat)
-    w, s, cuts = np.zeros(len(used)), np.zeros(shapes.shape[1]), np.array([-1.0, 0.0])
-    sums = [np.zeros_like(w) + 1e-8, np.zeros_like(s) + 1e-8, np.zeros_like(cuts) + 1e-8]
-    moves = [np.zeros_like(w), np.zeros_like(s), np.zeros_like(cuts)]
+    params = np.zeros(len(used)), np.zeros(shapes.shape[1]), np.linspace(-1.0, 0.0, GRADES - 1)
+    cuts = params[2]
+    sums, moves = [np.zeros_like(p) + 1e-8 for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
-        score = np.bincount(row, w[col], minlength=len(grades)) + shapes @ s
-        tail = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - cuts[None, :], -40, 40)))
-        bounds = np.hstack([np.ones((len(grades), 1)), tail, np.zeros((len(grades), 1))])
-        slope = bounds * (1 - bounds)
-        at = np.arange(len(grades))
-        likely = np.maximum(bounds[at, grades] - bounds[at, grades + 1], 1e-9)
-        d_score = (slope[at, grades] - slope[at, grades + 1]) / likely
-        d_cuts = np.zeros(len(cuts))
-        for k in range(len(cuts)):
-            lower, upper = grades == k + 1, grades == k
-            d_cuts[k] = (-(slope[:, k + 1] / likely)[lower].sum() + (slope[:, k + 1] / likely)[upper].sum())
-        grads = [
-            np.bincount(col, d_score[row], minlength=len(used)) / len(grades) - decay * w,
-            shapes.T @ d_score / len(grades),
-            d_cuts / len(grades),
-        ]
-        for p, g, q, m in zip((w, s, cuts), grads, sums, moves, strict=True):
+        _, grads = likelihood(params, row, col, shapes, grades, decay)
+        for p, g, q, m in zip(params, grads, sums, moves, strict=True):
             m *= 0.9
             m += 0.1 * g
             q *= 0.99
             q += 0.01 * g * g
             p += rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
-        cuts[1] = max(cuts[1], cuts[0] + 1e-3)
+        apart = 1e-3 * np.arange(len(cuts))
+        cuts[:] = np.maximum.accumulate(cuts - apart) + apart  # thresholds stay in order
+    w, s, _ = params
     full = np.zeros(BUCKETS, np.float32)
     full[used] = w
     return OrdinalModel(full, s, cuts)
@@ -159,8 +169,8 @@ def grade_of(quality, toxic):
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fit on at most ``fit_rows`` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> OrdinalModel:
+    """Fit on at most ``fit_rows`` labelled documents and ``features`` telling buckets.
 
     Repeated labels of one id count once, at the lowest grade; rows with a null id or label, and
     labels without a document, are left out. An empty sample gives a model that keeps everything.
@@ -185,10 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     by_grade = [F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]
     totals = np.array(found.agg(*by_grade).first(), np.int64)
     # at most BUCKETS rows of counts come to the driver
-    table = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*by_grade).where("g0 + g1 + g2 >= 3").toPandas()
+    table = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*by_grade).where(" + ".join(f"g{g}" for g in range(GRADES)) + " >= 3").toPandas()
     counts = np.zeros((BUCKETS, GRADES), np.int64)
     counts[table["bucket"].to_numpy(np.int64)] = table[[f"g{g}" for g in range(GRADES)]].to_numpy(np.int64)
-    used = telling(counts, totals)
+    used = telling(counts, totals, features, least_z, least_lift)
 
     def restrict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -250,6 +260,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP_TAIL, f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP_TAIL, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose tail probability reaches ``keep_tail``."""
+    """The rows of ``docs``, all columns, whose tail probability reaches ``keep_tail``.
+
+    A null text is graded as an empty one; rows with a null id are graded too; repeated rows stay or
+    go together; without usable labels all rows stay; an empty table gives an empty one. Column
+    names don't matter.
+    """
     score = scorer(docs, train(docs, labels, fit_rows))
     return docs.where(score(F.coalesce("text", F.lit("")))["p_tail"] >= keep_tail)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import chat_format, decontamination, jaccard_join, media, mixing, packing, pii, quality, token_counts, url_filter
+from tidemark.llm import pipeline as stages
 from tidemark.llm.common import documents
 
 
@@ -55,9 +56,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,7 +2,9 @@
 
 Everything is DataFrame functions and pyspark.ml, so it stays in the JVM. Labelled URLs are those
 that a rule decides; the trees learn from lexical features of at most ``FIT_ROWS`` of them: lengths,
-depth, digit ratio, character entropy, parameter counts, and statistics of the host's suffix.
+depth, digit ratio, character entropy, parameter counts, and statistics of the host's suffix and of
+the first path section. Shares of blocked URLs come from the sample, each row's own from the other
+folds, so no label reaches its own features.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Bound on the labelled URLs that the trees are fitted on.
 FIT_ROWS = 4000
 ROUNDS, DEPTH = 12, 4
+#: Folds of the labelled URLs; a row's shares of blocked ones leave its own fold out.
+FOLDS = 5
+#: A suffix with less than this part of all rows counts as one without any, so at most so many have a share.
+SHARES = 2000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "parameters", "query_length", "has_fragment", "is_secure", "suffix_share", "suffix_block", "section_block")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,22 +84,40 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def _rates(features: DataFrame, key: str) -> DataFrame:
-    """Rows, and the smoothed share of blocked among labelled ones, by the values of a column."""
-    by = features.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
-    return by.select(key, "rows", ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias(f"{key}_block"))
+def suffix_shares(features: DataFrame) -> DataFrame:
+    """``suffix, suffix_share``: each suffix's part of all rows, where it is at least 1 / ``SHARES``; so at most ``SHARES`` rows."""
+    counts = staged(features.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows")), "suffix-counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    return counts.where(F.col("rows") * SHARES >= total).select("suffix", (F.col("rows") / F.lit(max(1, total))).alias("suffix_share"))
 
 
-def statistics(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Statistics of host suffixes and of first path sections, over all rows."""
-    total = features.agg(F.count(F.lit(1)).alias("total"))  # one row
-    suffixes = _rates(features, "suffix").crossJoin(total).select("suffix", "suffix_block", (F.col("rows") / F.col("total")).alias("suffix_share"))
-    return suffixes, _rates(features, "section").drop("rows")
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(FOLDS))
 
 
-def with_statistics(features: DataFrame, suffixes: DataFrame, sections: DataFrame) -> DataFrame:
-    known = features.join(suffixes, "suffix", "left").join(sections, "section", "left")
-    return known.fillna({"suffix_share": 0.0, "suffix_block": 0.5, "section_block": 0.5})
+def block_counts(labelled: DataFrame, key: str) -> DataFrame:
+    """``key, fold, n, blocked`` of labelled rows; the fold -1 has the sums of all. At most two rows for each labelled one."""
+    each = labelled.select(key, F.explode(F.array(_fold(), F.lit(-1).cast("long"))).alias("fold"), (F.col("ruled") == "block").cast("long").alias("b"))
+    return each.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("blocked"))
+
+
+def with_statistics(rows: DataFrame, shares: DataFrame, counts: dict[str, DataFrame], own: bool = False) -> DataFrame:
+    """``rows`` with ``suffix_share`` and the smoothed share of blocked URLs by suffix and by section.
+
+    ``own``: the rows are the labelled ones themselves, and what their fold adds is taken off. The
+    tables have at most ``SHARES`` and twice ``FIT_ROWS`` rows by construction, so they are broadcast.
+    """
+    out = rows.join(F.broadcast(shares), "suffix", "left").fillna({"suffix_share": 0.0})
+    for key, table in counts.items():
+        whole = table.where("fold = -1").select(key, F.col("n").alias(f"{key}_n"), F.col("blocked").alias(f"{key}_b"))
+        out = out.join(F.broadcast(whole), key, "left")
+        n, b = F.coalesce(f"{key}_n", F.lit(0)), F.coalesce(f"{key}_b", F.lit(0))
+        if own:
+            fold = table.where("fold >= 0").select(key, F.col("fold").alias("of"), F.col("n").alias(f"{key}_fn"), F.col("blocked").alias(f"{key}_fb"))
+            out = out.withColumn("of", _fold()).join(F.broadcast(fold), [key, "of"], "left").drop("of")
+            n, b = n - F.coalesce(f"{key}_fn", F.lit(0)), b - F.coalesce(f"{key}_fb", F.lit(0))
+        out = out.withColumn(f"{key}_block", (b + 1) / (n + 2)).drop(f"{key}_n", f"{key}_b", f"{key}_fn", f"{key}_fb")
+    return out
 
 
 def verdicts(pages: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -105,10 +129,11 @@ def verdicts(pages: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     empty one, other columns are ignored.
     """
     features = staged(lexical(pages), "urls")
-    suffixes, sections = (staged(s, "url-statistics") for s in statistics(features))
-    labelled = features.where("ruled IS NOT NULL").orderBy(F.xxhash64("page_id", "host", "path"), "page_id").limit(fit_rows)
-    sample = staged(with_statistics(labelled, suffixes, sections).withColumn("label", (F.col("ruled") == "block").cast("double")), "labelled")
-    rows = with_statistics(features, suffixes, sections)
+    labelled = staged(features.where("ruled IS NOT NULL").orderBy(F.xxhash64("page_id", "host", "path"), "page_id").limit(fit_rows), "labelled-urls")
+    shares = staged(suffix_shares(features), "suffix-shares")
+    counts = {key: staged(block_counts(labelled, key), f"{key}-counts") for key in ("suffix", "section")}
+    sample = staged(with_statistics(labelled, shares, counts, own=True).withColumn("label", (F.col("ruled") == "block").cast("double")), "labelled")
+    rows = with_statistics(features, shares, counts)
     decided = F.col("ruled")
     if sample.agg(F.countDistinct("label")).first()[0] < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce(decided, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
