@@ -1,55 +1,7 @@
-"""From documents to packed token ids: five stages, each written as Parquet and read again."""
+"""From documents to packed token ids; the stages are in ``tidemark.llm.pipeline``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemark.llm import decontamination, jaccard_join, mixing, packing, quality
-from tidemark.llm.common import staged
-
-
-def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier keeps."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    return jaccard_join.keep_one(docs)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_rows(docs)
-
-
-def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
-    return packing.pack(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", select_quality),
-    ("n-gram Jaccard join", drop_copies),
-    ("benchmark decontamination", drop_benchmark),
-    ("mixing sources", mix_sources),
-    ("token-ID output", pack_tokens),
-]
-
-#: SQL can express neither the classifier nor the packing; the stages are tested by brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
