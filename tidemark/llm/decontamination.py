@@ -32,13 +32,16 @@ from pyspark.sql import types as T
 Q = 5
 #: Edits allowed for each character of an item or of a segment.
 EDIT_RATE = 0.15
-#: Characters of a segment of a longer item, one machine word of the alignment; item positions of a
-#: cell of the grid.
-WINDOW = 64
-#: Strings that are aligned side by side.
-SIDE_BY_SIDE = 2048
+#: Characters of a segment of a longer item, and those of it that are aligned first, in a machine word.
+WINDOW, WORD = 66, 64
+#: Diagonals within which regions of one item with the same segments are one place.
+SAME_PLACE = 32
+#: Strings that are aligned side by side; fewer than ``ONE_BY_ONE`` are not worth it.
+SIDE_BY_SIDE, ONE_BY_ONE = 2048, 24
 #: Characters of an item up to which its pieces are aligned before the whole.
 PIECEWISE = 2048
+#: Item positions of a cell of the grid, at least ``WINDOW``.
+STRETCH = 128
 #: Diagonals of a cell of the grid; two cells hold a segment's hits.
 CELL = 16
 #: Diagonals of a cell of the bands of single windows; three cells hold a segment's hits.
@@ -108,36 +111,39 @@ def _segments(codes: np.ndarray) -> list[tuple[int, int]]:
     return [(p, WINDOW) for p in sorted(starts)]
 
 
-def _near(pattern: list[int], region: list[int], e: int) -> bool:
-    """Whether the pattern is within e edits of a part of the region (Myers' bit vectors)."""
+def _least(pattern: list[int], region: list[int], enough: int = 0) -> int:
+    """The edits between the pattern and the nearest part of the region (Myers' bit vectors); the first found of at most ``enough``."""
     m = len(pattern)
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    full, top = (1 << m) - 1, m - 1
     where: dict[int, int] = {}
     for k, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << k
     up, down, score = full, 0, m
+    best = m
     for c in region:
         eq = where.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         ph = down | (full & ~(xh | up))
         mh = up & xh
-        score += 1 if ph & top else -1 if mh & top else 0
-        if score <= e:
-            return True
+        score += (ph >> top & 1) - (mh >> top & 1)
+        if score < best:
+            best = score
+            if score <= enough:
+                break
         ph, mh = (ph << 1) & full, (mh << 1) & full
         up, down = mh | (full & ~(xv | ph)), ph & xv
-    return False
+    return best
 
 
 def least_edits(patterns: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> np.ndarray:
     """For each row, the edits between its pattern and the nearest part of its region.
 
-    As ``_near``, one column of all regions at a time: patterns (K, 64) and regions (K, n) of code
+    As ``_least``, one column of all regions at a time: patterns (K, 64) and regions (K, n) of code
     points, of which the first ``sizes`` of a pattern count and no pattern has the region's padding.
     """
     one = np.uint64(1)
-    inside = np.arange(WINDOW) < sizes[:, None]
+    inside = np.arange(WORD) < sizes[:, None]
     full = np.packbits(inside, axis=1, bitorder="little").view("<u8").ravel()
     last = (sizes - 1).astype(np.uint64)
     up, down, score, best = full.copy(), np.zeros(len(sizes), np.uint64), sizes.astype(np.int64), sizes.astype(np.int64)
@@ -164,8 +170,8 @@ class Index:
         sizes = [len(g) for g in grams]
         keys = np.concatenate([np.zeros(0, np.uint64), *grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)]).astype(np.int64)
-        cells = np.array([-(-n // WINDOW) for n in sizes] or [0])
-        cell = np.repeat(np.cumsum(cells) - cells, sizes) + place // WINDOW
+        cells = np.array([-(-n // STRETCH) for n in sizes] or [0])
+        cell = np.repeat(np.cumsum(cells) - cells, sizes) + place // STRETCH
         self.item_of = np.repeat(np.arange(len(grams)), cells)
         order = np.argsort(keys, kind="stable")
         self.keys, first = np.unique(keys[order], return_index=True)
@@ -186,7 +192,7 @@ class Index:
         self.offset = np.cumsum(self.length) - self.length
         self.bound = np.array([int(s[3].min()) for s in self.segments] or [1])
         reach = self.bound[self.item_of]
-        self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], 10_000)), 10_000).astype(np.int16)[:, None]  # of the stretch and the next
+        self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], 8000)), 8000).astype(np.int16)[:, None]  # of the stretch and the next
         self.short = [(i, " " + _words(c) + " ") for i, c in enumerate(self.codes) if len(c) < Q]
         self.overlap = self.longest + 2 * int(self.edits.max()) + 2 * CELL + 2
 
@@ -215,11 +221,12 @@ class Index:
         diagonal -= self.place[ref]
         key = self.cell[ref] * wide
         key += diagonal // CELL
-        count = np.minimum(np.bincount(key, minlength=len(self.item_of) * wide), 10_000).astype(np.int16).reshape(-1, wide)
-        two = count[:, :-1] + count[:, 1:]
-        two = np.minimum(two, 10_000)
-        both = two.copy()
-        both[:-1] += two[1:]
+        count = np.bincount(key, minlength=len(self.item_of) * wide)
+        if total > 8000:  # four cells' hits stay within 16 bits
+            np.minimum(count, 8000, out=count)
+        count = count.astype(np.int16).reshape(-1, wide)
+        both = count[:, :-1] + count[:, 1:]
+        both[:-1] += both[1:]
         spots = np.flatnonzero(both >= self.reach)
         if not len(spots):
             return []
@@ -242,15 +249,15 @@ class Index:
         for (i, low, _), segments, may in zip(bands, close, whole, strict=True):
             if not len(segments):
                 continue
-            before = next(((x, held) for x, d, held in reversed(out[-4:]) if x[0] == i and abs(d - low) <= 2 * CELL), None)
-            if before and (before[0][4] == self.length[i] or before[1].issuperset(segments[:, 0].tolist())):
+            before = next(((x, held) for x, d, held in reversed(out[-4:]) if x[0] == i and abs(d - low) <= SAME_PLACE), None)
+            if before and (before[0][4] == self.length[i] or before[1].issuperset(segments)):
                 continue  # the same place, from a band that overlaps
             if (found := self.verify(i, low - self.longest, segments, codes, may, aligned)) is not None:
-                out.append((found, low, set(segments[:, 0].tolist())))
+                out.append((found, low, set(segments)))
         return sorted(x for x, _, _ in out)
 
-    def close_segments(self, bands: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> list[np.ndarray]:
-        """For each band, (segment, edits) of those of its item that share enough q-grams there and are within their edits.
+    def close_segments(self, bands: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> list[list[int]]:
+        """For each band, those segments of its item that share enough q-grams there and whose first ``WORD`` characters are within the segment's edits.
 
         Segments of equal text at one place, as items made from one template have them, are aligned once.
         """
@@ -264,15 +271,14 @@ class Index:
             if len(j):
                 left = np.maximum(0, start[j] + low - self.longest - edits[j])
                 right = np.maximum(0, start[j] + low - self.longest + 3 * FINE + size[j] + edits[j])
-                tried.append(np.stack([np.full(len(j), b), j, self.offset[i] + start[j], size[j], edits[j], left, right], axis=1))
-        out: list[list[tuple[int, int]]] = [[] for _ in bands]
+                tried.append(np.stack([np.full(len(j), b), j, self.offset[i] + start[j], np.minimum(WORD, size[j]), edits[j], left, right], axis=1))
+        out: list[list[int]] = [[] for _ in bands]
         if tried:
             rows = np.concatenate(tried)
-            least = self.nearest(rows[:, 2:4], rows[:, 5:], codes)
-            near = least <= rows[:, 4]
-            for (b, j), d in zip(rows[near, :2].tolist(), least[near].tolist(), strict=True):
-                out[b].append((j, d))
-        return [np.array(js, np.int64).reshape(-1, 2) for js in out]
+            near = self.nearest(rows[:, 2:4], rows[:, 5:], codes) <= rows[:, 4]
+            for b, j in rows[near, :2].tolist():
+                out[b].append(j)
+        return out
 
     def bands(self, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(item, first diagonal, item positions) of the bands where a window of item positions reaches the bound."""
@@ -288,37 +294,41 @@ class Index:
                 yield g // wide, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
 
     def nearest(self, strings: np.ndarray, spans: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The least edits between strings (offset, size; at most ``WINDOW`` long) of items and spans (from, to) of a text.
+        """The least edits between strings (offset, size; at most ``WORD`` long) of items and spans (from, to) of a text.
 
         Strings of equal text that meet the same span are aligned once.
         """
         wide, out = int((spans[:, 1] - spans[:, 0]).max()), np.zeros(len(strings), np.int64)
         padded = np.concatenate([codes.astype(np.uint32), np.full(wide + 1, 0xFFFFFFFF, np.uint32)])
-        flat = np.concatenate([self.flat, np.zeros(WINDOW, np.uint32)])
+        flat = np.concatenate([self.flat, np.zeros(WORD, np.uint32)])
         for k in range(0, len(strings), SIDE_BY_SIDE):
             here = slice(k, k + SIDE_BY_SIDE)
             size, span = strings[here, 1], spans[here]
-            patterns = flat[strings[here, 0, None] + np.arange(WINDOW)]
-            patterns[np.arange(WINDOW) >= size[:, None]] = 0
+            patterns = flat[strings[here, 0, None] + np.arange(WORD)]
+            patterns[np.arange(WORD) >= size[:, None]] = 0
             key = np.ascontiguousarray(np.concatenate([patterns, size[:, None], span], axis=1).astype(np.uint32))
             _, first, same = np.unique(key.view(np.dtype((np.void, key.strides[0]))).ravel(), return_index=True, return_inverse=True)
             low, high = span[first, 0], span[first, 1]
+            if len(first) < ONE_BY_ONE:
+                plain = [_least(patterns[f, :n].tolist(), padded[a:b].tolist()) for f, n, a, b in zip(first, size[first].tolist(), low.tolist(), high.tolist(), strict=True)]
+                out[here] = np.array(plain, np.int64)[same.ravel()]
+                continue
             regions = padded[np.minimum(low[:, None] + np.arange(wide), len(padded) - 1)]
             regions[np.arange(wide) >= (high - low)[:, None]] = 0xFFFFFFFF
             out[here] = least_edits(patterns[first], size[first], regions)[same.ravel()]
         return out
 
-    def may_be_whole(self, bands: list[tuple[int, int, np.ndarray]], close: list[np.ndarray], seen: np.ndarray, codes: np.ndarray) -> list[bool]:
+    def may_be_whole(self, bands: list[tuple[int, int, np.ndarray]], close: list[list[int]], seen: np.ndarray, codes: np.ndarray) -> list[bool]:
         """Whether a band's whole item can be within its edits: by the lemma over all hits, and as the item's pieces
-        of ``WINDOW`` characters need at least the sum of their own least edits."""
+        of ``WORD`` characters need at least the sum of their own least edits."""
         out, strings, spans, of = [False] * len(bands), [], [], []
         for b, (i, low, _) in enumerate(bands):
             m, e = int(self.length[i]), int(self.edits[i])
             out[b] = len(close[b]) > 0 and bool(seen[i] >= m - Q + 1 - Q * e)
             if out[b] and m <= PIECEWISE:
-                at = np.arange(0, m, WINDOW)
+                at = np.arange(0, m, WORD)
                 low -= self.longest
-                strings.append(np.stack([self.offset[i] + at, np.minimum(WINDOW, m - at)], axis=1))
+                strings.append(np.stack([self.offset[i] + at, np.minimum(WORD, m - at)], axis=1))
                 spans.append(np.broadcast_to([max(0, low - e), max(0, low + 3 * FINE + m + e)], (len(at), 2)))
                 of += [b] * len(at)
         if of:
@@ -327,10 +337,11 @@ class Index:
                 out[b] = bool(least[b] <= self.edits[bands[b][0]])
         return out
 
-    def verify(self, i: int, low: int, segments: np.ndarray, codes: np.ndarray, whole_may: bool, aligned: dict) -> tuple[int, int, int, int, int] | None:
+    def verify(self, i: int, low: int, segments: list[int], codes: np.ndarray, whole_may: bool, aligned: dict) -> tuple[int, int, int, int, int] | None:
         """The region of item i on the band of diagonals from low on, given its segments that are close there.
 
-        It is the whole item's, or from the start of the first to the end of the last of those segments.
+        It is the whole item's, or from the start of the first to the end of the last of those
+        segments that is within its edits, with the edits of the nearer of the two.
         ``aligned`` remembers alignments by text and place, which items of one template share.
         """
         start, size, edits, _ = self.segments[i]
@@ -338,21 +349,24 @@ class Index:
         if whole_may:
             side = max(0, low - e)
             around = codes[side : max(0, low + 3 * FINE + m + e)]
-            if _near(self.codes[i].tolist(), around.tolist(), e) and (whole := self.align(i, around)) is not None:
+            if _least(self.codes[i].tolist(), around.tolist(), e) <= e and (whole := self.align(i, around)) is not None:
                 return i, side + whole[0], side + whole[1], whole[2], m
         ends = []
-        for j in (int(segments[0, 0]), int(segments[-1, 0])):
-            p, n, e = int(start[j]), int(size[j]), int(edits[j])
-            left, right = max(0, p + low - e), max(0, p + low + 3 * FINE + n + e)
-            part = self.codes[i][p : p + n]
-            key = part.tobytes(), left, right
-            if key not in aligned:
-                aligned[key] = _align(part, e, codes[left:right])
-            if (got := aligned[key]) is None:
-                return None  # within its edits only beside this band, whose own neighbour finds it
-            ends.append((left + got[0], left + got[1]))
-        d, n = min(((int(d), int(size[j])) for j, d in segments.tolist()), key=lambda x: x[0] / x[1])
-        return i, min(x for x, _ in ends), max(y for _, y in ends), d, n
+        for order in (segments, reversed(segments)):
+            for j in order:
+                p, n, e = int(start[j]), int(size[j]), int(edits[j])
+                left, right = max(0, p + low - e), max(0, p + low + 3 * FINE + n + e)
+                part = self.codes[i][p : p + n]
+                key = part.tobytes(), left, right
+                if key not in aligned:
+                    aligned[key] = _align(part, e, codes[left:right])
+                if (got := aligned[key]) is not None:
+                    ends.append((got[2] / n, got[2], n, left + got[0], left + got[1]))
+                    break
+        if not ends:
+            return None
+        _, d, n, _, _ = min(ends)
+        return i, min(x[3] for x in ends), max(x[4] for x in ends), d, n
 
     def align(self, i: int, region: np.ndarray) -> tuple[int, int, int] | None:
         """The best place of item i in a region of few diagonals, as (start, end, edits)."""
