@@ -250,14 +250,14 @@ class Index:
             if not len(segments):
                 continue
             before = next(((x, held) for x, d, held in reversed(out[-4:]) if x[0] == i and abs(d - low) <= SAME_PLACE), None)
-            if before and (before[0][4] == self.length[i] or before[1].issuperset(segments)):
+            if before and (before[0][4] == self.length[i] or before[1].issuperset(j for j, _ in segments)):
                 continue  # the same place, from a band that overlaps
             if (found := self.verify(i, low - self.longest, segments, codes, may, aligned)) is not None:
-                out.append((found, low, set(segments)))
+                out.append((found, low, {j for j, _ in segments}))
         return sorted(x for x, _, _ in out)
 
-    def close_segments(self, bands: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> list[list[int]]:
-        """For each band, those segments of its item that share enough q-grams there and whose first ``WORD`` characters are within the segment's edits.
+    def close_segments(self, bands: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each band, those segments of its item, with the edits of their first characters, that share enough q-grams there and whose first ``WORD`` characters are within the segment's edits.
 
         Segments of equal text at one place, as items made from one template have them, are aligned once.
         """
@@ -272,12 +272,13 @@ class Index:
                 left = np.maximum(0, start[j] + low - self.longest - edits[j])
                 right = np.maximum(0, start[j] + low - self.longest + 3 * FINE + size[j] + edits[j])
                 tried.append(np.stack([np.full(len(j), b), j, self.offset[i] + start[j], np.minimum(WORD, size[j]), edits[j], left, right], axis=1))
-        out: list[list[int]] = [[] for _ in bands]
+        out: list[list[tuple[int, int]]] = [[] for _ in bands]
         if tried:
             rows = np.concatenate(tried)
-            near = self.nearest(rows[:, 2:4], rows[:, 5:], codes) <= rows[:, 4]
-            for b, j in rows[near, :2].tolist():
-                out[b].append(j)
+            least = self.nearest(rows[:, 2:4], rows[:, 5:], codes)
+            near = least <= rows[:, 4]
+            for (b, j), d in zip(rows[near, :2].tolist(), least[near].tolist(), strict=True):
+                out[b].append((j, d))
         return out
 
     def bands(self, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -318,7 +319,7 @@ class Index:
             out[here] = least_edits(patterns[first], size[first], regions)[same.ravel()]
         return out
 
-    def may_be_whole(self, bands: list[tuple[int, int, np.ndarray]], close: list[list[int]], seen: np.ndarray, codes: np.ndarray) -> list[bool]:
+    def may_be_whole(self, bands: list[tuple[int, int, np.ndarray]], close: list[list[tuple[int, int]]], seen: np.ndarray, codes: np.ndarray) -> list[bool]:
         """Whether a band's whole item can be within its edits: by the lemma over all hits, and as the item's pieces
         of ``WORD`` characters need at least the sum of their own least edits."""
         out, strings, spans, of = [False] * len(bands), [], [], []
@@ -337,11 +338,11 @@ class Index:
                 out[b] = bool(least[b] <= self.edits[bands[b][0]])
         return out
 
-    def verify(self, i: int, low: int, segments: list[int], codes: np.ndarray, whole_may: bool, aligned: dict) -> tuple[int, int, int, int, int] | None:
+    def verify(self, i: int, low: int, segments: list[tuple[int, int]], codes: np.ndarray, whole_may: bool, aligned: dict) -> tuple[int, int, int, int, int] | None:
         """The region of item i on the band of diagonals from low on, given its segments that are close there.
 
         It is the whole item's, or from the start of the first to the end of the last of those
-        segments that is within its edits, with the edits of the nearer of the two.
+        segments that is within its edits, with the edits of the nearest one.
         ``aligned`` remembers alignments by text and place, which items of one template share.
         """
         start, size, edits, _ = self.segments[i]
@@ -352,8 +353,8 @@ class Index:
             if _least(self.codes[i].tolist(), around.tolist(), e) <= e and (whole := self.align(i, around)) is not None:
                 return i, side + whole[0], side + whole[1], whole[2], m
         ends = []
-        for order in (segments, reversed(segments)):
-            for j in order:
+        for order in (segments, reversed(segments), sorted(segments, key=lambda x: x[1])):
+            for j, _ in order:
                 p, n, e = int(start[j]), int(size[j]), int(edits[j])
                 left, right = max(0, p + low - e), max(0, p + low + 3 * FINE + n + e)
                 part = self.codes[i][p : p + n]
@@ -436,7 +437,7 @@ def found_in(text: str, ix: Index) -> list[dict]:
                 s = at + blank
                 found.append((i, s, s + len(word) - 2, 0, len(word) - 2))
                 at = words.find(word, at + 1)
-    out: list[list[int]] = []
+    out: list[list[tuple[int, int]]] = []
     for i, s, e, d, m in found:
         if out and out[-1][0] == i and s < out[-1][2]:
             best = min((-out[-1][4], out[-1][3]), (-m, d))
