@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,8 +28,29 @@ def test_windows_match_batch(spark, events):
     stream, batch = events
     make = lambda e: e.select(F.col("event_type").alias("topic"), F.col("user_id").alias("author"), F.col("ts").alias("published_at"), F.col("value").alias("sentiment"))
     got = drained(spark, jobs.narrative_windows(make(stream)), "z1", "complete")
-    want = make(batch).groupBy("topic", F.window("published_at", "1 day").start.alias("window_start")).agg(F.count("*").alias("volume"))
-    assert got.select("topic", "window_start", "volume").exceptAll(want).count() == 0 and got.count() == want.count()
+    by = make(batch).groupBy("topic", F.window("published_at", "1 day").start.alias("window_start"))
+    want = by.agg(F.count("*").alias("volume"), F.count_distinct("author").alias("authors"), F.round(F.avg("sentiment"), 9).alias("s"))
+    got = got.withColumn("s", F.round("sentiment", 9)).drop("sentiment")
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_windows_close_by_watermark_and_drop_late_posts(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/posts"
+    posts = lambda *rows: spark.createDataFrame([("t", a, pd.Timestamp(at, tz="UTC").to_pydatetime(), 1.0) for a, at in rows], "topic string, author long, published_at timestamp, sentiment double").coalesce(1).write.mode("append").parquet(folder)
+    posts((1, "2024-01-01 10:00"), (2, "2024-01-01 11:00"), (1, "2024-01-03 12:00"))
+    checkpoint = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out"
+
+    def run():
+        stream = spark.readStream.schema("topic string, author long, published_at timestamp, sentiment double").parquet(folder)
+        q = jobs.narrative_windows(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+
+    run()
+    posts((3, "2024-01-01 12:00"), (4, "2024-01-03 13:00"), (5, "2024-01-06 00:00"))  # the first is later than the watermark
+    run()
+    got = {(r.window_start.day, r.volume, r.authors) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 2, 2), (3, 2, 2)}
 
 
 def test_sliding_sli(spark, events):
@@ -54,11 +76,18 @@ def test_reservation_matches_batch(spark, events):
 
 def test_append_new_is_idempotent(spark, events):
     _, batch = events
-    sink = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/sink"
-    write = jobs.append_new(sink, ["event_id"])
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    write = jobs.append_new(f"{folder}/sink", f"{folder}/conflicts", ["event_id"])
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(sink).count() == batch.count()
+    assert spark.read.parquet(f"{folder}/sink").count() == batch.count()
+    assert spark.read.parquet(f"{folder}/conflicts").count() == 0
+    changed = batch.where("event_id < 3").withColumn("value", F.col("value") + 1)
+    for _ in range(2):
+        write(changed.unionByName(batch.where("event_id = 5")), 1)
+    assert spark.read.parquet(f"{folder}/sink").count() == batch.count()
+    conflicts = spark.read.parquet(f"{folder}/conflicts")
+    assert sorted(r.event_id for r in conflicts.collect()) == [0, 1, 2]
 
 
 def test_late_flag(spark):

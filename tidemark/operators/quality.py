@@ -77,15 +77,20 @@ def incomplete(universe: DataFrame, df: DataFrame, key: str, day: str, start, en
     return joined.withColumn("reasons", F.array_join(reasons, ",")).where("reasons <> ''").select(key, "n", "reasons")
 
 
-#: Actions of findings from mild to severe, in order.
-SEVERITY = ("NONE", "WARN", "DEGRADE_CONFIDENCE", "BLOCK_SIGNAL", "BLOCK_STRATEGY", "BLOCK_INSTRUMENT", "BLOCK_ALL")
+#: Actions of findings from mild to severe, in order, and the mildest that blocks.
+SEVERITY = ("INFO", "WARN", "DEGRADE_CONFIDENCE", "BLOCK_INSTRUMENT", "BLOCK_STRATEGY", "BLOCK_ASSET_CLASS", "GLOBAL_BLOCK")
+LEAST_BLOCK = "BLOCK_INSTRUMENT"
 
 
 def health(findings: DataFrame, scope: str) -> DataFrame:
-    """Findings of (scope, check, action) as one row for each scope with the worst action."""
-    rank = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("action"))
+    """Findings of (scope, check, action) as one row for each scope with the worst action.
+
+    An action that is unknown or null ranks above all and blocks.
+    """
+    known = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("action"))
+    rank = F.when(known > 0, known).otherwise(len(SEVERITY) + 1)
     worst = findings.withColumn("__rank", rank).groupBy(scope).agg(F.count(F.lit(1)).alias("findings"), F.max_by("action", "__rank").alias("action"), F.max("__rank").alias("__r"))
-    return worst.select(scope, "findings", "action", (F.col("__r") > 3).alias("blocking"))
+    return worst.select(scope, "findings", "action", (F.col("__r") > SEVERITY.index(LEAST_BLOCK)).alias("blocking"))
 
 
 def violations(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

@@ -20,9 +20,12 @@ def in_splits(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return rows.join(each, [key, "place"])
 
 
-def lower_quantile(values: Column, p: float) -> Column:
-    """sorted[int(p (n - 1))] of an array."""
-    return F.element_at(F.sort_array(values), (F.floor(p * (F.size(values) - 1)) + 1).cast("int"))
+def lower_quantiles(rows: DataFrame, key: str, value: str, named: dict[str, float]) -> DataFrame:
+    """sorted[int(p (n - 1))] of a key's values, for each named p; rows are ranked, no group becomes an array."""
+    w = Window.partitionBy(key)
+    ranked = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    at = lambda p: F.max(F.when(F.col("place") == F.floor(F.lit(p) * (F.col("n") - 1)) + 1, F.col(value)))
+    return ranked.groupBy(key).agg(*(at(p).alias(name) for name, p in named.items()))
 
 
 def benjamini_hochberg(tests: DataFrame, family: str, name: str, p: str, alpha: float) -> DataFrame:

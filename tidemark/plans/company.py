@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof
+from tidemark.operators import asof, text
 from tidemark.operators.controls import reasons
 from tidemark.plans.controls import why
 from tidemark.plans.market import r6
@@ -102,10 +102,9 @@ def i13(spark, d):
 # text and news
 
 
-@query("t2_normalized_headline", "SELECT doc_id, array_to_string(regexp_extract_all(lower(substr(text, 1, position(chr(10) IN text || chr(10)) - 1)), '[a-z0-9_]+'), ' ') AS headline FROM documents")
+@query("t2_normalized_headline", "SELECT doc_id, array_to_string(regexp_extract_all(replace(lower(substr(text, 1, position(chr(10) IN text || chr(10)) - 1)), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'), ' ') AS headline FROM documents")
 def t2(spark, d):
-    first = F.lower(F.substring_index("text", "\n", 1))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all(first, F.lit("[a-z0-9_]+"), F.lit(0)), " ").alias("headline"))
+    return table(spark, d, "documents").select("doc_id", text.normalized_headline(F.substring_index("text", "\n", 1)).alias("headline"))
 
 
 _NEWS = {"language_unsupported": "lang NOT IN ('en', 'de')", "late_ingestion": "doc_id % 13 > 8", "text_missing": "text IS NULL OR length(text) = 0", "rights_missing": "doc_id % 29 = 0"}
@@ -131,10 +130,10 @@ def t8(spark, d):
     return r.withColumn("predecessor", F.lag("revision").over(Window.partitionBy("instrument_id", "period").orderBy("revision"))).where("predecessor IS NOT NULL").select("instrument_id", "period", "predecessor", F.col("revision").alias("successor"))
 
 
-@query("t11_category_distribution", """WITH k AS (SELECT unnest(['view', 'click', 'purchase', 'refund']) AS category), n AS (SELECT (user_id % 5)::BIGINT AS topic, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT topic, sum(n)::BIGINT AS whole FROM n GROUP BY 1)
+@query("t11_category_distribution", """WITH k AS (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error', 'refund']) AS category), n AS (SELECT (user_id % 5)::BIGINT AS topic, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT topic, sum(n)::BIGINT AS whole FROM n GROUP BY 1)
     SELECT topic, category, coalesce(n, 0) AS posts, round(coalesce(n, 0) / whole, 6) AS share FROM t CROSS JOIN k LEFT JOIN n USING (topic, category)""")
 def t11(spark, d):
-    kinds = ("view", "click", "purchase", "refund")
+    kinds = ("view", "click", "purchase", "signup", "error", "refund")  # every type, and one that may be absent
     t = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("topic")).agg(F.count(F.lit(1)).alias("whole"), *(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
     return t.unpivot(["topic", "whole"], list(kinds), "category", "posts").select("topic", "category", "posts", r6(F.col("posts") / F.col("whole"), "share"))
 
@@ -148,12 +147,12 @@ def t12(spark, d):
 
 
 #: Phrases that read as instructions.
-_ORDERS = "ignore (all|any|previous)|system prompt|you must|please (send|run)|act as"
+_ORDERS = "|".join(text.INJECTIONS)
 
 
-@query("t15_instruction_screen", f"SELECT conv_id, count(*) AS turns, bool_or(regexp_matches(lower(coalesce(text, '')), '{_ORDERS}')) AS flagged FROM conversations GROUP BY 1")
+@query("t15_instruction_screen", f"SELECT conv_id, count(*) AS turns, bool_or(regexp_matches(coalesce(text, ''), '{_ORDERS}', 'i')) AS flagged FROM conversations GROUP BY 1")
 def t15(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_or(F.lower(F.coalesce("text", F.lit(""))).rlike(_ORDERS)).alias("flagged"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_or(F.coalesce("text", F.lit("")).rlike(f"(?i){_ORDERS}")).alias("flagged"))
 
 
 # models

@@ -95,7 +95,7 @@ def g10(spark, d):
 
 
 #: The stages of a signal's validation, in order.
-_STAGES = ("data", "features", "regime", "strategy", "costs", "risk", "portfolio", "liquidity", "policy")
+_STAGES = ("data", "strategy", "regime", "liquidity", "portfolio", "risk", "broker", "execution", "user_policy")
 _FAILS = {s: f"(o_orderkey * {k + 3}) % 11 = 0" for k, s in enumerate(_STAGES)}
 
 
@@ -346,10 +346,12 @@ def p15(spark, d):
     return s.select("o_orderkey", r6(F.expr(_P15_W).cast("double"), "multiplier"), reasons(_P15).alias("reasons"))
 
 
-@query("p18_effective_weights", "SELECT o_orderkey, round(o_totalprice / 1e6 * CASE WHEN o_orderkey % 4 = 0 THEN 0.5::DOUBLE ELSE 1 END + (o_custkey % 3) * 0.01::DOUBLE + (o_custkey % 5) * 0.002::DOUBLE, 6) AS effective FROM orders")
+@query("p18_effective_weights", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14, 2)) * CASE WHEN o_orderkey % 4 = 0 THEN 0.0000005 ELSE 0.0000010 END + CAST((o_custkey % 3) * 0.01 + (o_custkey % 5) * 0.002 AS DECIMAL(8, 3)) AS DOUBLE) AS effective FROM orders")
 def p18(spark, d):
-    delta = F.when(F.col("o_orderkey") % 4 == 0, 0.5).otherwise(1.0)
-    return table(spark, d, "orders").select("o_orderkey", r6(F.col("o_totalprice") / 1e6 * delta + (F.col("o_custkey") % 3) * 0.01 + (F.col("o_custkey") % 5) * 0.002, "effective"))
+    # decimals, so that no rounding edge depends on the engine
+    scaled = F.col("o_totalprice").cast("decimal(14,2)") * F.when(F.col("o_orderkey") % 4 == 0, F.expr("0.0000005")).otherwise(F.expr("0.0000010"))
+    shared = ((F.col("o_custkey") % 3).cast("decimal(2,0)") * F.expr("0.010") + (F.col("o_custkey") % 5).cast("decimal(2,0)") * F.expr("0.002")).cast("decimal(8,3)")
+    return table(spark, d, "orders").select("o_orderkey", (scaled + shared).cast("double").alias("effective"))
 
 
 _TRADE = {"buy": "l_orderkey % 2 = 0", "entry": "100 + l_extendedprice % 20", "stop": "CASE WHEN l_partkey % 23 > 0 THEN 100 + (l_partkey % 21) END"}

@@ -91,15 +91,18 @@ def q12(spark, d):
     return quality.incomplete(universe, views.bars(spark, d), "instrument_id", "day", day("1992-01-10"), day("1998-11-20"), 1500)
 
 
-@query("q13_health_assessment", with_views("bars", "provider_bars") + """, g AS (SELECT instrument_id, day - lag(day) OVER (PARTITION BY instrument_id ORDER BY day) AS gap FROM bars), fi AS (
-    SELECT instrument_id, 2 AS sev, 'WARN' AS action FROM g WHERE gap > 1 UNION ALL SELECT instrument_id, 3, 'DEGRADE_CONFIDENCE' FROM g WHERE gap > 1 UNION ALL
-    SELECT instrument_id, 4, 'BLOCK_SIGNAL' FROM (SELECT instrument_id, day FROM provider_bars GROUP BY 1, 2 HAVING count(DISTINCT provider) > 1 AND (max(close) - min(close)) / min(close) > 0.17))
-    SELECT instrument_id, count(*) AS findings, arg_max(action, sev) AS action, max(sev) > 3 AS blocking FROM fi GROUP BY 1""")
+@query("q13_health_assessment", with_views("bars", "provider_bars") + """, g AS (SELECT instrument_id, day, day - lag(day) OVER (PARTITION BY instrument_id ORDER BY day) AS gap FROM bars), apart AS (SELECT instrument_id, day, floor(((max(close) - min(close)) / min(close)) * 50)::INT AS step FROM provider_bars GROUP BY 1, 2 HAVING count(DISTINCT provider) > 1),
+    fi AS (SELECT instrument_id, day, CASE WHEN gap = 2 THEN 'INFO' WHEN gap = 3 THEN 'WARN' ELSE 'DEGRADE_CONFIDENCE' END AS action FROM g WHERE gap > 1 UNION ALL
+    SELECT instrument_id, day, CASE step WHEN 5 THEN 'BLOCK_INSTRUMENT' WHEN 6 THEN 'BLOCK_STRATEGY' WHEN 7 THEN 'BLOCK_ASSET_CLASS' ELSE 'GLOBAL_BLOCK' END FROM apart WHERE step >= 5),
+    k AS (SELECT instrument_id || strftime(day, '/%Y-%m') AS scope, action, CASE action WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 WHEN 'DEGRADE_CONFIDENCE' THEN 3 WHEN 'BLOCK_INSTRUMENT' THEN 4 WHEN 'BLOCK_STRATEGY' THEN 5 WHEN 'BLOCK_ASSET_CLASS' THEN 6 ELSE 7 END AS sev FROM fi)
+    SELECT scope, count(*) AS findings, arg_max(action, sev) AS action, max(sev) > 3 AS blocking FROM k GROUP BY 1""")
 def q13(spark, d):
-    gaps = quality.gaps(views.bars(spark, d), "instrument_id", "day").select("instrument_id")
-    apart = quality.provider_disagreement(views.provider_bars(spark, d), "instrument_id", "day", "close", 0.17).select("instrument_id")
-    found = gaps.withColumn("action", F.explode(F.array(F.lit("WARN"), F.lit("DEGRADE_CONFIDENCE")))).unionByName(apart.withColumn("action", F.lit("BLOCK_SIGNAL")))
-    return quality.health(found, "instrument_id")
+    gap, step = F.col("gap_days"), F.floor((F.col("highest") - F.col("lowest")) / F.col("lowest") * 50)
+    gaps = quality.gaps(views.bars(spark, d), "instrument_id", "day").select("instrument_id", F.col("gap_end").alias("day"), F.when(gap == 2, "INFO").when(gap == 3, "WARN").otherwise("DEGRADE_CONFIDENCE").alias("action"))
+    apart = quality.provider_disagreement(views.provider_bars(spark, d), "instrument_id", "day", "close", 0.0).where(step >= 5)
+    apart = apart.select("instrument_id", "day", F.when(step == 5, "BLOCK_INSTRUMENT").when(step == 6, "BLOCK_STRATEGY").when(step == 7, "BLOCK_ASSET_CLASS").otherwise("GLOBAL_BLOCK").alias("action"))
+    scope = F.concat("instrument_id", F.date_format("day", "/yyyy-MM")).alias("scope")
+    return quality.health(gaps.unionByName(apart).select(scope, "action"), "scope")
 
 
 @query("q15_assert_unique", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -285,8 +288,8 @@ def v9(spark, d):
 
 @query("v11_lower_quantile", with_views("returns") + " SELECT instrument_id, round(list_sort(list(r))[floor(0.05::DOUBLE * (count(*) - 1))::BIGINT + 1], 6) AS p05, round(list_sort(list(r))[floor(0.5::DOUBLE * (count(*) - 1))::BIGINT + 1], 6) AS p50 FROM returns GROUP BY 1")
 def v11(spark, d):
-    x = views.returns(spark, d).groupBy("instrument_id").agg(F.array_agg("r").alias("x"))
-    return x.select("instrument_id", r6(validation.lower_quantile(F.col("x"), 0.05), "p05"), r6(validation.lower_quantile(F.col("x"), 0.5), "p50"))
+    q = validation.lower_quantiles(views.returns(spark, d), "instrument_id", "r", {"p05": 0.05, "p50": 0.5})
+    return q.select("instrument_id", r6(F.col("p05"), "p05"), r6(F.col("p50"), "p50"))
 
 
 _PV = with_views("bars") + ", t AS (SELECT instrument_id, year(day)::INT AS family, round(((sum(volume)::BIGINT * 7919) % 10007) / 10007.0::DOUBLE * 0.3, 6) AS p FROM bars GROUP BY 1, 2)"
@@ -300,7 +303,11 @@ def v14(spark, d):
     return validation.benjamini_hochberg(tests, "family", "instrument_id", "p", 0.1).select("family", "instrument_id", "p", "rank", "threshold", "discovery")
 
 
-@query("v15_probabilistic_sharpe")
+_PHI_UPPER = "exp(-x * x / 2) / 2.5066282746310002::DOUBLE * (t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))))"
+_PSR = """, m AS (SELECT strategy, instrument_id, avg(net) / stddev_pop(net) AS s, count(*) AS n FROM run GROUP BY 1, 2), x AS (SELECT *, s * sqrt(n - 1) AS x FROM m), xt AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(x)) AS t FROM x)"""
+
+
+@query("v15_probabilistic_sharpe", RUN_SQL + _PSR + f" SELECT strategy, instrument_id, round(CASE WHEN x >= 0 THEN 1 - {_PHI_UPPER} ELSE {_PHI_UPPER} END, 6) AS psr FROM xt")
 def v15(spark, d):
     s = _run(spark, d).groupBy("strategy", "instrument_id").agg((F.avg("net") / F.stddev_pop("net")).alias("s"), F.count(F.lit(1)).alias("n"))
     return s.select("strategy", "instrument_id", r6(validation.probabilistic_sharpe(F.col("s"), 0.0, F.col("n")), "psr"))

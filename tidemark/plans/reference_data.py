@@ -10,6 +10,7 @@ from tidemark.operators import asof, execution, text
 from tidemark.plans.registry import query
 from tidemark.sources import views
 from tidemark.sources.views import table, with_views
+from tidemark.streaming import jobs
 
 
 def r6(c, name):
@@ -121,12 +122,18 @@ def s5(spark, d):
     return table(spark, d, "lineitem").where(F.col("l_shipdate").between(ts("1995-01-01"), ts("1995-03-31"))).select("l_orderkey", "l_shipdate", "l_extendedprice")
 
 
-@query("s8_capture_append", """WITH old AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) SELECT l_linenumber, count(*) AS inserts FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) n
-    WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.l_orderkey = n.l_orderkey AND o.l_linenumber = n.l_linenumber) GROUP BY 1""")
+_S8_JSON = """'{"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}'"""
+
+
+@query("s8_capture_append", f"""WITH rows AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag, sha256({_S8_JSON}) AS h FROM lineitem),
+    held AS (SELECT l_orderkey, l_linenumber, h AS held FROM rows WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY h) = 1),
+    r AS (SELECT rows.*, held, coalesce(held, min(h) OVER (PARTITION BY l_orderkey, l_linenumber)) AS known FROM rows LEFT JOIN held USING (l_orderkey, l_linenumber))
+    SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN h <> known THEN 'CONFLICT' ELSE 'INSERT' END AS outcome FROM r WHERE h <> known OR held IS NULL""")
 def s8(spark, d):
-    new = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    old = new.where("l_linenumber <= 3")
-    return new.join(old, ["l_orderkey", "l_linenumber"], "left_anti").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("inserts"))
+    key, rows = ["l_orderkey", "l_linenumber"], table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    known, _ = jobs.capture(rows.where("l_returnflag = 'A'"), None, key)
+    fresh, conflicts = jobs.capture(rows, known, key)
+    return fresh.select(rows.columns).withColumn("outcome", F.lit("INSERT")).unionByName(conflicts.select(rows.columns).withColumn("outcome", F.lit("CONFLICT")))
 
 
 @query("s12_compare_tables", "SELECT 'orders' AS table_name, count(*) AS rows, sum((o_orderkey % 97 = 0)::INT)::BIGINT AS differing FROM orders")
@@ -155,17 +162,23 @@ def t1(spark, d):
     return table(spark, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
+@query("t1_sanitize_text")
+def t1_sanitize(spark, d):
+    clean = table(spark, d, "pages").select("page_id", text.sanitize(F.col("html")).alias("s"))
+    return clean.select("page_id", "s.text", F.array_join("s.flags", ",").alias("flags"))
+
+
 @query("t3_duplicate_clusters", "SELECT sha256(text) AS cluster_id, min(doc_id) AS canonical_id, count(*) AS members FROM documents GROUP BY 1")
 def t3(spark, d):
     news = table(spark, d, "documents").withColumn("published_at", F.col("doc_id"))  # published in order of id
     return text.duplicate_clusters(news)
 
 
-_SOCIAL = "WITH p AS (SELECT event_type AS topic, user_id AS author, ts AS published_at, greatest(-1, least(1, value / 250 - 1)) AS sentiment FROM events), "
+_SOCIAL = "WITH p AS (SELECT event_type AS topic, user_id AS author, ts AS published_at, greatest(-1, least(1, CAST(value AS DECIMAL(18, 2)) * 0.004 - 1))::DECIMAL(18, 6) AS sentiment FROM events), "
 
 
 def _posts(spark, d):
-    return table(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("user_id").alias("author"), F.col("ts").alias("published_at"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("value") / 250 - 1)).alias("sentiment"))
+    return table(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("user_id").alias("author"), F.col("ts").alias("published_at"), F.expr("cast(greatest(-1, least(1, cast(value AS DECIMAL(18, 2)) * 0.004 - 1)) AS DECIMAL(18, 6))").alias("sentiment"))
 
 
 @query("t9_topic_clusters", _SOCIAL + "x AS (SELECT 1) SELECT topic, count(*) AS posts, count(DISTINCT author) AS authors FROM p GROUP BY 1")
@@ -173,8 +186,8 @@ def t9(spark, d):
     return _posts(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("author").alias("authors"))
 
 
-@query("t10_narrative_windows", _SOCIAL + """w AS (SELECT topic, time_bucket(INTERVAL '1 day', published_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS volume, count(DISTINCT author) AS authors, avg(sentiment) AS s, stddev_pop(sentiment) AS g FROM p GROUP BY 1, 2)
-    SELECT topic, window_start, volume, authors, round(s, 6) AS sentiment, round(g, 6) AS disagreement, round(volume / lag(volume) OVER (PARTITION BY topic ORDER BY window_start) - 1, 6) AS acceleration FROM w""")
+@query("t10_narrative_windows", _SOCIAL + """w AS (SELECT topic, time_bucket(INTERVAL '1 day', published_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS volume, count(DISTINCT author) AS authors, sum(sentiment)::DOUBLE / count(*) AS s, sum((sentiment * sentiment)::DECIMAL(24, 12))::DOUBLE / count(*) AS q FROM p GROUP BY 1, 2)
+    SELECT topic, window_start, volume, authors, round(s, 6) AS sentiment, round(sqrt(greatest(0, q - s * s)), 6) AS disagreement, round(volume / lag(volume) OVER (PARTITION BY topic ORDER BY window_start) - 1, 6) AS acceleration FROM w""")
 def t10(spark, d):
     w = text.narrative_windows(_posts(spark, d), "1 day")
     return w.select("topic", "window_start", "volume", "authors", r6(F.col("sentiment"), "sentiment"), r6(F.col("disagreement"), "disagreement"), r6(F.col("acceleration"), "acceleration"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def narrative_windows(posts: DataFrame, size: str = "1 day", late: str = "6 hours") -> DataFrame:
-    """Tumbling windows by topic; posts later than the watermark are dropped. Sentiment as sum and count."""
+    """Tumbling windows by topic; posts later than the watermark are dropped. A window's state holds its authors until it closes."""
     windows = posts.withWatermark("published_at", late).groupBy(F.window("published_at", size).alias("w"), "topic")
-    return windows.agg(F.count(F.lit(1)).alias("volume"), F.approx_count_distinct("author").alias("authors"), F.avg("sentiment").alias("sentiment")).select("topic", F.col("w.start").alias("window_start"), "volume", "authors", "sentiment")
+    return windows.agg(F.count(F.lit(1)).alias("volume"), F.size(F.collect_set("author")).cast("long").alias("authors"), F.avg("sentiment").alias("sentiment")).select("topic", F.col("w.start").alias("window_start"), "volume", "authors", "sentiment")
 
 
 def sliding_sli(telemetry: DataFrame, size: str = "2 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -35,10 +36,12 @@ def late_flag(posts: DataFrame, hours: int = 6) -> DataFrame:
 RESERVED = "account_id long, day date, order_id long, amount double, accepted boolean"
 
 
-def reserve_notional(orders: DataFrame, limit: float) -> DataFrame:
-    """Greedy daily reservation by (account, day): the state is the total so far; it times out after a day.
+def reserve_notional(orders: DataFrame, limit: float, late: str = "1 day") -> DataFrame:
+    """Greedy daily reservation by (account, day): the state is the total so far.
 
-    Rows of a batch are taken in order of (time, order id).
+    Rows of a batch are taken in order of (time, order id). The state ends in event time, when the
+    watermark has passed the day's end, so nothing that is still accepted meets an empty total and
+    an idle query schedules no batches.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,10 +55,12 @@ def reserve_notional(orders: DataFrame, limit: float) -> DataFrame:
             total += r.amount if fits else 0.0
             out.append((key[0], key[1], r.order_id, r.amount, fits))
         state.update((total,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        ends = int(pd.Timestamp(key[1]).value // 1_000_000) + 48 * 3_600_000  # the day's end in any zone
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["account_id", "day", "order_id", "amount", "accepted"])
 
-    return orders.groupBy("account_id", "day").applyInPandasWithState(step, RESERVED, "total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = orders.withWatermark("at", late).groupBy("account_id", "day")
+    return keyed.applyInPandasWithState(step, RESERVED, "total double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 EXPIRED = "signal_id long, status string, expired_at timestamp"
@@ -90,37 +95,75 @@ def expire_signals(log: DataFrame, hours: int = 6, late: str = "1 hour") -> Data
 ALERTS = "provider long, run_id long, failures int, raised_at timestamp"
 
 
-def failure_alerts(runs: DataFrame, threshold: int = 3) -> DataFrame:
+def failure_alerts(runs: DataFrame, threshold: int = 3, idle_days: int = 30, late: str = "1 hour") -> DataFrame:
     """An alert when a provider fails ``threshold`` times in a row; a success ends the row, so each raises one alert.
 
-    ``runs`` has provider, run_id, ts and ok; rows of a batch are taken in order of (ts, run_id).
+    ``runs`` has provider, run_id, ts and ok; rows of a batch are taken in order of (ts, run_id). A
+    provider that is silent for ``idle_days`` of event time starts anew, and its state is dropped.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n = state.get[0] if state.exists else 0
-        out = []
+        out, r = [], None
         for r in pd.concat(parts).sort_values(["ts", "run_id"]).itertuples(index=False):
             n = 0 if r.ok else n + 1
             if n == threshold:
                 out.append((key[0], r.run_id, n, r.ts))
         state.update((n,))
+        state.setTimeoutTimestamp(max(int(r.ts.value // 1_000_000) + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["provider", "run_id", "failures", "raised_at"])
 
-    return runs.groupBy("provider").applyInPandasWithState(step, ALERTS, "n int", "append", GroupStateTimeout.NoTimeout)
+    keyed = runs.withWatermark("ts", late).groupBy("provider")
+    return keyed.applyInPandasWithState(step, ALERTS, "n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_new(sink: str, key: list[str]):
-    """A foreachBatch function: rows whose key the sink has not yet are appended; replays are no-ops."""
+def capture(new: DataFrame, known: DataFrame | None, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, conflicts) of a batch against what is known.
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(key)
+    A row whose key and content are known, or came before in the batch, is a no-op. A key with
+    other content is a conflict: of a new key the row with the least content hash is appended.
+    """
+    other = [c for c in new.columns if c not in key]
+    digest = F.sha2(F.to_json(F.struct(*sorted(other)), {"ignoreNullFields": "false"}), 256)
+    hashed = new.withColumn("content_hash", digest).dropDuplicates([*key, "content_hash"])
+    first = F.min("content_hash").over(Window.partitionBy(*key))
+    if known is None:
+        ranked = hashed.withColumn("known_hash", first)
+        is_new = F.col("content_hash") == F.col("known_hash")
+    else:
+        held = known.select(*key, F.col("content_hash").alias("held"))
+        ranked = hashed.join(held, key, "left").withColumn("known_hash", F.coalesce("held", first))
+        is_new = F.col("held").isNull() & (F.col("content_hash") == F.col("known_hash"))
+    fresh = ranked.where(is_new).select(*new.columns, "content_hash")
+    conflicts = ranked.where(F.col("content_hash") != F.col("known_hash")).select(*new.columns, "content_hash", "known_hash")
+    return fresh, conflicts
+
+
+def append_new(sink: str, conflict_sink: str, key: list[str]):
+    """A foreachBatch function: rows whose key the sink has not yet are appended, other content under a
+    known key goes to ``conflict_sink``; replays are no-ops in both.
+
+    Only keys and hashes of the sinks are read.
+    """
+
+    def read(spark, path: str) -> DataFrame | None:
         try:
-            known = spark.read.schema(batch.schema).parquet(sink).select(*key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as e:  # the first batch finds no sink
+            return spark.read.parquet(path)
+        except AnalysisException as e:  # the first batch finds no sink
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+            return None
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        fresh, conflicts = capture(batch, read(spark, sink), key)
+        seen = read(spark, conflict_sink)
+        if seen is not None:
+            conflicts = conflicts.join(seen.select(*key, "content_hash"), [*key, "content_hash"], "left_anti")
+        conflicts.write.mode("append").parquet(conflict_sink)  # before the sink, which they are told by
         fresh.write.mode("append").parquet(sink)
 
     return write
