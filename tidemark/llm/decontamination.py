@@ -38,11 +38,13 @@ WINDOW, WORD = 66, 64
 SAME_PLACE = 32
 #: Strings that are aligned side by side; fewer than ``ONE_BY_ONE`` are not worth it.
 SIDE_BY_SIDE, ONE_BY_ONE = 2048, 24
+#: Origins of references that are remembered, 8 bytes each.
+ORIGINS = 4_000_000
 #: Characters of an item up to which its pieces are aligned before the whole.
 PIECEWISE = 2048
 #: Item positions of a cell of the grid, at least ``WINDOW``.
 STRETCH = 128
-#: Diagonals of a cell of the grid; two cells hold a segment's hits.
+#: Diagonals of a cell of the grid, a power of two; two cells hold a segment's hits.
 CELL = 16
 #: Diagonals of a cell of the bands of single windows; three cells hold a segment's hits.
 FINE = 5
@@ -177,6 +179,7 @@ class Index:
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
         self.cell, self.place = cell[order].astype(np.int32), place[order].astype(np.int32)
+        self.by_width: dict[int, np.ndarray] = {}
         self.bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.keys))))) + 6))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -196,6 +199,15 @@ class Index:
         self.short = [(i, " " + _words(c) + " ") for i, c in enumerate(self.codes) if len(c) < Q]
         self.overlap = self.longest + 2 * int(self.edits.max()) + 2 * CELL + 2
 
+    def origins(self, wide: int) -> np.ndarray:
+        """For each reference, where its row of a grid of so many columns begins, less its place: with a position
+        added, its cell. Remembered for some widths."""
+        if wide not in self.by_width:
+            if len(self.by_width) >= max(1, ORIGINS // max(1, len(self.cell))):
+                self.by_width.clear()
+            self.by_width[wide] = self.cell.astype(np.int64) * (wide * CELL) - self.place
+        return self.by_width[wide]
+
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, item's characters) for each retained and verified region of a normalised text."""
         grams = _grams(codes)
@@ -216,11 +228,11 @@ class Index:
             return sorted({*self.regions(codes[: mid + self.overlap]), *right})
         ref = np.repeat((self.first[slot] - np.cumsum(many) + many).astype(np.int32), many)
         ref += np.arange(total, dtype=np.int32)
-        wide = (len(codes) + self.longest) // CELL + 2
-        diagonal = np.repeat((at + self.longest).astype(np.int32), many)
-        diagonal -= self.place[ref]
-        key = self.cell[ref] * wide
-        key += diagonal // CELL
+        wide = -(-((len(codes) + self.longest) // CELL + 2) // 16) * 16
+        position = np.repeat(at + self.longest, many)
+        key = self.origins(wide)[ref]
+        key += position
+        key >>= CELL.bit_length() - 1
         count = np.bincount(key, minlength=len(self.item_of) * wide)
         if total > 8000:  # four cells' hits stay within 16 bits
             np.minimum(count, 8000, out=count)
@@ -236,8 +248,9 @@ class Index:
         for r in (row, after):
             marked[r, column] = marked[r, column + 1] = True
         live = np.flatnonzero(marked.ravel()[key])
-        ref, diagonal = ref[live], diagonal[live]
+        ref = ref[live]
         item, place, out = self.item_of[self.cell[ref]], self.place[ref].astype(np.int64), []
+        diagonal = position[live] - place
         bands = sorted(self.bands(item, place, diagonal), key=lambda x: x[:2])
         if not bands:
             return []
@@ -289,8 +302,10 @@ class Index:
             one = np.sort((item * wide + (column + shift) // 3) * span + place)
             one = one[np.append(True, one[1:] != one[:-1])]
             band = one // span
-            many = np.searchsorted(one, one + (WINDOW - Q + 1)) - np.arange(len(one))
-            for g in sorted(set(band[many >= self.bound[band // wide]].tolist())):
+            least = np.arange(len(one)) + self.bound[band // wide] - 1  # the hit that makes the bound, if near enough
+            enough = least < len(one)
+            enough[enough] = one[least[enough]] < one[enough] + (WINDOW - Q + 1)
+            for g in sorted(set(band[enough].tolist())):
                 a, b = np.searchsorted(one, (g * span, (g + 1) * span))
                 yield g // wide, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
 
