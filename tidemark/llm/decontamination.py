@@ -50,9 +50,9 @@ CELL = 16
 FINE = 5
 #: Characters of benchmark items in one pass; a block's index holds 16 bytes for each.
 BLOCK_CHARS = 4_000_000
-#: Cells of the grid, and hits, that are held at once in a task; longer documents are cut into
-#: windows that overlap by the longest item.
-GRID = 1 << 21
+#: Cells of the grid, and hits, that are held at once in a task, so few that they stay in a core's
+#: cache; longer documents are cut into windows that overlap by the longest item.
+GRID = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,12 +233,12 @@ class Index:
         key = self.origins(wide)[ref]
         key += position
         key >>= CELL.bit_length() - 1
-        count = np.bincount(key, minlength=len(self.item_of) * wide)
+        count = np.bincount(key, minlength=(len(self.item_of) + 1) * wide)  # the last row stays empty
         if total > 8000:  # four cells' hits stay within 16 bits
             np.minimum(count, 8000, out=count)
         count = count.astype(np.int16).reshape(-1, wide)
         both = count[:, :-1] + count[:, 1:]
-        both[:-1] += both[1:]
+        both = both[:-1] + both[1:]
         spots = np.flatnonzero(both >= self.reach)
         if not len(spots):
             return []
