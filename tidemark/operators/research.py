@@ -119,3 +119,41 @@ def screen(requests: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """``requests`` with ``reasons`` (failed checks in the given order) and APPROVE or REJECT; an unknown outcome fails."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items())))
     return requests.withColumn("reasons", F.array_join(failed, ",")).withColumn("decision", F.when(F.size(failed) == 0, "APPROVE").otherwise("REJECT"))
+
+
+def research_candidates(assessments: DataFrame) -> DataFrame:
+    """``assessments`` (status, credibility) with an action that never raises confidence, and its ceiling.
+
+    Withdrawn evidence withdraws, blocked or unknown evidence reduces, any other maintains; only
+    what maintains carries its credibility.
+    """
+    status = F.coalesce("status", F.lit("BLOCKED"))
+    action = F.when(status == "WITHDRAWN", "WITHDRAW").when(status == "BLOCKED", "REDUCE").otherwise("MAINTAIN")
+    return assessments.withColumn("action", action).withColumn("maximum_confidence", F.when(F.col("action") == "MAINTAIN", F.col("credibility")).otherwise(F.lit(0.0)))
+
+
+def promotion_eligible(requests: DataFrame, scorecards: DataFrame, links: DataFrame, packages: DataFrame) -> DataFrame:
+    """``requests`` with ``eligible``: whether the named scorecard stands, as asked for, on verified evidence.
+
+    A scorecard counts when a linked package has the content hash that the link recorded and is
+    VERIFIED, the scorecard waits for review, its data is not blocked, and strategy, dataset and
+    cost model are the ones requested. A request for an unknown scorecard is not eligible.
+    """
+    sound = links.join(packages.where("integrity_status = 'VERIFIED'").select("package_id", "content_hash"), "package_id").where("content_hash = package_content_hash")
+    cards = scorecards.where("status = 'REVIEW_REQUIRED' AND health_status <> 'BLOCKED'").join(sound.select("scorecard_id").distinct(), "scorecard_id", "left_semi")
+    bound = ["scorecard_id", "strategy_version", "dataset_version", "cost_model_version"]
+    found = cards.select(*bound, F.lit(True).alias("found")).distinct()
+    return requests.join(found, bound, "left").withColumn("eligible", F.coalesce("found", F.lit(False))).drop("found")
+
+
+def analysis_status(evidence: DataFrame) -> DataFrame:
+    """``evidence`` (quality, valuation, drift, breached, health) with ordered ``reasons`` and READY or BLOCKED.
+
+    A missing measure is unavailable evidence; missing health counts as blocked.
+    """
+    named = (
+        ("company_quality_unavailable", F.col("quality").isNull()), ("valuation_unavailable", F.col("valuation").isNull()), ("thesis_drift_unavailable", F.col("drift").isNull()),
+        ("thesis_invalidation_breached", F.coalesce("breached", F.lit(False))), ("data_health_blocked", F.coalesce(F.col("health") != "HEALTHY", F.lit(True))),
+    )
+    failed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in named)))
+    return evidence.withColumn("reasons", F.array_join(failed, ",")).withColumn("status", F.when(F.size(failed) == 0, "READY").otherwise("BLOCKED"))

@@ -346,3 +346,42 @@ def p23(spark, d):
         "short_selling_not_permitted": F.col("projected") >= 0, "account_not_funded": F.col("s_acctbal") > 0,
     }
     return research.screen(_projected(spark, d).join(accounts, "account"), checks).select("account", "instrument", "reasons", "decision")
+
+
+# evidence decisions
+
+
+@query("t5_research_candidates", """WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'WITHDRAWN' WHEN 1 THEN 'BLOCKED' WHEN 2 THEN 'ACCEPTED' END AS status, (n_chars % 101) / 100.0::DOUBLE AS credibility FROM documents)
+    SELECT doc_id, CASE coalesce(status, 'BLOCKED') WHEN 'WITHDRAWN' THEN 'WITHDRAW' WHEN 'BLOCKED' THEN 'REDUCE' ELSE 'MAINTAIN' END AS action, CASE WHEN status = 'ACCEPTED' THEN credibility ELSE 0 END AS maximum_confidence FROM a""")
+def t5(spark, d):
+    k = F.col("doc_id") % 4
+    a = table(spark, d, "documents").select("doc_id", F.when(k == 0, "WITHDRAWN").when(k == 1, "BLOCKED").when(k == 2, "ACCEPTED").alias("status"), ((F.col("n_chars") % 101) / F.lit(100.0)).alias("credibility"))
+    return research.research_candidates(a).select("doc_id", "action", "maximum_confidence")
+
+
+@query("v20_promotion_eligible", """WITH l AS (SELECT DISTINCT l_orderkey AS scorecard_id, l_partkey AS package_id, l_returnflag AS package_content_hash FROM lineitem),
+    p AS (SELECT p_partkey AS package_id, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS content_hash FROM part WHERE p_size % 4 <> 0),
+    g AS (SELECT DISTINCT scorecard_id FROM l JOIN p USING (package_id) WHERE content_hash = package_content_hash)
+    SELECT o_orderkey AS scorecard_id, coalesce(o_orderkey % 7 <> 0 AND o_orderstatus = 'F' AND o_custkey % 5 <> 0 AND o_orderkey IN (SELECT scorecard_id FROM g), false) AS eligible FROM orders""")
+def v20(spark, d):
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "REVIEW_REQUIRED").otherwise("DRAFT")
+    cards = o.select(F.col("o_orderkey").alias("scorecard_id"), F.col("o_custkey").alias("strategy_version"), F.col("o_orderpriority").alias("dataset_version"), F.lit("costs-1").alias("cost_model_version"), status.alias("status"), F.when(F.col("o_custkey") % 5 == 0, "BLOCKED").otherwise("HEALTHY").alias("health_status"))
+    asked = cards.select("scorecard_id", "strategy_version", "dataset_version", F.when(F.col("scorecard_id") % 7 == 0, "costs-2").otherwise("costs-1").alias("cost_model_version"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scorecard_id"), F.col("l_partkey").alias("package_id"), F.col("l_returnflag").alias("package_content_hash"))
+    k = F.col("p_partkey") % 3
+    packages = table(spark, d, "part").select(F.col("p_partkey").alias("package_id"), F.when(k == 0, "A").when(k == 1, "N").otherwise("R").alias("content_hash"), F.when(F.col("p_size") % 4 != 0, "VERIFIED").otherwise("TAMPERED").alias("integrity_status"))
+    return research.promotion_eligible(asked, cards, links, packages).select("scorecard_id", "eligible")
+
+
+@query("i7_analysis_status", """WITH f AS (SELECT o_custkey AS company_id, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS quality, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS valuation, min(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS drift, min(o_totalprice) < 20000 AS breached FROM orders GROUP BY 1),
+    e AS (SELECT f.*, CASE WHEN c_acctbal IS NULL THEN NULL WHEN c_acctbal < 0 THEN 'BLOCKED' ELSE 'HEALTHY' END AS health FROM f LEFT JOIN customer ON c_custkey = company_id),
+    r AS (SELECT company_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'company_quality_unavailable' END, CASE WHEN valuation IS NULL THEN 'valuation_unavailable' END, CASE WHEN drift IS NULL THEN 'thesis_drift_unavailable' END, CASE WHEN breached THEN 'thesis_invalidation_breached' END, CASE WHEN coalesce(health <> 'HEALTHY', true) THEN 'data_health_blocked' END) AS reasons FROM e)
+    SELECT company_id, reasons, CASE WHEN reasons = '' THEN 'READY' ELSE 'BLOCKED' END AS status FROM r""")
+def i7(spark, d):
+    price, kind = F.col("o_totalprice"), F.col("o_orderpriority")
+    facts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("company_id")).agg(
+        F.avg(F.when(F.col("o_orderstatus") == "F", price)).alias("quality"), F.max(F.when(kind == "1-URGENT", price)).alias("valuation"), F.min(F.when(kind == "5-LOW", price)).alias("drift"), (F.min(price) < 20000).alias("breached")
+    )
+    health = table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), F.when(F.col("c_acctbal") < 0, "BLOCKED").when(F.col("c_acctbal").isNotNull(), "HEALTHY").alias("health"))
+    return research.analysis_status(facts.join(health, "company_id", "left")).select("company_id", "reasons", "status")
