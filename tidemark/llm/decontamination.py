@@ -38,6 +38,8 @@ WINDOW, WORD = 66, 64
 SAME_PLACE = 32
 #: Strings that are aligned side by side; fewer than ``ONE_BY_ONE`` are not worth it.
 SIDE_BY_SIDE, ONE_BY_ONE = 2048, 24
+#: Characters of the texts whose results a Python worker remembers.
+REMEMBER_CHARS = 16_000_000
 #: Origins of references that are remembered, 8 bytes each.
 ORIGINS = 4_000_000
 #: Characters of an item up to which its pieces are aligned before the whole.
@@ -180,9 +182,10 @@ class Index:
         self.first = np.append(first, len(keys))
         self.cell, self.place = cell[order].astype(np.int32), place[order].astype(np.int32)
         self.by_width: dict[int, np.ndarray] = {}
-        self.bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.keys))))) + 6))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.bits = max(16, min(24, int(np.ceil(np.log2(max(1, len(self.keys))))) + 4))
+        self.prefix = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)  # the first key of each
+        self.memory: dict[str, list] = {}
+        self.remembered = 0
         self.length = np.array([len(c) for c in self.codes] or [0])
         self.edits = np.array([budget(int(m)) for m in self.length])
         self.longest = int(self.length.max())
@@ -208,16 +211,37 @@ class Index:
             self.by_width[wide] = self.cell.astype(np.int64) * (wide * CELL) - self.place
         return self.by_width[wide]
 
+    def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the grams that are keys, and the place of the key of each."""
+        prefix = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = self.prefix[prefix]
+        keys = self.prefix[prefix + 1] - slot
+        at = np.flatnonzero(keys)
+        slot = slot[at]
+        crowded = np.flatnonzero(keys[at] > 1)
+        if len(crowded):
+            slot[crowded] = np.minimum(np.searchsorted(self.keys, grams[at[crowded]]), len(self.keys) - 1)
+        real = self.keys[slot] == grams[at]
+        return at[real], slot[real]
+
+    def found(self, text: str) -> list[dict]:
+        """``found_in``, once for equal texts among the last ones."""
+        got = self.memory.get(text)
+        if got is None:
+            got = found_in(text, self)
+            if self.remembered + len(text) > REMEMBER_CHARS:
+                self.memory.clear()
+                self.remembered = 0
+            self.memory[text] = got
+            self.remembered += len(text)
+        return got
+
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, item's characters) for each retained and verified region of a normalised text."""
         grams = _grams(codes)
         if not len(grams) or not len(self.keys):
             return []
-        at = np.flatnonzero(self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
-        slot = np.searchsorted(self.keys, grams[at])
-        slot[slot == len(self.keys)] = 0
-        real = self.keys[slot] == grams[at]
-        at, slot = at[real], slot[real]
+        at, slot = self.lookup(grams)
         if not len(at):
             return []
         many = self.first[slot + 1] - self.first[slot]
@@ -467,7 +491,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
     @F.pandas_udf(_REGION)
     def regions(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: found_in(t, shared.value))
+        return texts.map(shared.value.found)
 
     return docs.select("doc_id", F.inline(regions(F.coalesce("text", F.lit("")))))
 
@@ -525,6 +549,6 @@ def _clean(docs: DataFrame, index: Index):
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: not found_in(t, shared.value)).astype(bool)
+        return texts.map(lambda t: not shared.value.found(t)).astype(bool)
 
     return clean
