@@ -52,6 +52,8 @@ CELL = 16
 FINE = 5
 #: Characters of benchmark items in one pass; a block's index holds 16 bytes for each.
 BLOCK_CHARS = 4_000_000
+#: Hits of a cell of the grid that count, of four cells within 16 bits.
+FULL = 16_000
 #: Cells of the grid, and hits, that are held at once in a task, so few that they stay in a core's
 #: cache; longer documents are cut into windows that overlap by the longest item.
 GRID = 1 << 19
@@ -180,6 +182,7 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
+        self.many = np.diff(self.first)
         self.cell, self.place = cell[order].astype(np.int32), place[order].astype(np.int32)
         self.by_width: dict[int, np.ndarray] = {}
         self.bits = max(16, min(24, int(np.ceil(np.log2(max(1, len(self.keys))))) + 4))
@@ -198,7 +201,7 @@ class Index:
         self.offset = np.cumsum(self.length) - self.length
         self.bound = np.array([int(s[3].min()) for s in self.segments] or [1])
         reach = self.bound[self.item_of]
-        self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], 8000)), 8000).astype(np.int16)[:, None]  # of the stretch and the next
+        self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], FULL)), FULL).astype(np.uint16)[:, None]  # of the stretch and the next
         self.short = [(i, " " + _words(c) + " ") for i, c in enumerate(self.codes) if len(c) < Q]
         self.overlap = self.longest + 2 * int(self.edits.max()) + 2 * CELL + 2
 
@@ -244,34 +247,34 @@ class Index:
         at, slot = self.lookup(grams)
         if not len(at):
             return []
-        many = self.first[slot + 1] - self.first[slot]
+        many = self.many[slot]
         total = int(many.sum())
         if total > GRID and len(codes) > 4 * self.overlap:
             mid = len(codes) // 2
             right = [(i, s + mid, e + mid, d, m) for i, s, e, d, m in self.regions(codes[mid:])]
             return sorted({*self.regions(codes[: mid + self.overlap]), *right})
-        ref = np.repeat((self.first[slot] - np.cumsum(many) + many).astype(np.int32), many)
-        ref += np.arange(total, dtype=np.int32)
-        wide = -(-((len(codes) + self.longest) // CELL + 2) // 16) * 16
+        ref = np.repeat(self.first[slot] - np.cumsum(many) + many, many)
+        ref += np.arange(total)
+        wide = -(-((len(codes) + self.longest) // CELL + 2) // 16) * 16  # the last column stays empty
         position = np.repeat(at + self.longest, many)
-        key = self.origins(wide)[ref]
+        key = np.take(self.origins(wide), ref, mode="clip")
         key += position
         key >>= CELL.bit_length() - 1
-        count = np.bincount(key, minlength=(len(self.item_of) + 1) * wide)  # the last row stays empty
-        if total > 8000:  # four cells' hits stay within 16 bits
-            np.minimum(count, 8000, out=count)
-        count = count.astype(np.int16).reshape(-1, wide)
-        both = count[:, :-1] + count[:, 1:]
-        both = both[:-1] + both[1:]
-        spots = np.flatnonzero(both >= self.reach)
+        count = np.bincount(key, minlength=(len(self.item_of) + 1) * wide + 1)  # so does the last row
+        if total > 0xFFFF:  # four cells' hits stay within 16 bits
+            np.minimum(count, FULL, out=count)
+        count = count.astype(np.uint16)
+        both = count[:-1] + count[1:]
+        both = both[:-wide] + both[wide:]
+        near = (both.reshape(-1, wide) >= self.reach).ravel()
+        spots = (np.flatnonzero(near.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        spots = spots[near[spots] & (spots % wide < wide - 1)]
         if not len(spots):
             return []
-        row, column = np.divmod(spots, wide - 1)
-        after = np.minimum(row + 1, len(self.item_of) - 1)
-        marked = np.zeros(count.shape, bool)
-        for r in (row, after):
-            marked[r, column] = marked[r, column + 1] = True
-        live = np.flatnonzero(marked.ravel()[key])
+        marked = np.zeros(len(count), bool)
+        for corner in (0, 1, wide, wide + 1):
+            marked[spots + corner] = True
+        live = np.flatnonzero(np.take(marked, key, mode="clip"))
         ref = ref[live]
         item, place, out = self.item_of[self.cell[ref]], self.place[ref].astype(np.int64), []
         diagonal = position[live] - place
@@ -320,18 +323,19 @@ class Index:
 
     def bands(self, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(item, first diagonal, item positions) of the bands where a window of item positions reaches the bound."""
-        span, column = self.longest + WINDOW, diagonal // FINE
+        span, column, items = self.longest + WINDOW, diagonal // FINE, len(self.codes)
         wide = int(column.max()) // 3 + 2
-        for shift in range(3):
-            one = np.sort((item * wide + (column + shift) // 3) * span + place)
-            one = one[np.append(True, one[1:] != one[:-1])]
-            band = one // span
-            least = np.arange(len(one)) + self.bound[band // wide] - 1  # the hit that makes the bound, if near enough
-            enough = least < len(one)
-            enough[enough] = one[least[enough]] < one[enough] + (WINDOW - Q + 1)
-            for g in sorted(set(band[enough].tolist())):
-                a, b = np.searchsorted(one, (g * span, (g + 1) * span))
-                yield g // wide, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
+        one = np.concatenate([((shift * items + item) * wide + (column + shift) // 3) * span + place for shift in range(3)])
+        one.sort()
+        one = one[np.append(True, one[1:] != one[:-1])]
+        band = one // span
+        least = np.arange(len(one)) + self.bound[band // wide % items] - 1  # the hit that makes the bound, if near enough
+        enough = np.take(one, least, mode="clip") - one < WINDOW - Q + 1
+        enough &= least < len(one)
+        for g in sorted(set(band[enough].tolist())):
+            a, b = np.searchsorted(one, (g * span, (g + 1) * span))
+            shift, i = divmod(g // wide, items)
+            yield i, (g % wide * 3 - shift) * FINE, one[a:b] - g * span
 
     def nearest(self, strings: np.ndarray, spans: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The least edits between strings (offset, size; at most ``WORD`` long) of items and spans (from, to) of a text.
