@@ -217,14 +217,14 @@ class Index:
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the grams that are keys, and the place of the key of each."""
         prefix = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
-        slot = self.prefix[prefix]
-        keys = self.prefix[prefix + 1] - slot
-        at = np.flatnonzero(keys)
+        slot = np.take(self.prefix, prefix, mode="clip")
+        keys = np.take(self.prefix, prefix + 1, mode="clip") - slot
+        at = np.flatnonzero(keys > 0)
         slot = slot[at]
         crowded = np.flatnonzero(keys[at] > 1)
         if len(crowded):
             slot[crowded] = np.minimum(np.searchsorted(self.keys, grams[at[crowded]]), len(self.keys) - 1)
-        real = self.keys[slot] == grams[at]
+        real = np.take(self.keys, slot, mode="clip") == grams[at]
         return at[real], slot[real]
 
     def found(self, text: str) -> list[dict]:
@@ -267,7 +267,7 @@ class Index:
         both = count[:-1] + count[1:]
         both = both[:-wide] + both[wide:]
         near = (both.reshape(-1, wide) >= self.reach).ravel()
-        spots = (np.flatnonzero(near.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        spots = (np.flatnonzero(near.view(np.uint64) > 0)[:, None] * 8 + np.arange(8)).ravel()
         spots = spots[near[spots] & (spots % wide < wide - 1)]
         if not len(spots):
             return []
