@@ -1,6 +1,6 @@
 """Every registered query of the engine and its SQL."""
 
-from tidemark.plans import company, controls, market, point_in_time, reference_data, research, risk  # noqa: F401  they register themselves
+from tidemark.plans import company, controls, evidence, market, point_in_time, reference_data, research, risk  # noqa: F401  they register themselves
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
