@@ -11,6 +11,9 @@ PAGE = f"observations array<struct<{OBSERVATION.replace(' ', ':').replace(',:',
 UNIT = "struct<start:string,end:string,val:double,filed:string,form:string,accn:string>"
 FACTS = f"entityName string, facts map<string,map<string,struct<label:string,units:map<string,array<{UNIT}>>>>>"
 
+EVIDENCE = "facts array<struct<instrument_id:string,metric:string,value:string,unit:string,observed_at:string,available_at:string,source_identifier:string,source_url:string,revision:int>>, next_cursor string"
+OFFSET = r"(Z|[+-]\d\d:\d\d)$"
+
 
 def read_daily_bars_csv(spark: SparkSession, path: str, zone: str, close_time: str, start: str, end: str) -> DataFrame:
     """Date-only bars at the local market close in UTC, inside [start, end], close above 0; a malformed row fails."""
@@ -38,6 +41,24 @@ def read_company_facts(spark: SparkSession, path: str, concepts: DataFrame) -> D
     return rows.select("entity", "taxonomy", "concept", F.to_date("start").alias("period_start"), F.to_date("end").alias("period_end"), F.col("val").alias("value"), filed.alias("filed"), F.date_add(filed, 1).alias("available_at"))
 
 
+def read_evidence_pages(spark: SparkSession, path: str, instrument_id: str, provider: str) -> DataFrame:
+    """One row a fact of landed pages, with its provenance and ``issue``, null where it may be used.
+
+    A fact without an instrument is of the one asked for, one without a revision is of revision 0.
+    Times must carry an offset; the source must be an https address.
+    """
+    raw = spark.read.schema(EVIDENCE).json(path).select(F.inline("facts"))
+    zoned = F.col("observed_at").rlike(OFFSET) & F.col("available_at").rlike(OFFSET)
+    issue = (
+        F.when(F.coalesce("instrument_id", F.lit(instrument_id)) != instrument_id, "instrument_mismatch").when(~F.coalesce(F.col("source_url").startswith("https://"), F.lit(False)), "source_url_requires_https")
+        .when(~F.coalesce(zoned, F.lit(False)), "time_without_zone").when(F.col("metric").isNull() | F.expr("try_cast(value AS decimal(30,12))").isNull() | F.col("unit").isNull() | F.col("source_identifier").isNull(), "invalid_fact")
+    )
+    return raw.select(
+        F.coalesce("instrument_id", F.lit(instrument_id)).alias("instrument_id"), "metric", F.expr("try_cast(value AS decimal(30,12))").alias("value"), "unit", F.expr("try_cast(observed_at AS timestamp)").alias("observed_at"), F.expr("try_cast(available_at AS timestamp)").alias("available_at"),
+        "source_identifier", "source_url", F.coalesce("revision", F.lit(0)).alias("revision"), F.lit(provider).alias("provider"), issue.alias("issue"),
+    )
+
+
 def combine_pages(pages: list[DataFrame], most: int = 1000) -> DataFrame:
     """The union of provider pages by name; more pages than the bound are refused."""
     if not pages or len(pages) > most:
