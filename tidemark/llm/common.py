@@ -42,6 +42,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that ``attached`` broadcasts; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each of their keys; null is a key like others.
+
+    A table of up to ``most`` rows is broadcast after its rows were counted. A larger one is joined
+    by shuffle, where adaptive execution splits the rows of a hot key. Give narrow staged tables.
+    """
+    found = table.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in table.columns if c not in keys))
+    if table.count() <= (BROADCAST_ROWS if most is None else most):
+        found = F.broadcast(found)
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(found, on).drop(*(f"_key_{k}" for k in keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

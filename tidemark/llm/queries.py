@@ -1,4 +1,4 @@
-"""The queries op1 .. op10 and the pipeline, with SQL where it can express them."""
+"""The queries op1 .. op13 and the pipeline, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontamination, jaccard_join, media, mixing, packing, pii, quality, token_counts, url_filter
+from tidemark.llm import chat_format, decontamination, host_rules, jaccard_join, media, mixing, packing, pii, quality, token_counts, url_filter, vector_codes
 from tidemark.llm import pipeline as stages
 from tidemark.llm.common import documents
 
@@ -55,6 +55,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.rule_verdicts(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -63,10 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_chat_formatting, op4_mixing, op5_ngram_jaccard, op6_personal_data,
-        op7_packing, op8_decontamination, op9_url_filter, op10_media, pipeline,
+        op7_packing, op8_decontamination, op9_url_filter, op10_media, op11_vector_codes, op12_host_rules, pipeline,
     )
 }
 
 #: The others are not SQL through and through (models, merges, hashes, alignment); each is tested
 #: against brute force, a round trip or held-out rows in tests/llm.
-ORACLE: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_host_rules": host_rules.SQL}
