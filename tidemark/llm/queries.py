@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontamination, host_rules, jaccard_join, media, mixing, packing, pii, quality, token_counts, url_filter, vector_codes
+from tidemark.llm import chat_format, decontamination, host_rules, jaccard_join, media, mixing, packing, phrases, pii, quality, token_counts, url_filter, vector_codes
 from tidemark.llm import pipeline as stages
 from tidemark.llm.common import documents
 
@@ -63,6 +63,10 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.rule_verdicts(documents(spark, sf_dir))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -71,10 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_chat_formatting, op4_mixing, op5_ngram_jaccard, op6_personal_data,
-        op7_packing, op8_decontamination, op9_url_filter, op10_media, op11_vector_codes, op12_host_rules, pipeline,
+        op7_packing, op8_decontamination, op9_url_filter, op10_media, op11_vector_codes, op12_host_rules,
+        op13_phrases, pipeline,
     )
 }
 
 #: The others are not SQL through and through (models, merges, hashes, alignment); each is tested
 #: against brute force, a round trip or held-out rows in tests/llm.
-ORACLE: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_host_rules": host_rules.SQL}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_host_rules": host_rules.SQL, "op13_phrases": phrases.SQL}
