@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,37 @@ def attached(rows: DataFrame, table: DataFrame, keys: list[str], most: int | Non
     return rows.join(found, on).drop(*(f"_key_{k}" for k in keys))
 
 
+@dataclasses.dataclass
+class BitTable:
+    """Bits at the leading bits of 64-bit hashes; may have more members than were put in."""
+
+    bits: np.ndarray
+    shift: int
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(self.shift)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: Bits of a table for each entry, and its largest size in bits (64 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 29
+
+
+def bit_table(hashes: DataFrame, rows: int):
+    """Broadcast ``BitTable`` of the 64-bit hashes in the column ``hash``, of which there are about ``rows``.
+
+    Its size is bounded, whatever their number: a fuller table lets more through and loses none.
+    """
+    size = 16
+    while 1 << size < min(MOST_BITS, rows * BITS_EACH):
+        size += 1
+    at = hashes.select(F.shiftrightunsigned("hash", 64 - size).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 6).alias("part")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << size - 6, np.uint64)
+    bits[parts.column("part").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(BitTable(bits, 64 - size))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -3,29 +3,30 @@
 A shard is a stretch of texts of one language, bounded in bytes. Its words become ids with a 0 at
 every break, and two Burrows-Wheeler transforms are made, of the ids and of their reversal, with
 suffixes sorted by their first words only (as many as the longest phrase asks for). An interval of
-either order stands for a phrase; both are kept in step. Extending intervals to the left enumerates
-the phrases with one word more, their counts, and how many occurrences have a word before and after.
-Counts are then summed across shards.
-
-Only phrases with ``LEAST`` occurrences matter, and every part of one has as many. So words, then
-pairs, then triples are counted first, and each pass leaves a bit table of the hashes of those that
-are frequent. The tables only prune: their size is bounded, and a fuller one lets more through, but
-counts are exact and the bar is applied to exact counts, so the result is the same.
+either order stands for a phrase; both are kept in step. Extending intervals to the left and to the
+right enumerates the phrases with one word more and their counts, which are then summed across
+shards; a phrase's largest left and right extensions come from the sums of the phrases one longer.
+
+Only phrases with ``LEAST`` occurrences matter, and every part of one has as many. So words are
+counted first, then pairs, and so on, and each pass leaves a bit table of the hashes of those that are
+frequent. The tables only prune: their size is bounded, and a fuller one lets more through, but counts
+are exact and the bar is applied to exact counts, so the result is the same. Phrases travel as the
+64-bit hashes of their words, and get their texts when the frequent ones are known.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attached, staged
+from tidemark.llm.common import BitTable, attached, bit_table, staged
 
 LEAST = 100
 LONGEST = 5
@@ -33,8 +34,6 @@ TOP = 2000
 NO_LANG = "und"
 #: Bytes of text in a shard.
 SHARD_BYTES = 6 << 20
-#: Bits of a table for each entry, and its largest size in bits (64 MB).
-BITS_EACH, MOST_BITS = 16, 1 << 29
 #: Upper case to lower case, tabs to spaces, and the characters that end a piece to line breaks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 SEED = 42  # that of the xxhash64 function of Spark SQL
@@ -77,19 +76,19 @@ def shard_of(lang: str, blobs: list[tuple[bytes, int]], frequent: BitTable | Non
     """A shard of folded texts with weights; words that ``frequent`` lacks become breaks."""
     words, piece, starts = tokens(b"\n".join(b for b, _ in blobs))
     coded = words.dictionary_encode()
-    ids, kinds = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary.to_pylist()
+    ids, kinds = coded.indices.to_numpy() + np.int32(1), coded.dictionary.to_pylist()
     hashes = hashed_words(lang, kinds)
     if all(w == 1 for _, w in blobs):
-        weight = np.ones(len(ids), np.int64)
+        weight = np.ones(len(ids), np.int8)
     else:
         ends = np.cumsum([len(b) + 1 for b, _ in blobs])
-        weight = np.array([w for _, w in blobs], np.int64)[np.searchsorted(ends, starts, side="right")]
+        weight = np.array([w for _, w in blobs], np.int8)[np.searchsorted(ends, starts, side="right")]
     if frequent is not None:
         known = frequent.has(hashes)
         known[0] = False
-        place = np.cumsum(known)
+        place = np.cumsum(known, dtype=np.int32)
         kinds, hashes = [w for w, k in zip(kinds, known[1:], strict=True) if k], np.concatenate([hashes[:1], hashes[known]])
-        ids = np.where(known[ids], place[ids], 0)
+        ids = np.where(known[ids], place[ids], np.int32(0))
     return Shard(lang, *with_breaks(ids, weight, piece[1:] != piece[:-1]), kinds, hashes)
 
 
@@ -97,7 +96,8 @@ def with_breaks(ids: np.ndarray, weight: np.ndarray, apart: np.ndarray) -> tuple
     """Ids and weights with a 0 first, last and wherever neighbours are ``apart``, and with runs of 0 as one."""
     at = np.arange(1, len(ids) + 1)
     at[1:] += np.cumsum(apart)
-    out, w = np.zeros(at[-1] + 2 if len(ids) else 1, np.int64), np.zeros(at[-1] + 2 if len(ids) else 1, np.int64)
+    size = at[-1] + 2 if len(ids) else 1
+    out, w = np.zeros(size, np.int32), np.zeros(size, np.int8)
     out[at], w[at] = ids, weight
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
@@ -125,18 +125,6 @@ def joined(head: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mixed ^ (mixed >> np.uint64(32))
 
 
-@dataclasses.dataclass
-class BitTable:
-    """Bits at the leading bits of 64-bit hashes; may have more members than were put in."""
-
-    bits: np.ndarray
-    shift: int
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(self.shift)
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 # index -----------------------------------------------------------------------------------------------
 
 
@@ -144,26 +132,23 @@ def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places in order of the (at least) ``depth`` ids that begin there; past the end stand zeros."""
     rank, done = ids, 1
     while True:
-        later = np.zeros_like(rank)
-        later[:-done] = rank[done:]
-        key = rank * (rank.max() + 1) + later
+        key = rank.astype(np.int64)
+        key *= int(rank.max()) + 1
+        key[:-done] += rank[done:]
         done *= 2
         if done >= depth or done >= len(ids):
-            return np.argsort(key, kind="stable")
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            return np.argsort(key, kind="stable").astype(np.int32)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
 
 
 class Half:
     """One direction: the transform, and where a row's preceding id leads."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, depth: int):
+    def __init__(self, ids: np.ndarray, depth: int):
         self.order = suffix_order(ids, depth)
-        self.before = ids[self.order - 1]  # the id before the first is the last one, a break
-        self.rows = np.argsort(self.before, kind="stable")  # row that leads to each row: the inverse of the LF mapping
-        self.first = self.before[self.rows]
-        self.weight = weight[self.order]
-        self.sums = np.concatenate([[0], np.cumsum(self.weight)])
-        self.beside = np.concatenate([[0], np.cumsum(np.where(self.before != 0, self.weight, 0))])
+        before = ids[self.order - 1]  # the id before the first is the last one, a break
+        self.rows = np.argsort(before, kind="stable").astype(np.int32)  # row that leads to each row: the inverse of the LF mapping
+        self.first = before[self.rows]
 
 
 @dataclasses.dataclass
@@ -183,9 +168,20 @@ class BiIndex:
     """A bidirectional index of a shard for phrases of up to ``depth`` words."""
 
     def __init__(self, shard: Shard, depth: int):
-        self.shard = shard
-        self.forth = Half(shard.ids, shard.weight, depth)
-        self.back = Half(shard.ids[::-1], shard.weight[::-1], depth)
+        self.shard, self.depth = shard, depth
+
+    @functools.cached_property
+    def forth(self) -> Half:
+        return Half(self.shard.ids, self.depth)
+
+    @functools.cached_property
+    def back(self) -> Half:
+        """Made when phrases are first extended to the right."""
+        return Half(self.shard.ids[::-1], self.depth)
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.shard.weight[self.forth.order], dtype=np.int64)])
 
     def words(self) -> Intervals:
         counts = np.bincount(self.shard.ids, minlength=len(self.shard.hashes))
@@ -202,8 +198,8 @@ class BiIndex:
         return Intervals(turned.length, turned.mirror, turned.low, turned.size)
 
     def _extended(self, half: Half, parents: Intervals) -> Intervals:
-        label = np.full(len(half.order), -1, np.int64)
-        label[_spread(parents.low, parents.size)] = np.repeat(np.arange(len(parents.low)), parents.size)
+        label = np.full(len(half.order), -1, np.int32)
+        label[_spread(parents.low, parents.size)] = np.repeat(np.arange(len(parents.low), dtype=np.int32), parents.size)
         led = label[half.rows]  # the parent whose row leads here
         fresh = np.ones(len(led), bool)
         fresh[1:] = (led[1:] != led[:-1]) | (half.first[1:] != half.first[:-1])
@@ -221,31 +217,24 @@ class BiIndex:
         return out.take(np.flatnonzero(word != 0))
 
     def counts(self, of: Intervals) -> np.ndarray:
-        return self.forth.sums[of.low + of.size] - self.forth.sums[of.low]
-
-    def with_neighbour(self, of: Intervals) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences with a word before, and with one after."""
-        return (
-            self.forth.beside[of.low + of.size] - self.forth.beside[of.low],
-            self.back.beside[of.mirror + of.size] - self.back.beside[of.mirror],
-        )
+        return self.sums[of.low + of.size] - self.sums[of.low]
 
     def places(self, of: Intervals) -> np.ndarray:
         return self.forth.order[of.low]
 
-    def hashes(self, of: Intervals) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the phrases, and of all but their last words."""
-        at, h, ids = self.places(of), self.shard.hashes, self.shard.ids
-        whole = head = h[ids[at]]
-        for k in range(1, of.length):
-            head, whole = whole, joined(whole, h[ids[at + k]])
-        return whole, head
+    def word_hashes(self, of: Intervals) -> list[np.ndarray]:
+        """The hashes of the phrases' first, second, ... words."""
+        at = self.places(of)
+        return [self.shard.hashes[self.shard.ids[at + k]] for k in range(of.length)]
+
+    def texts(self, of: Intervals) -> list[str]:
+        at = self.places(of)
+        return [b" ".join(self.shard.words[self.shard.ids[p + k] - 1] for k in range(of.length)).decode() for p in at]
+
 
-    def texts(self, of: Intervals) -> pa.Array:
-        kinds, at = pa.array(self.shard.words, pa.binary()), self.places(of)
-        each = [kinds.take(pa.array(self.shard.ids[at + k] - 1)) for k in range(of.length)]
-        out = each[0] if of.length == 1 else pc.binary_join_element_wise(*each, pa.scalar(b" ", pa.binary()))
-        return pa.Array.from_buffers(pa.string(), len(out), out.buffers(), offset=out.offset)
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of phrases from those of their words."""
+    return functools.reduce(joined, words)
 
 
 def _spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -255,17 +244,22 @@ def _spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def phrases(index: BiIndex, longest: int, tables: dict[int, BitTable]) -> Iterator[Intervals]:
-    """Intervals of all phrases of 2 to ``longest`` words whose parts are in the tables of their lengths."""
+    """Intervals of all phrases of 2 to ``longest`` words whose parts are in the tables of their lengths.
+
+    Pairs come by extension to the left, triples to the right, and so on; the part of a phrase that
+    was not its parent is looked up.
+    """
     now = index.words()
     for n in range(2, longest + 1):
-        now = index.left(now)
-        if n > 2 and n - 1 in tables:  # the last n - 1 words were checked as the parent
-            now = now.take(np.flatnonzero(tables[n - 1].has(index.hashes(now)[1])))
-        if n in tables:
-            now = now.take(np.flatnonzero(tables[n].has(index.hashes(now)[0])))
+        now = index.left(now) if n % 2 == 0 else index.right(now)
+        if n > 2 and n - 1 in tables:
+            words = index.word_hashes(now)
+            now = now.take(np.flatnonzero(tables[n - 1].has(hashed(words[:-1] if n % 2 == 0 else words[1:]))))
         if not len(now.low):
             return
         yield now
+        if n in tables:
+            now = now.take(np.flatnonzero(tables[n].has(hashed(index.word_hashes(now)))))
 
 
 # shards of a table -----------------------------------------------------------------------------------
@@ -346,17 +340,23 @@ def word_counts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return _rows(docs).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def hashed_counts(docs: DataFrame, length: int, tables: dict, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``gram, f``: occurrences by hash of the phrases of ``length`` words whose parts are in the tables."""
+def _columns(length: int) -> list[str]:
+    return [f"w{k}" for k in range(length)]
+
+
+def phrase_counts(docs: DataFrame, length: int, tables: dict, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``w0 .. , f``: occurrences of the phrases of ``length`` words, as hashes, whose parts are in the tables."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {n: t.value for n, t in tables.items()}
         for index in indexes(batches, length, known, shard_bytes):
             for found in phrases(index, length, known):
                 if found.length == length:
-                    yield pa.RecordBatch.from_arrays([pa.array(index.hashes(found)[0].view(np.int64)), pa.array(index.counts(found))], ["gram", "f"])
+                    words = [pa.array(w.view(np.int64)) for w in index.word_hashes(found)]
+                    yield pa.RecordBatch.from_arrays([*words, pa.array(index.counts(found))], [*_columns(length), "f"])
 
-    return _rows(docs).mapInArrow(count, "gram long, f long").groupBy("gram").agg(F.sum("f").alias("f"))
+    kinds = ", ".join(f"{c} long" for c in _columns(length))
+    return _rows(docs).mapInArrow(count, f"{kinds}, f long").groupBy(*_columns(length)).agg(F.sum("f").alias("f"))
 
 
 def indexes(batches: Iterator[pa.RecordBatch], depth: int, known: dict[int, BitTable], shard_bytes: int) -> Iterator[BiIndex]:
@@ -368,76 +368,67 @@ def indexes(batches: Iterator[pa.RecordBatch], depth: int, known: dict[int, BitT
             yield BiIndex(shard, depth)
 
 
-def phrase_counts(docs: DataFrame, longest: int, tables: dict, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``lang, phrase, words, f, lefts, rights``: exact occurrences of phrases, and of those with a word before and after.
+def phrase_table(phrases: DataFrame, length: int, rows: int):
+    """Broadcast table of the hashes of phrases ``w0 ..``."""
 
-    What has a word that is not frequent beside it, or one with which it makes no frequent pair,
-    counts as having none.
-    """
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(c).to_numpy().view(np.uint64) for c in _columns(length)]
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(words).view(np.int64))], ["hash"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {n: t.value for n, t in tables.items()}
-        for index in indexes(batches, longest, known, shard_bytes):
-            for found in phrases(index, longest, known):
-                n = len(found.low)
-                before, after = index.with_neighbour(found)
-                columns = [pa.repeat(pa.scalar(index.shard.lang, pa.string()), n), index.texts(found), pa.array(np.full(n, found.length, np.int32)), pa.array(index.counts(found)), pa.array(before), pa.array(after)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "f", "lefts", "rights"])
-
-    each = _rows(docs).mapInArrow(count, "lang string, phrase string, words int, f long, lefts long, rights long")
-    return each.groupBy("lang", "phrase", "words").agg(*(F.sum(c).alias(c) for c in ("f", "lefts", "rights")))
-
-
-def bit_table(grams: DataFrame, rows: int):
-    """Broadcast table of the hashes in the column ``gram``; at most ``MOST_BITS`` bits, whatever their number."""
-    size = 16
-    while 1 << size < min(MOST_BITS, rows * BITS_EACH):
-        size += 1
-    at = grams.select(F.shiftrightunsigned("gram", 64 - size).alias("at"))
-    parts = at.groupBy(F.shiftright("at", 6).alias("part")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
-    bits = np.zeros(1 << size - 6, np.uint64)
-    bits[parts.column("part").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
-    return grams.sparkSession.sparkContext.broadcast(BitTable(bits, 64 - size))
-
-
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``lang, n`` (all words) and ``lang, phrase, words, f, lefts, rights`` of the phrases of 1 to ``longest`` words with ``f >= least``."""
+    return bit_table(phrases.select(*_columns(length)).mapInArrow(hashes, "hash long"), rows)
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lang, n`` (all words); ``h, lang, word`` and ``words (array of h), f`` of the words and phrases of up to ``longest`` words with ``f >= least``."""
     all_words = staged(word_counts(docs, shard_bytes), "word-counts")
     totals = staged(all_words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
-    words = all_words.where(F.col("f") >= least)
-    tables = {1: bit_table(words.select(F.xxhash64("lang", "phrase").alias("gram")), words.count())}
-    for length in range(2, min(3, longest - 1) + 1):
-        grams = staged(hashed_counts(docs, length, tables, shard_bytes).where(F.col("f") >= least), f"grams-{length}")
-        tables[length] = bit_table(grams, grams.count())
-    found = phrase_counts(docs, longest, tables, shard_bytes).where(F.col("f") >= least)
-    single = words.select("lang", "phrase", F.lit(1).alias("words"), "f", F.lit(None).cast("long").alias("lefts"), F.lit(None).cast("long").alias("rights"))
-    return totals, staged(single.unionByName(found), "phrases")
+    words = staged(all_words.where(F.col("f") >= least).select(F.xxhash64("lang", "phrase").alias("w0"), "lang", "phrase", "f"), "words")
+    found, tables = words.select(F.array("w0").alias("words"), "f"), {1: phrase_table(words, 1, words.count())}
+    for length in range(2, longest + 1):
+        level = staged(phrase_counts(docs, length, tables, shard_bytes).where(F.col("f") >= least), f"phrases-{length}")
+        found = found.unionByName(level.select(F.array(*_columns(length)).alias("words"), "f"))
+        rows = level.count() if length < longest else 0
+        if not rows:
+            break
+        tables[length] = phrase_table(level, length, rows)
+    return totals, words.select(F.col("w0").alias("h"), "lang", F.col("phrase").alias("word")), found
 
 
 # collocations ----------------------------------------------------------------------------------------
 
 
+def extensions(found: DataFrame) -> DataFrame:
+    """``words, left_most, right_most``: the most occurrences of a phrase with one certain word before it, and after it."""
+    n = F.size("words")
+    longer = found.where(n > 1).select("f", F.explode(F.array(F.struct(F.slice("words", F.lit(2), n - 1).alias("words"), F.lit(True).alias("before")), F.struct(F.slice("words", F.lit(1), n - 1).alias("words"), F.lit(False).alias("before")))).alias("x"))
+    return longer.groupBy("x.words").agg(F.max(F.when(F.col("x.before"), F.col("f"))).alias("left_most"), F.max(F.when(~F.col("x.before"), F.col("f"))).alias("right_most"))
+
+
+def with_texts(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """``phrases`` (words, distinct) with ``lang`` and ``phrase``, the words' texts joined by spaces."""
+    each = phrases.select("words", F.posexplode("words").alias("k", "h")).join(words, "h")
+    texts = each.groupBy("words").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    return phrases.join(texts, "words")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases.
 
     A phrase that a longer candidate with as many occurrences contains is dropped; as counts never
     grow with length, one longer by one word shows it. Products are decimals of 38 digits, so they
-    are exact. A null language is ``und``, null texts are empty; texts that end inside a word,
-    repeated rows and rows without an id count like others; an empty table gives an empty one; other
-    columns are ignored.
+    are exact. A null language is ``und``, null texts are empty; repeated rows and rows without an id
+    count like others; an empty table gives an empty one; other columns are ignored.
     """
-    totals, found = frequent_phrases(docs, least, longest, shard_bytes)
-    split = found.where("words > 1").withColumn("parts", F.split("phrase", " ", -1))
-    text = lambda start, size: F.concat_ws(" ", F.slice("parts", start, size))
-    ends = split.where("words > 2").select("lang", "f", F.explode(F.array(text(F.lit(1), F.col("words") - 1), text(F.lit(2), F.col("words") - 1))).alias("phrase"))
-    longer = ends.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = split.join(longer, ["lang", "phrase"], "left").where("longer IS NULL OR longer < f").select("lang", "phrase", "words", "parts", F.col("f").alias("a"))
-    kept = staged(kept, "candidates")
-    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select("lang", "phrase", "a", "k", text(F.lit(1), F.col("k")).alias("first"), text(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    counts = lambda part, name: found.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
-    cuts = cuts.join(counts("first", "l"), ["lang", "first"]).join(counts("rest", "r"), ["lang", "rest"])
-    cuts = attached(cuts, totals, ["lang"])
+    totals, words, found = frequent_phrases(docs, least, longest, shard_bytes)
+    kept = found.where(F.size("words") > 1).join(extensions(found.where(F.size("words") > 2)), "words", "left")
+    kept = kept.where(F.greatest(F.coalesce("left_most", F.lit(0)), F.coalesce("right_most", F.lit(0))) < F.col("f"))
+    kept = staged(with_texts(kept.select("words", F.col("f").alias("a")), words), "candidates")
+    size = F.size("words")
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
+    cuts = cuts.select("lang", "phrase", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("first"), F.slice("words", F.col("k") + 1, size - F.col("k")).alias("rest"))
+    counts = lambda part, name: found.select(F.col("words").alias(part), F.col("f").alias(name))
+    cuts = attached(cuts.join(counts("first", "l"), "first").join(counts("rest", "r"), "rest"), totals, ["lang"])
     score = F.expr("CAST((CAST(1000 AS DECIMAL(6, 0)) * CAST(a AS DECIMAL(16, 0)) * CAST(n AS DECIMAL(16, 0))) div (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0))) AS BIGINT)")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
