@@ -43,7 +43,7 @@ def test_reservation_lets_a_later_small_order_fit(spark):
 
 def test_positions_flip(spark):
     fills = [("a", "i", 1, 1, 10.0, 100.0), ("a", "i", 2, 2, 10.0, 110.0), ("a", "i", 3, 3, -5.0, 120.0), ("a", "i", 4, 4, -20.0, 90.0)]
-    row = execution.positions(spark.createDataFrame(fills, "account_id string, instrument_id string, occurred_at int, fill_id int, signed double, price double")).first()
+    row = execution.positions(spark.createDataFrame(fills, "account_id string, instrument_id string, occurred_at int, fill_id int, signed double, price double"), ["account_id", "instrument_id"], ["occurred_at", "fill_id"]).first()
     assert (row.quantity, row.average_cost, row.cash) == (-5.0, 90.0, -1000 - 1100 + 600 + 1800)
 
 
@@ -62,7 +62,8 @@ def test_features_do_not_see_the_future(spark):
 
 
 def test_digest_ignores_order_and_partitions(spark):
-    rows = spark.range(1000).select("id", F.lit(1).alias("g")).withColumn("h", identity.row_hash("id"))
+    rows = spark.range(1000).select("id", F.lit(1).alias("g"))
+    rows = rows.withColumn("h", identity.row_hash(rows))
     one = identity.set_digest(rows.repartition(1), ["g"], "h").first()
     assert identity.set_digest(rows.orderBy(F.desc("id")).repartition(7), ["g"], "h").first() == one and one["rows"] == 1000
     assert identity.set_digest(rows.where("id > 0"), ["g"], "h").first().digest != one.digest

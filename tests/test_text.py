@@ -29,16 +29,6 @@ def test_health_ranks_every_action_and_blocks_unknown_ones(spark):
     assert got["x"] == (2, "NEW_ACTION", True) and got["y"][2] and got["z"] == (3, "GLOBAL_BLOCK", True)
 
 
-def test_safe_scale_like_a_fine_grid(spark):
-    rows = [(p, 100.0 * ((p * 7 + g * 3) % 11) - 500, 100.0 * ((p * 5 + g) % 13) - 600, 450.0) for p in range(12) for g in range(4)]
-    out = {r.p: r.scale for r in research.safe_scale(spark.createDataFrame(rows, "p long, present double, added double, cap double"), "p", "present", "added", "cap").collect()}
-    for p in range(12):
-        mine = [r for r in rows if r[0] == p]
-        good = [k / 10000 for k in range(10001) if all(abs(a + k / 10000 * b) <= c + 1e-9 or abs(a + b) <= c for _, a, b, c in mine)]
-        if good and good[0] == 0:
-            assert abs(out[p] - max(good)) < 1e-3
-
-
 def test_screen_and_splits_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, 5.0, True), (2, None, True), (3, 50.0, None)], "id long, x double, ok boolean")
     got = {r.id: (r.decision, r.reasons) for r in research.screen(rows, {"size": F.col("x") < 10, "state": F.col("ok")}).collect()}

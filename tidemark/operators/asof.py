@@ -1,4 +1,4 @@
-"""Point-in-time reads: latest-by, as-of joins and interval joins for whole tables."""
+"""Point-in-time reads: latest-by and as-of joins for whole tables."""
 
 from __future__ import annotations
 
@@ -37,20 +37,6 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
     return carried.where("__side = 1").select("__l.*", *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
-def interval_join(requests: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, fields: list[str]) -> DataFrame:
-    """Every interval of a request's key that holds its time (start inclusive, end exclusive or open)."""
-    i = intervals.select(F.col(key).alias("__k"), F.col(start).alias("__a"), F.col(end).alias("__b"), *fields)
-    hit = (requests[key] == F.col("__k")) & (F.col("__a") <= requests[at]) & (F.col("__b").isNull() | (requests[at] < F.col("__b")))
-    return requests.join(i, hit, "left").drop("__k", "__a", "__b")
-
-
-def resolve(requests: DataFrame, intervals: DataFrame, request_id: str, key: str, at: str, start: str, end: str, target: str) -> DataFrame:
-    """One row for each request: RESOLVED with its target, NOT_FOUND or AMBIGUOUS."""
-    found = interval_join(requests, intervals, key, at, start, end, [target]).groupBy(request_id).agg(F.count(target).alias("matches"), F.min(target).alias(target))
-    status = F.when(F.col("matches") == 1, "RESOLVED").when(F.col("matches") == 0, "NOT_FOUND").otherwise("AMBIGUOUS")
-    return found.select(request_id, status.alias("status"), F.when(F.col("matches") == 1, F.col(target)).alias(target))
-
-
 def overlapping_validity(intervals: DataFrame, key: str, start: str, end: str, ident: str) -> DataFrame:
     """Intervals that begin before an earlier one of their key has ended."""
     w = Window.partitionBy(key).orderBy(start, ident).rowsBetween(Window.unboundedPreceding, -1)

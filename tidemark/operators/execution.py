@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import carried, in_ranges, ordered_fold
+
 
 def order_roll_up(fills: DataFrame, orders: DataFrame) -> DataFrame:
     """Filled quantity, volume-weighted price and status of each order; unfilled ones appear too."""
@@ -22,23 +24,38 @@ def quality(rolled: DataFrame, limit: float) -> DataFrame:
     return out.withColumn("shortfall", F.col("slippage") * F.col("filled") * F.col("decision_price")).withColumn("breach", F.coalesce(F.col("slippage") > limit, F.lit(False)))
 
 
-def positions(fills: DataFrame) -> DataFrame:
-    """Quantity, average cost and cash of each (account, instrument) from its ordered fills.
+def positions(fills: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """``keys, quantity, average_cost, cash`` from ordered fills (signed, price).
 
-    Adding to a position averages the cost; reducing keeps it; crossing zero takes the fill's price.
+    Adding to a position averages the cost; reducing keeps it; crossing zero takes the fill's price,
+    and a flat position has cost 0. The quantity before a range of fills is a running sum, and what a
+    range does to the cost is ``a * cost + b``, so ranges of a hot key are folded side by side and
+    then chained, one row for each. Fills without a price or quantity are left out.
     """
-    rows = F.array_sort(F.collect_list(F.struct("occurred_at", "fill_id", F.col("signed").cast("double").alias("q"), F.col("price").cast("double").alias("p"))))
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("c"))
-
-    def apply(acc, x):
-        q = acc["q"] + x["q"]
-        same = acc["q"] * x["q"] >= 0
-        cost = F.when(q == 0, 0.0).when(same, (acc["c"] * acc["q"] + x["p"] * x["q"]) / q).when(acc["q"] * q > 0, acc["c"]).otherwise(x["p"])
-        return F.struct(q.alias("q"), cost.alias("c"))
-
-    packed = fills.groupBy("account_id", "instrument_id").agg(rows.alias("r"), (-F.sum(F.col("signed") * F.col("price"))).alias("cash"))
-    folded = packed.withColumn("s", F.aggregate("r", start, apply))
-    return folded.select("account_id", "instrument_id", F.col("s.q").alias("quantity"), F.col("s.c").alias("average_cost"), "cash")
+    flat = fills.select(*keys, *order, F.col("signed").cast("double").alias("_q"), F.col("price").cast("double").alias("_p")).where("_q IS NOT NULL AND _p IS NOT NULL")
+    dealt = carried(in_ranges(flat, keys, order, ranges), keys, ["_q"])
+
+    def fill(s: dict, row: dict):
+        held = s.setdefault("q", row["before__q"])
+        q, x, p = held + row["_q"], row["_q"], row["_p"]
+        if q == 0:
+            s["a"], s["b"] = 0.0, 0.0
+        elif held * x >= 0:
+            s["a"], s["b"] = s["a"] * held / q, (s["b"] * held + p * x) / q
+        elif held * q < 0:
+            s["a"], s["b"] = 0.0, p
+        s["q"] = q
+        s["cash"] -= x * p
+        return ()
+
+    def chain(s: dict, row: dict):
+        s["cost"] = row["_a"] * s["cost"] + row["_b"]
+        s["q"], s["cash"] = row["_q"], s["cash"] + row["_cash"]
+        return ()
+
+    kinds = ", ".join(f"{k} {flat.schema[k].dataType.simpleString()}" for k in keys)
+    parts = ordered_fold(dealt, ["piece", *keys], order, lambda: {"a": 1.0, "b": 0.0, "cash": 0.0}, fill, f"piece int, {kinds}, _q double, _a double, _b double, _cash double", lambda key, s: [(*key, s["q"], s["a"], s["b"], s["cash"])])
+    return ordered_fold(parts, keys, ["piece"], lambda: {"q": 0.0, "cost": 0.0, "cash": 0.0}, chain, f"{kinds}, quantity double, average_cost double, cash double", lambda key, s: [(*key, s["q"], s["cost"], s["cash"])])
 
 
 def reconcile_positions(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -92,18 +92,6 @@ def reconcile_engines(left: DataFrame, right: DataFrame, keys: list[str], values
     return rows.fillna(0.0, ["left", "right"]).where(F.abs(F.col("left") - F.col("right")) > tolerance)
 
 
-def safe_scale(groups: DataFrame, key: str, present: str, added: str, limit: str) -> DataFrame:
-    """``key, scale, binding``: the largest part in [0, 1] of an addition under which every |present + scale * added| keeps its limit.
-
-    Each limit of a portfolio (net, group or factor) is linear in the scale, so its own bound is
-    exact and the least bound is the answer; a limit broken already that the addition does not mend gives 0.
-    """
-    p, a, cap = F.col(present), F.col(added), F.col(limit)
-    bound = F.when(a > 0, (cap - p) / a).when(a < 0, (cap + p) / -a).otherwise(F.when(F.abs(p) <= cap, 1.0).otherwise(0.0))
-    bounded = groups.withColumn("bound", F.when(F.abs(p + a) <= cap, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound))))
-    return bounded.groupBy(key).agg(F.min("bound").alias("scale"), F.count_if(F.col("bound") < 1).alias("binding"))
-
-
 def projected_exposures(positions: DataFrame, orders: DataFrame, prices: DataFrame, keys: list[str], instrument: str) -> DataFrame:
     """Quantity and notional by key after open orders: positions and signed orders are added up, then priced.
 

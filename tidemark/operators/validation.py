@@ -48,21 +48,6 @@ def probabilistic_sharpe(sharpe: Column, benchmark: float, n: Column) -> Column:
     return normal_cdf((sharpe - benchmark) * F.sqrt(n - 1))
 
 
-def bootstrap(returns: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
-    """Total return of each resample with replacement: ``key, resample, total_return``.
-
-    Draw i of resample r is a hash of (seed, r, i), so results do not depend on partitioning. Only
-    periods are joined to draws, by place, never resamples to each other.
-    """
-    w = Window.partitionBy(key)
-    placed = returns.withColumn("place", F.row_number().over(w.orderBy("day")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    draws = placed.select(key, "n", "place", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    draws = draws.select(key, "resample", F.pmod(F.xxhash64(F.lit(seed), "resample", "place"), F.col("n")).cast("int").alias("place"))
-    drawn = draws.groupBy(key, "resample", "place").count()
-    picked = drawn.join(placed.select(key, "place", "r"), [key, "place"])
-    return picked.groupBy(key, "resample").agg((F.exp(F.sum(F.log1p("r") * F.col("count"))) - 1).alias("total_return"))
-
-
 def simple_regimes(bars: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Regime probabilities from the return over n - 1 steps; confidence at most 0.40. Columns in ``keep`` stay."""
     w = Window.partitionBy("instrument_id").orderBy("day")

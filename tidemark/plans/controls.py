@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import features as f
-from tidemark.functions import identity
 from tidemark.operators import backtest, controls, validation
 from tidemark.operators.controls import reasons
 from tidemark.plans.market import _FEAT, RUN_SQL, SIGNALS_SQL, W, _frame, _run, r6
@@ -48,15 +47,6 @@ def q14(spark, d):
     return controls.active_blocks(a, asked, {"instrument": "i", "strategy": "s", "global": "g"}, F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
-_PAYLOAD = {"missing_k": "k IS NULL", "k_out_of_range": "k > 80", "non_positive_value": "value <= 0", "value_out_of_range": "value > 100"}
-
-
-@query("q17_normalize_payload", f"WITH p AS (SELECT event_id, value, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) SELECT event_id, k, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS value_text, {why(_PAYLOAD)} AS issues FROM p")
-def q17(spark, d):
-    p = table(spark, d, "events").select("event_id", "value", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
-    return p.select("event_id", "k", F.col("value").cast("decimal(18,2)").cast("string").alias("value_text"), reasons(_PAYLOAD).alias("issues"))
-
-
 @query("q19_provenance_check", "SELECT source, count(*) AS documents FROM documents WHERE source IS NULL OR source NOT IN (SELECT source FROM documents WHERE doc_id % 10 = 0 AND lang = 'en' AND source IS NOT NULL) GROUP BY 1")
 def q19(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
@@ -179,14 +169,6 @@ def v13(spark, d):
     return j.groupBy("strategy", F.col("s.p1").alias("p1"), F.col("s.p2").alias("p2")).agg(F.count_if(near).alias("neighbours"), F.count_if(F.col("r") >= F.col("s.r") * 0.9).alias("plateau"), r6(good / F.count_if(near), "score"))
 
 
-@query("v18_evidence_integrity", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0")
-def v18(spark, d):
-    o = table(spark, d, "orders")
-    stored = o.select("o_orderkey", "o_orderstatus", identity.row_hash("o_orderkey", "o_orderstatus").alias("stored"))
-    seen = stored.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 50 == 0, F.concat("o_orderstatus", F.lit("?"))).otherwise(F.col("o_orderstatus")))
-    return seen.where(identity.row_hash("o_orderkey", "o_orderstatus") != F.col("stored")).select("o_orderkey", F.expr("rtrim('?', o_orderstatus)").alias("o_orderstatus"))
-
-
 _PROMOTE = {"insufficient_held_out_periods": "n < 1400", "held_out_return_below_threshold": "g < 0", "turnover_limit": "t > 600", "sharpe_below_threshold": "s IS NULL OR s < 0.5"}
 
 

@@ -279,14 +279,6 @@ def v5(spark, d):
     return validation.in_splits(placed, splits, "instrument_id").groupBy("instrument_id", "split").agg(F.count(F.lit(1)).alias("periods"), r6(F.exp(F.sum(F.log1p("r"))) - 1, "held_out"))
 
 
-@query("v9_bootstrap")
-def v9(spark, d):
-    out = validation.bootstrap(views.returns(spark, d), "instrument_id", 50, 7)
-    loss = out.groupBy("instrument_id").agg(F.count(F.lit(1)).cast("int").alias("resamples"), F.avg((F.col("total_return") < 0).cast("double")).alias("p_negative"))
-    q = validation.lower_quantiles(out, "instrument_id", "total_return", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).join(loss, "instrument_id")
-    return q.select("instrument_id", "resamples", r6(F.col("p_negative"), "p_negative"), *(r6(F.col(c), c) for c in ("p05", "p50", "p95")))
-
-
 @query("v11_lower_quantile", with_views("returns") + " SELECT instrument_id, round(list_sort(list(r))[floor(0.05::DOUBLE * (count(*) - 1))::BIGINT + 1], 6) AS p05, round(list_sort(list(r))[floor(0.5::DOUBLE * (count(*) - 1))::BIGINT + 1], 6) AS p50 FROM returns GROUP BY 1")
 def v11(spark, d):
     q = validation.lower_quantiles(views.returns(spark, d), "instrument_id", "r", {"p05": 0.05, "p50": 0.5})

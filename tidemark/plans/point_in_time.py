@@ -309,17 +309,6 @@ def b16(spark, d):
 # limits and screening
 
 
-@query("p17_safe_scale", """WITH g AS (SELECT o_custkey AS portfolio_id, o_orderpriority AS grp, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS p, sum(CASE WHEN o_orderstatus <> 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END ELSE 0 END) AS a FROM orders GROUP BY 1, 2),
-    b AS (SELECT portfolio_id, CASE WHEN abs(p + a) <= 200000 THEN 1 ELSE greatest(0, least(1, CASE WHEN a > 0 THEN (200000 - p) / a WHEN a < 0 THEN (200000 + p) / -a WHEN abs(p) <= 200000 THEN 1 ELSE 0 END)) END AS bound FROM g)
-    SELECT portfolio_id, round(min(bound)::DOUBLE, 6) AS scale, sum((bound < 1)::INT)::BIGINT AS binding FROM b GROUP BY 1""")
-def p17(spark, d):
-    price, filled = F.col("o_totalprice"), F.col("o_orderstatus") == "F"
-    signed = F.when(F.col("o_orderkey") % 3 == 0, -price).otherwise(price)
-    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("o_orderpriority").alias("grp")).agg(F.sum(F.when(filled, price).otherwise(0.0)).alias("present"), F.sum(F.when(~filled, signed).otherwise(0.0)).alias("added"))
-    out = research.safe_scale(g.withColumn("cap", F.lit(200000.0)), "portfolio_id", "present", "added", "cap")
-    return out.select("portfolio_id", r6(F.col("scale"), "scale"), "binding")
-
-
 _PROJECTED = """WITH b AS (SELECT l_suppkey AS account, l_partkey AS instrument, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END AS held, CASE WHEN l_linestatus <> 'F' THEN CASE WHEN l_orderkey % 2 = 0 THEN l_quantity ELSE -l_quantity END ELSE 0 END AS ordered FROM lineitem),
     t AS (SELECT account, instrument, sum(held) AS held, sum(ordered) AS ordered FROM b GROUP BY 1, 2), q AS (SELECT t.*, held + ordered AS projected, p_retailprice AS price FROM t LEFT JOIN (SELECT * FROM part WHERE p_partkey % 17 <> 4) p ON p_partkey = instrument)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity
-from tidemark.operators import asof, execution, text
+from tidemark.operators import asof, execution, resolution, text
 from tidemark.plans.registry import query
 from tidemark.sources import views
 from tidemark.sources.views import table, with_views
@@ -51,14 +51,14 @@ def a5(spark, d):
 @query("a10_resolve_symbol", with_views("validity") + """ SELECT o.o_orderkey AS request_id, v.mapping_id FROM orders o LEFT JOIN validity v ON v.symbol = o.o_custkey AND v.valid_from <= o.o_orderdate AND (v.valid_until IS NULL OR o.o_orderdate < v.valid_until)""")
 def a10(spark, d):
     req = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("symbol"), F.col("o_orderdate").alias("at"))
-    return asof.interval_join(req, views.validity(spark, d), "symbol", "at", "valid_from", "valid_until", ["mapping_id"]).select("request_id", "mapping_id")
+    return resolution.resolve_at(req, views.validity(spark, d), "request_id", "symbol", "at", "valid_from", "valid_until", "mapping_id").select("request_id", "mapping_id")
 
 
 @query("a11_resolve_identifier", with_views("validity") + """, j AS (SELECT o.o_orderkey AS request_id, count(v.mapping_id) AS n, min(v.mapping_id) AS mapping_id FROM orders o LEFT JOIN validity v ON v.symbol = o.o_custkey AND v.valid_from <= o.o_orderdate - INTERVAL 200 DAY
     AND (v.valid_until IS NULL OR o.o_orderdate - INTERVAL 200 DAY < v.valid_until) GROUP BY 1) SELECT request_id, CASE n WHEN 1 THEN 'RESOLVED' WHEN 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CASE WHEN n = 1 THEN mapping_id END AS mapping_id FROM j""")
 def a11(spark, d):
     req = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("symbol"), (F.col("o_orderdate") - F.expr("INTERVAL 200 DAY")).alias("at"))
-    return asof.resolve(req, views.validity(spark, d), "request_id", "symbol", "at", "valid_from", "valid_until", "mapping_id")
+    return resolution.resolve_at(req, views.validity(spark, d), "request_id", "symbol", "at", "valid_from", "valid_until", "mapping_id")
 
 
 @query("a15_latest_quote", with_views("quotes", "decisions") + """ SELECT decision_id, quote_id, last FROM (SELECT d.decision_id, q.quote_id, q.last, row_number() OVER (PARTITION BY d.decision_id ORDER BY q.observed_at DESC, q.quote_id DESC) AS rn
@@ -98,18 +98,6 @@ def q16(spark, d):
 # identity and sources
 
 
-@query("c1_row_hash", "SELECT o_orderkey, sha256(length(o_orderkey::VARCHAR)::VARCHAR || ':' || o_orderkey::VARCHAR || '|' || length(o_orderstatus)::VARCHAR || ':' || o_orderstatus) AS hash FROM orders")
-def c1(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", identity.row_hash("o_orderkey", "o_orderstatus").alias("hash"))
-
-
-@query("c2_set_digest", """WITH h AS (SELECT l_returnflag, sha256(length(l_orderkey::VARCHAR)::VARCHAR || ':' || l_orderkey::VARCHAR || '|' || length(l_linenumber::VARCHAR)::VARCHAR || ':' || l_linenumber::VARCHAR) AS h FROM lineitem),
-    b AS (SELECT l_returnflag, substr(h, 1, 2) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS dg, count(*) AS n FROM h GROUP BY 1, 2) SELECT l_returnflag, sum(n)::BIGINT AS rows, sha256(string_agg(dg, ',' ORDER BY b)) AS digest FROM b GROUP BY 1""")
-def c2(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("h", identity.row_hash("l_orderkey", "l_linenumber"))
-    return identity.set_digest(rows, ["l_returnflag"], "h")
-
-
 @query("c3_replay_conflicts", "SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey) AS contents FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_partkey) > 1")
 def c3(spark, d):
     rows = table(spark, d, "lineitem").withColumn("id", F.struct("l_orderkey", "l_linenumber"))
@@ -136,23 +124,6 @@ def s8(spark, d):
     return fresh.select(rows.columns).withColumn("outcome", F.lit("INSERT")).unionByName(conflicts.select(rows.columns).withColumn("outcome", F.lit("CONFLICT")))
 
 
-@query("s12_compare_tables", "SELECT 'orders' AS table_name, count(*) AS rows, sum((o_orderkey % 97 = 0)::INT)::BIGINT AS differing FROM orders")
-def s12(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    other = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    both = o.withColumn("s", F.lit(1)).unionByName(other.withColumn("s", F.lit(-1))).groupBy("o_orderkey", "o_totalprice").agg(F.sum("s").alias("s"))
-    counts = both.agg(F.sum(F.when(F.col("s") > 0, F.col("s")).otherwise(0)).cast("long").alias("differing"))
-    return counts.crossJoin(o.agg(F.count(F.lit(1)).alias("rows"))).select(F.lit("orders").alias("table_name"), "rows", "differing")  # one row each
-
-
-@query("s13_inspect_source", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("orders", "customer", "events", "documents")))
-def s13(spark, d):
-    parts = [table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t in ("orders", "customer", "events", "documents")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
 
 # text
 
@@ -186,23 +157,6 @@ def t9(spark, d):
     return _posts(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("author").alias("authors"))
 
 
-@query("t10_narrative_windows", _SOCIAL + """w AS (SELECT topic, time_bucket(INTERVAL '1 day', published_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS volume, count(DISTINCT author) AS authors, sum(sentiment)::DOUBLE / count(*) AS s, sum((sentiment * sentiment)::DECIMAL(24, 12))::DOUBLE / count(*) AS q FROM p GROUP BY 1, 2)
-    SELECT topic, window_start, volume, authors, round(s, 6) AS sentiment, round(sqrt(greatest(0, q - s * s)), 6) AS disagreement, round(volume / lag(volume) OVER (PARTITION BY topic ORDER BY window_start) - 1, 6) AS acceleration FROM w""")
-def t10(spark, d):
-    w = text.narrative_windows(_posts(spark, d), "1 day")
-    return w.select("topic", "window_start", "volume", "authors", r6(F.col("sentiment"), "sentiment"), r6(F.col("disagreement"), "disagreement"), r6(F.col("acceleration"), "acceleration"))
-
-
-@query("t13_lexical_retrieval", """WITH c AS (SELECT item_id AS chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
-    qq AS (SELECT conv_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM conversations WHERE turn = 0), q AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM qq),
-    s AS (SELECT query_id, chunk_id, n, count(*) AS matched FROM q JOIN c USING (term) GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS rank FROM s)
-    SELECT query_id, chunk_id, rank::INT AS rank, round(matched / n, 6) AS score FROM k WHERE rank <= 3""")
-def t13(spark, d):
-    chunks = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
-    asked = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
-    return text.retrieve(asked, chunks, 3).select("query_id", "chunk_id", "rank", r6(F.col("score"), "score"))
-
-
 # operations
 
 

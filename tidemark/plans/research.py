@@ -87,30 +87,12 @@ def v8(spark, d):
     return long.groupBy(*KEYS, F.col("bars").cast("int").alias("bars")).agg(F.count_if(F.col("s") != F.col("signal")).alias("changed"))
 
 
-@query("v10_trade_order_permutations")
-def v10(spark, d):
-    """Terminal equity is the same for every permutation; drawdown is not."""
-    each = _run(spark, d).select(*KEYS, "day", "net", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("simulation"))
-    w = Window.partitionBy(*KEYS, "simulation").orderBy(F.xxhash64(F.lit(11), "simulation", "day"), "day").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.withColumn("e", F.exp(F.sum(F.log1p("net")).over(w)))
-    run = run.withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(w)))
-    return run.groupBy(*KEYS, "simulation").agg(r6(F.sum(F.log1p("net")), "log_terminal"), r6(F.max("dd"), "max_drawdown"))
-
-
 @query("v12_stress", with_views("bars") + """, l AS (SELECT instrument_id, arg_max(close, day) AS close, count(*) AS n FROM bars GROUP BY 1) SELECT instrument_id, shock, round(close * (1 + shock), 6) AS stressed_close FROM l CROSS JOIN (VALUES (-0.3::DOUBLE), (-0.1::DOUBLE), (0.1::DOUBLE)) AS x(shock)""")
 def v12(spark, d):
     last = views.bars(spark, d).groupBy("instrument_id").agg(F.max_by("close", "day").alias("close"))
     return last.withColumn("shock", F.explode(F.array(*map(F.lit, (-0.3, -0.1, 0.1))))).select("instrument_id", "shock", r6(F.col("close") * (1 + F.col("shock")), "stressed_close"))
 
 
-@query("v17_evidence_completeness", """WITH req AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS kind), have AS (SELECT DISTINCT o_custkey, o_orderpriority AS kind FROM orders), u AS (SELECT DISTINCT o_custkey FROM orders)
-    SELECT u.o_custkey, count(*) AS missing, string_agg(req.kind, ',' ORDER BY req.kind) AS kinds FROM u CROSS JOIN req LEFT JOIN have h ON h.o_custkey = u.o_custkey AND h.kind = req.kind WHERE h.kind IS NULL GROUP BY 1""")
-def v17(spark, d):
-    required = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
-    have = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("have"))  # a set of at most five kinds
-    missing = F.array_sort(F.array_except(required, F.col("have")))
-    return have.select("o_custkey", F.size(missing).cast("long").alias("missing"), F.array_join(missing, ",").alias("kinds")).where("missing > 0")
-
 
 # regimes and fundamentals
 
@@ -162,24 +144,6 @@ def p8(spark, d):
     return backtest.equity_curve(run, ("instrument_id",)).groupBy("instrument_id").agg(r6(F.max("drawdown"), "drawdown"))
 
 
-@query("p13_portfolio_volatility", with_views("returns") + """, c AS (SELECT a.instrument_id AS i, b.instrument_id AS j, covar_pop(a.r, b.r) AS cov FROM returns a JOIN returns b USING (day) GROUP BY 1, 2), n AS (SELECT count(DISTINCT instrument_id) AS n FROM returns)
-    SELECT round(sqrt(sum(cov) / max(n * n)), 8) AS volatility FROM c, n""")
-def p13(spark, d):
-    r = views.returns(spark, d)
-    pairs = portfolio.covariance_pairs(r, "instrument_id", "day", "r")
-    total = pairs.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(2 * F.col("cov"))).alias("s"), F.count_if(F.col("i") == F.col("j")).alias("n"))
-    return total.select(F.round(F.sqrt(F.col("s")) / F.col("n"), 8).alias("volatility"))
-
-
-@query("p19_component_risk", with_views("returns") + """, c AS (SELECT a.instrument_id AS i, b.instrument_id AS j, covar_pop(a.r, b.r) AS cov FROM returns a JOIN returns b USING (day) GROUP BY 1, 2), m AS (SELECT i, sum(cov) AS s FROM c GROUP BY 1) SELECT i AS instrument_id, round(s / sum(s) OVER (), 6) AS share FROM m""")
-def p19(spark, d):
-    pairs = portfolio.covariance_pairs(views.returns(spark, d), "instrument_id", "day", "r")
-    both = pairs.select("i", "cov").unionByName(pairs.where("i <> j").select(F.col("j").alias("i"), "cov"))
-    m = both.groupBy("i").agg(F.sum("cov").alias("s"))
-    total = m.agg(F.sum("s").alias("t"))
-    return m.crossJoin(total).select(F.col("i").alias("instrument_id"), r6(F.col("s") / F.col("t"), "share"))  # total is one row
-
-
 @query("p25_kill_switches", """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1) SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM l WHERE last = 'purchase' AND (user_id = c_custkey OR user_id = c_nationkey + 100))""")
 def p25(spark, d):
     last = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).where("last = 'purchase'")

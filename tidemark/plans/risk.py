@@ -67,7 +67,10 @@ def p12(spark, d):
     return portfolio.stressed_covariance(pairs, 0.3).select("i", "j", F.round("stressed", 8).alias("stressed"))
 
 
-@query("p24_reservation")
+@query("p24_reservation", """WITH RECURSIVE o AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderkey, o_totalprice::DOUBLE AS amount, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
+    f AS (SELECT o_custkey, month, o_orderkey, amount, rn, amount <= 200000 AS accepted, CASE WHEN amount <= 200000 THEN amount ELSE 0 END AS total FROM o WHERE rn = 1
+    UNION ALL SELECT o.o_custkey, o.month, o.o_orderkey, o.amount, o.rn, f.total + o.amount <= 200000, CASE WHEN f.total + o.amount <= 200000 THEN f.total + o.amount ELSE f.total END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.month = f.month AND o.rn = f.rn + 1)
+    SELECT o_custkey, month, o_orderkey, amount, accepted FROM f""")
 def p24(spark, d):
     o = table(spark, d, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
     out = portfolio.reserve(o, ["o_custkey", "month"], ["o_orderdate", "o_orderkey"], "o_totalprice", 200_000.0)
@@ -146,12 +149,18 @@ def e2(spark, d):
     return q.select("order_id", r6(F.col("fill_ratio"), "fill_ratio"), r6(F.col("slippage"), "slippage"), F.round("shortfall", 4).alias("shortfall"), "breach")
 
 
-@query("e5_positions")
+@query("e5_positions", """WITH RECURSIVE x AS (SELECT l_suppkey AS account_id, l_partkey AS instrument_id, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END::DOUBLE AS x, (100 + l_extendedprice % 20)::DOUBLE AS p,
+    row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_returnflag) AS rn FROM lineitem),
+    f AS (SELECT account_id, instrument_id, rn, x AS q, CASE WHEN x = 0 THEN 0 ELSE p END AS c, -x * p AS cash FROM x WHERE rn = 1
+    UNION ALL SELECT f.account_id, f.instrument_id, x.rn, f.q + x.x, CASE WHEN f.q + x.x = 0 THEN 0 WHEN f.q * x.x >= 0 THEN (f.c * f.q + x.p * x.x) / (f.q + x.x) WHEN f.q * (f.q + x.x) > 0 THEN f.c ELSE x.p END, f.cash - x.x * x.p
+        FROM f JOIN x ON x.account_id = f.account_id AND x.instrument_id = f.instrument_id AND x.rn = f.rn + 1)
+    SELECT account_id, instrument_id, round(arg_max(q, rn), 6) AS quantity, round(arg_max(c, rn), 6) AS average_cost, round(arg_max(cash, rn), 6) AS cash FROM f GROUP BY 1, 2""")
 def e5(spark, d):
     li = table(spark, d, "lineitem")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    fills = li.select(F.col("l_suppkey").alias("account_id"), F.col("l_partkey").alias("instrument_id"), F.col("l_shipdate").alias("occurred_at"), F.struct("l_orderkey", "l_linenumber").alias("fill_id"), signed.alias("signed"), (F.lit(100) + F.col("l_extendedprice") % 20).alias("price"))
-    p = execution.positions(fills)
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"]
+    fills = li.select(F.col("l_suppkey").alias("account_id"), F.col("l_partkey").alias("instrument_id"), *order, signed.alias("signed"), (F.lit(100) + F.col("l_extendedprice") % 20).alias("price"))
+    p = execution.positions(fills, ["account_id", "instrument_id"], order)
     return p.select("account_id", "instrument_id", r6(F.col("quantity"), "quantity"), r6(F.col("average_cost"), "average_cost"), r6(F.col("cash"), "cash"))
 
 
