@@ -63,9 +63,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
-    """Lower-case letter or digit for each of the first 65,536 code points; a space for the rest of them."""
-    out = np.full(1 << 16, 32, np.uint32)
-    for i in range(1 << 16):
+    """Lower-case letter or digit for each code point; a space for the rest of them."""
+    out = np.full(0x110000, 32, np.uint32)
+    for i in range(len(out)):
         low = chr(i).lower()
         if len(low) == 1 and low.isalnum():
             out[i] = ord(low)
@@ -74,8 +74,7 @@ def _fold() -> np.ndarray:
 
 def normal_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the normalised text, and the place in the text of each."""
-    raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(raw < 1 << 16, _fold()[np.minimum(raw, (1 << 16) - 1)], raw)
+    codes = _fold()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = codes == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first of a run of blanks stays
