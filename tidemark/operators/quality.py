@@ -56,9 +56,13 @@ def regressions(df: DataFrame, key: str, time: str, arrival: list[str]) -> DataF
     return df.withColumn("previous", F.lag(time).over(w)).where(F.col(time) < F.col("previous"))
 
 
-def stale(df: DataFrame, key: str, day: str, expected_end, stale_days: int) -> DataFrame:
-    last = df.groupBy(key).agg(F.max(day).alias("latest"))
-    return last.withColumn("stale_days", F.datediff(expected_end, "latest")).where(F.col("stale_days") > stale_days)
+def stale(df: DataFrame, keys: list[str], day: str, expected_end, stale_days: int) -> DataFrame:
+    """``keys, latest, stale_days`` of keys whose last day lies more than ``stale_days`` before the expected end; without one, before the table's last day."""
+    last = df.groupBy(*keys).agg(F.max(day).alias("latest"))
+    if expected_end is None:
+        last = last.crossJoin(last.agg(F.max("latest").alias("_end")))  # one row
+        expected_end = F.col("_end")
+    return last.withColumn("stale_days", F.datediff(expected_end, "latest")).where(F.col("stale_days") > stale_days).select(*keys, "latest", "stale_days")
 
 
 def provider_disagreement(df: DataFrame, key: str, day: str, value: str, tolerance: float) -> DataFrame:

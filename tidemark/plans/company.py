@@ -309,13 +309,6 @@ def a13(spark, d):
     return views.validity(spark, d).join(x, "symbol", "left").select("mapping_id", until.alias("valid_until"))
 
 
-@query("a31_trading_session", "SELECT o_orderkey, isodow(o_orderdate) < 6 AND NOT (month(o_orderdate) = 12 AND day(o_orderdate) = 25) AND NOT (month(o_orderdate) = 1 AND day(o_orderdate) = 1) AS open FROM orders")
-def a31(spark, d):
-    t = F.col("o_orderdate")
-    holiday = ((F.month(t) == 12) & (F.dayofmonth(t) == 25)) | ((F.month(t) == 1) & (F.dayofmonth(t) == 1))
-    return table(spark, d, "orders").select("o_orderkey", ((F.weekday(t) < 5) & ~holiday).alias("open"))
-
-
 @query("f17_macro_surprise", with_views("revisions") + " SELECT instrument_id, period, round(arg_max(value, revision) - arg_min(value, revision), 6) AS surprise FROM revisions GROUP BY 1, 2")
 def f17(spark, d):
     r = views.revisions(spark, d)

@@ -71,9 +71,10 @@ def q7(spark, d):
     return views.bars(spark, d).withColumn("volume", v - 60).where(F.isnan(v.cast("double")) | (v < 0)).select("instrument_id", "day", "volume")
 
 
-@query("q10_stale_observations", with_views("bars") + " SELECT instrument_id, max(day) AS latest, (DATE '1998-12-31' - max(day))::INT AS stale_days FROM bars GROUP BY 1 HAVING DATE '1998-12-31' - max(day) > 10")
+@query("q10_stale_observations", with_views("provider_bars") + ", e AS (SELECT max(day) AS d FROM provider_bars) SELECT instrument_id, provider, max(day) AS latest, (max(d) - max(day))::INT AS stale_days FROM provider_bars, e GROUP BY 1, 2 HAVING max(d) - max(day) > 2")
 def q10(spark, d):
-    return quality.stale(views.bars(spark, d), "instrument_id", "day", F.lit("1998-12-31").cast("date"), 10)
+    """Instruments of a provider that have nothing in the last days of the data."""
+    return quality.stale(views.provider_bars(spark, d), ["instrument_id", "provider"], "day", None, 2)
 
 
 @query("q11_provider_disagreement", with_views("provider_bars") + """ SELECT instrument_id, day, count(DISTINCT provider) AS providers, min(close) AS lowest, max(close) AS highest FROM provider_bars
@@ -321,8 +322,3 @@ def s7(spark, d):
     b = views.provider_bars(spark, d).withColumn("y", F.year("day")).withColumn("k", rank)
     first = b.withColumn("best", F.min("k").over(Window.partitionBy("instrument_id", "y"))).where("k = best")
     return first.groupBy("instrument_id", "y", "provider").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("s14_nav_to_returns", with_views("returns") + " SELECT instrument_id, day, round(r, 6) AS r FROM returns")
-def s14(spark, d):
-    return views.returns(spark, d).select("instrument_id", "day", r6(F.col("r"), "r"))
