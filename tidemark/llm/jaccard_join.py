@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import identified, identity, staged
+from tidemark.llm.common import bit_table, identified, identity, staged
 
 #: Words in a shingle.
 WORDS = 5
@@ -48,10 +48,6 @@ SIMILAR = 80
 SHARE, SMALL = 0.3, 64
 #: Rounds in which each list compares one pivot with its other components.
 PIVOT_ROUNDS = 3
-#: Surviving classes up to which their list (24 bytes each) is broadcast to the texts. Beyond, both
-#: sides are shuffled, and Spark's runtime Bloom filter thins the texts out before that.
-BROADCAST_CLASSES = 500_000
-
 _LOW = np.uint64(int(SHARE * 2**64))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,9 +151,14 @@ def _full_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     under the ascending and the descending order.
     """
     wanted = survivors.where("n > 0")
-    if survivors.count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    found = _rows(docs).join(wanted, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
+    table = bit_table(wanted.select(F.col("h").alias("hash")), wanted.count())
+
+    @F.pandas_udf("boolean")
+    def may_survive(h: pd.Series) -> pd.Series:
+        return pd.Series(table.value.has(h.to_numpy(np.int64).view(np.uint64)))
+
+    # the table, whose size is bounded, leaves few texts beside those of survivors to be shuffled
+    found = _rows(docs).where(may_survive("h")).join(wanted, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
     return found.select("sig", "n", "s.*").dropDuplicates(["sig"])  # a row may be repeated as it is
 
 
