@@ -57,7 +57,7 @@ def p17(spark, d):
     return out.select("portfolio_id", "feasible", F.round("scale", 6).alias("scale"), F.array_join("binding", ",").alias("binding"))
 
 
-_POLICY = {"maximum_sleeve": 0.3, "minimum_liquidity": 0.15, "maximum_drawdown": 0.95, "minimum_decay": 0.1, "uncertainty": 0.2, "target_volatility": 0.02, "maximum_gross": 0.6, "maximum_net": 0.4, "stress_shock": -0.1, "maximum_stress": 0.05}
+_POLICY = {"maximum_sleeve": 0.3, "minimum_liquidity": 0.15, "maximum_drawdown": 0.95, "minimum_decay": 0.1, "uncertainty": 0.2, "target_volatility": 0.02, "maximum_gross": 0.605, "maximum_net": 0.405, "stress_shock": -0.1, "maximum_stress": 0.05}
 
 
 def _run20(spark, d):
@@ -70,7 +70,7 @@ def _run20(spark, d):
         F.lit("REVIEW_REQUIRED").alias("scorecard_status"), F.when(n % 23 == 0, "BROKEN").otherwise("VERIFIED").alias("validation_integrity"), F.lit("REVIEW_REQUIRED").alias("regime_status"), F.when(n % 2 == 0, 0.5).otherwise(1.0).alias("delta_multiplier"), ((n % 5) * 0.01).alias("pending"), ((n % 3) * -0.01).alias("fx"),
     )
     s = staged(s, "sleeves")
-    loads = s.select("portfolio", "sleeve", F.concat(F.lit("group:"), F.col("n") % 2).alias("limit_name"), F.lit(1.0).alias("load"), F.lit(0.15).alias("cap"))
+    loads = s.select("portfolio", "sleeve", F.concat(F.lit("group:"), F.col("n") % 2).alias("limit_name"), F.lit(1.0).alias("load"), F.lit(0.155).alias("cap"))
     health = s.select("portfolio").distinct().select("portfolio", F.when(F.col("portfolio") == "5", "BLOCKED").otherwise("HEALTHY").alias("health"))
     return construction.construct(s, r.select("portfolio", F.col("instrument_id").alias("sleeve"), F.col("day").alias("time"), "r"), loads, health, _POLICY)
 
@@ -91,15 +91,15 @@ vol AS (SELECT p, sqrt(greatest(0, sum(wi * wj * moved))) AS stressed FROM st GR
 s AS (SELECT b.*, stressed, marginal, CASE WHEN stressed > 0 THEN least(1, 0.02 / stressed) ELSE 1 END AS vs FROM b JOIN vol ON vol.p = b.p JOIN mg ON mg.p = b.p AND mg.k = b.k),
 ab AS (SELECT *, base * vs * CASE WHEN n % 2 = 0 THEN 0.5 ELSE 1 END AS a, (n % 5) * 0.01::DOUBLE + (n % 3) * -0.01::DOUBLE AS h FROM s),
 pt AS (SELECT DISTINCT p, q FROM (SELECT p, 0.0::DOUBLE AS q FROM ab UNION ALL SELECT p, 1.0 FROM ab UNION ALL SELECT p, -h / a FROM ab WHERE a <> 0 AND -h / a > 0 AND -h / a < 1)), v AS (SELECT pt.p, q, sum(abs(q * a + h)) AS v FROM pt JOIN ab ON ab.p = pt.p GROUP BY 1, 2),
-nx AS (SELECT *, lead(q) OVER w AS q2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY p ORDER BY q)), gr AS (SELECT p, 'gross' AS name, coalesce(min(CASE WHEN v <= 0.6 AND v2 > 0.6 THEN q + (0.6 - v) / (v2 - v) * (q2 - q) END), 1) AS bound, max(CASE WHEN q = 0 THEN v END) <= 0.6 AS ok FROM nx GROUP BY 1),
-ln AS (SELECT p, 'net' AS name, sum(a) AS a, sum(h) AS h, 0.4 AS cap FROM ab GROUP BY 1 UNION ALL SELECT p, 'group:' || (n % 2), sum(a), sum(h), 0.15 FROM ab GROUP BY p, n % 2),
+nx AS (SELECT *, lead(q) OVER w AS q2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY p ORDER BY q)), gr AS (SELECT p, 'gross' AS name, coalesce(min(CASE WHEN v <= 0.605 AND v2 > 0.605 THEN q + (0.605 - v) / (v2 - v) * (q2 - q) END), 1) AS bound, max(CASE WHEN q = 0 THEN v END) <= 0.605 AS ok FROM nx GROUP BY 1),
+ln AS (SELECT p, 'net' AS name, sum(a) AS a, sum(h) AS h, 0.405 AS cap FROM ab GROUP BY 1 UNION ALL SELECT p, 'group:' || (n % 2), sum(a), sum(h), 0.155 FROM ab GROUP BY p, n % 2),
 e AS (SELECT p, name, bound, ok FROM gr UNION ALL SELECT p, name, CASE WHEN abs(a + h) <= cap THEN 1 WHEN a > 0 THEN (cap - h) / a ELSE (cap + h) / -a END, abs(h) <= cap FROM ln),
 sf AS (SELECT p, bool_and(ok) AS feasible, CASE WHEN bool_and(ok) THEN greatest(0, least(1, min(bound))) ELSE 0 END AS scale, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok OR bound < 1), '') AS binding FROM e GROUP BY 1),
 f AS (SELECT ab.*, feasible, scale, binding, base * vs * scale AS target, a * scale + h AS effective FROM ab JOIN sf ON sf.p = ab.p),
-lim AS (SELECT p, string_agg('independent_risk_gate:limit:group:' || y, ',' ORDER BY y) AS broken FROM (SELECT p, n % 2 AS y, abs(sum(effective)) AS held FROM f GROUP BY 1, 2) WHERE held > 0.15 + 1e-9 GROUP BY 1),
+lim AS (SELECT p, string_agg('independent_risk_gate:limit:group:' || y, ',' ORDER BY y) AS broken FROM (SELECT p, n % 2 AS y, abs(sum(effective)) AS held FROM f GROUP BY 1, 2) WHERE held > 0.155 + 1e-9 GROUP BY 1),
 o AS (SELECT f.p, sum(abs(effective)) AS gross, sum(effective) AS net, max(abs(effective)) AS largest, max(stressed * vs * scale) AS vol, max(vs) AS vs, max(scale) AS scale, bool_and(feasible) AS feasible, max(binding) AS binding FROM f GROUP BY 1),
-run AS (SELECT o.*, concat_ws(',', CASE WHEN no_data THEN 'portfolio_data_health_blocked' END, nullif(unfit, ''), CASE WHEN NOT feasible THEN 'pending_or_fx_hidden_leverage_exceeds_policy' END, CASE WHEN gross > 0.6 + 1e-9 OR abs(net) > 0.4 + 1e-9 OR broken IS NOT NULL THEN 'aggregate_constraints_not_satisfied' END,
-    CASE WHEN gross > 0.6 + 1e-9 THEN 'independent_risk_gate:gross_exposure_limit' END, CASE WHEN abs(net) > 0.4 + 1e-9 THEN 'independent_risk_gate:net_exposure_limit' END, CASE WHEN largest > 0.3 + 1e-9 THEN 'independent_risk_gate:single_weight_limit' END, CASE WHEN net * 0.1 > 0.05 + 1e-9 THEN 'independent_risk_gate:stress_loss_limit' END, broken) AS reasons FROM o JOIN g ON g.p = o.p LEFT JOIN lim ON lim.p = o.p)"""
+run AS (SELECT o.*, concat_ws(',', CASE WHEN no_data THEN 'portfolio_data_health_blocked' END, nullif(unfit, ''), CASE WHEN NOT feasible THEN 'pending_or_fx_hidden_leverage_exceeds_policy' END, CASE WHEN gross > 0.605 + 1e-9 OR abs(net) > 0.405 + 1e-9 OR broken IS NOT NULL THEN 'aggregate_constraints_not_satisfied' END,
+    CASE WHEN gross > 0.605 + 1e-9 THEN 'independent_risk_gate:gross_exposure_limit' END, CASE WHEN abs(net) > 0.405 + 1e-9 THEN 'independent_risk_gate:net_exposure_limit' END, CASE WHEN largest > 0.3 + 1e-9 THEN 'independent_risk_gate:single_weight_limit' END, CASE WHEN net * 0.1 > 0.05 + 1e-9 THEN 'independent_risk_gate:stress_loss_limit' END, broken) AS reasons FROM o JOIN g ON g.p = o.p LEFT JOIN lim ON lim.p = o.p)"""
 
 
 @query("p20_construction_run", _SQL20 + " SELECT p AS portfolio, CASE WHEN reasons = '' THEN 'REVIEW_REQUIRED' ELSE 'BLOCKED' END AS status, reasons, round(gross, 6) AS gross, round(net, 6) AS net, round(1 - net, 6) AS cash, round(vol, 6) AS stressed_volatility, round(vs, 6) AS vol_scale, round(scale, 6) AS aggregate_scale, binding FROM run")

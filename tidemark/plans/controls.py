@@ -194,15 +194,6 @@ def _card(spark, d):
     return a.join(longest, _KEYS)
 
 
-_B7 = {"annualized": "CASE WHEN n >= 252 THEN exp(g * 252 / n) - 1 END", "calmar": "CASE WHEN n >= 252 AND mdd > 0 THEN (exp(g * 252 / n) - 1) / mdd END", "sortino": "CASE WHEN dd > 0 THEN mean / dd * sqrt(252) END", "downside_deviation": "dd",
-       "win_loss_ratio": "CASE WHEN losses > 0 THEN CAST(wins AS DOUBLE) / losses END", "payoff_ratio": "win / abs(loss)", "average_trade": "mean", "median_trade": "med"}
-
-
-@query("b7_scorecard_metrics", RUN_SQL + _CARD + " SELECT strategy, instrument_id, longest AS max_drawdown_duration, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _B7.items()) + " FROM a JOIN l USING (strategy, instrument_id)")
-def b7(spark, d):
-    return _card(spark, d).select(*_KEYS, F.col("longest").alias("max_drawdown_duration"), *(r6(F.expr(e), k) for k, e in _B7.items()))
-
-
 @query("b10_activity_metrics", RUN_SQL + _CARD + " SELECT strategy, instrument_id, round(exposure, 6) AS exposure, 'UNAVAILABLE' AS holding_period, 'UNAVAILABLE' AS fill_rate FROM a")
 def b10(spark, d):
     gone = F.lit("UNAVAILABLE")
@@ -214,15 +205,6 @@ def b11(spark, d):
     return _card(spark, d).select(*_KEYS, r6(F.lit(2) * 2 + F.col("turnover") * 10 + F.lit(100.0) / F.col("n"), "penalty"))
 
 
-_B12 = {"out_of_sample_return": "least(100, greatest(0, (exp(least(g, 700)) - 1) * 500))", "drawdown": "greatest(0, 100 - mdd * 500)", "data_quality": "CAST(NULL AS DOUBLE)", "complexity": "CAST(90 AS DOUBLE)", "sample_size": "least(100, n / 2.0)", "turnover_penalty": "greatest(0, 100 - turnover * 10)"}
-_B12_MEAN = "(" + " + ".join(f"coalesce({e}, 0)" for e in _B12.values()) + ") / (" + " + ".join(f"CASE WHEN {e} IS NULL THEN 0 ELSE 1 END" for e in _B12.values()) + ")"
-
-
-@query("b12_scorecard", RUN_SQL + _CARD + " SELECT strategy, instrument_id, " + ", ".join(f"round(({e})::DOUBLE, 6) AS {k}" for k, e in _B12.items()) + f", round(({_B12_MEAN})::DOUBLE, 6) AS score FROM a")
-def b12(spark, d):
-    return _card(spark, d).select(*_KEYS, *(r6(F.expr(e).cast("double"), k) for k, e in _B12.items()), r6(F.expr(_B12_MEAN).cast("double"), "score"))
-
-
 # regimes
 
 _REG = with_views("bars") + f""", m AS (SELECT instrument_id, day, close / lag(close, 4) OVER {W}) - 1 AS m, lead(close) OVER {W}) / close - 1 AS nxt FROM bars), s AS (SELECT *, least(0.4::DOUBLE, abs(m) * 10) AS s FROM m WHERE m IS NOT NULL),

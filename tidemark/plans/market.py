@@ -232,12 +232,6 @@ def b5(spark, d):
     return report.select("strategy", "instrument_id", *(c if c in exact else r6(F.col(c), c) for c in report.columns[2:]))
 
 
-@query("b8_longest_losing_streak", RUN_SQL + """, i AS (SELECT strategy, instrument_id, net < 0 AS c, row_number() OVER """ + S + """) - row_number() OVER (PARTITION BY strategy, instrument_id, net < 0 ORDER BY day) AS g FROM run)
-    SELECT strategy, instrument_id, max(n) AS streak FROM (SELECT strategy, instrument_id, g, count(*) AS n FROM i WHERE c GROUP BY 1, 2, 3) GROUP BY 1, 2""")
-def b8(spark, d):
-    return backtest.longest_streak(_run(spark, d), F.col("net") < 0, "streak")
-
-
 @query("b9_tail_risk", RUN_SQL + """, k AS (SELECT strategy, instrument_id, net, row_number() OVER (PARTITION BY strategy, instrument_id ORDER BY net, day) AS rn, (count(*) OVER (PARTITION BY strategy, instrument_id) * 0.05::DOUBLE) AS kk FROM run)
     SELECT strategy, instrument_id, floor(max(kk))::INT AS k, round(max(CASE WHEN rn = floor(kk) THEN net END), 6) AS value_at_risk, round(avg(CASE WHEN rn <= floor(kk) THEN net END), 6) AS conditional_var,
     CASE WHEN floor(max(kk)) < 1 THEN 'UNAVAILABLE' ELSE 'MEASURED' END AS state FROM k GROUP BY 1, 2""")

@@ -79,20 +79,6 @@ def v7(spark, d):
     return s.select(*KEYS, "multiplier", r6(F.col("t"), "log_growth"), r6(F.col("t") - base, "versus_base"))
 
 
-@query("v8_latency_sensitivity", SIGNALS_SQL + ", l AS (" + " UNION ALL ".join(f"SELECT strategy, instrument_id, {b} AS bars, coalesce(lag(signal, {b}) OVER (PARTITION BY strategy, instrument_id ORDER BY day), 0) AS s, signal FROM sig" for b in (1, 2, 5)) + ") SELECT strategy, instrument_id, bars, sum((s <> signal)::INT)::BIGINT AS changed FROM l GROUP BY 1, 2, 3")
-def v8(spark, d):
-    w = backtest.series()
-    wide = signals.baseline_signals(views.bars(spark, d)).select(*KEYS, "signal", *(F.coalesce(F.lag("signal", b).over(w), F.lit(0)).alias(str(b)) for b in (1, 2, 5)))
-    long = wide.unpivot([*KEYS, "signal"], ["1", "2", "5"], "bars", "s")
-    return long.groupBy(*KEYS, F.col("bars").cast("int").alias("bars")).agg(F.count_if(F.col("s") != F.col("signal")).alias("changed"))
-
-
-@query("v12_stress", with_views("bars") + """, l AS (SELECT instrument_id, arg_max(close, day) AS close, count(*) AS n FROM bars GROUP BY 1) SELECT instrument_id, shock, round(close * (1 + shock), 6) AS stressed_close FROM l CROSS JOIN (VALUES (-0.3::DOUBLE), (-0.1::DOUBLE), (0.1::DOUBLE)) AS x(shock)""")
-def v12(spark, d):
-    last = views.bars(spark, d).groupBy("instrument_id").agg(F.max_by("close", "day").alias("close"))
-    return last.withColumn("shock", F.explode(F.array(*map(F.lit, (-0.3, -0.1, 0.1))))).select("instrument_id", "shock", r6(F.col("close") * (1 + F.col("shock")), "stressed_close"))
-
-
 
 # regimes and fundamentals
 
