@@ -29,12 +29,11 @@ FIT_ROWS = 8000
 BUCKETS = 1 << 18
 #: Letters of a word's stem features.
 STEMS = (4, 5)
-#: Features that the fit uses, unless told otherwise: those whose share of documents differs most
-#: between grades, with at least this z statistic and one share at least this many times the other.
-#: The z statistic grows with the square root of the sample, so a sample of under some hundred rows
-#: may pass no word; its model then judges by shapes alone. Give a lower bar for such samples.
-FEATURES = 2000
-LEAST_Z = 6.0
+#: Features that the fit uses, unless told otherwise: all whose share of documents differs between
+#: grades with at least this z statistic and one share at least this many times the other. The z
+#: statistic is that of a test on some 100,000 buckets, so it does not shrink with the sample; from a
+#: few hundred rows on, enough words pass.
+LEAST_Z = 4.0
 LEAST_LIFT = 8.0
 #: Tail probability from which a document is kept.
 KEEP_TAIL = 0.5
@@ -96,7 +95,7 @@ def features_of(text: str | None) -> tuple[list[int], list[float]]:
     return sorted(found), shape_of(text, words, len(kinds))
 
 
-def telling(counts: np.ndarray, totals: np.ndarray, features: int = FEATURES, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> np.ndarray:
+def telling(counts: np.ndarray, totals: np.ndarray, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> np.ndarray:
     """Buckets, in order, whose share of documents differs between those below and above some grade.
 
     ``counts[b, g]`` is the number of documents of grade g that have bucket b.
@@ -109,8 +108,7 @@ def telling(counts: np.ndarray, totals: np.ndarray, features: int = FEATURES, le
         z = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / above + 1 / below))
         lift = np.maximum((p + 0.5 / above) / (q + 0.5 / below), (q + 0.5 / below) / (p + 0.5 / above))
         best = np.maximum(best, np.where(lift >= least_lift, z, 0))
-    order = np.argsort(-best, kind="stable")[:features]
-    return np.sort(order[best[order] >= least_z])
+    return np.flatnonzero(best >= least_z)
 
 
 def likelihood(params: tuple, row: np.ndarray, col: np.ndarray, shapes: np.ndarray, grades: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
@@ -169,11 +167,13 @@ def grade_of(quality, toxic):
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> OrdinalModel:
-    """Fit on at most ``fit_rows`` labelled documents and ``features`` telling buckets.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> OrdinalModel:
+    """Fit on at most ``fit_rows`` labelled documents and their telling buckets.
 
-    Repeated labels of one id count once, at the lowest grade; rows with a null id or label, and
-    labels without a document, are left out. An empty sample gives a model that keeps everything.
+    Repeated labels of one id count once, at the lowest grade; of an id that has several texts the one
+    with the least hash counts, so reruns agree and no text but one an id is featurised. Rows with a
+    null id or label, and labels without a document, are left out. An empty sample gives a model that
+    keeps everything.
     """
     sample = (
         labels.select(F.col("doc_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -190,15 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "buckets": [np.array(b, np.int32) for b, _ in got], "shape": [s for _, s in got]})
 
     # the sample has at most fit_rows ids, so it is small by construction
-    found = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featurise, "doc_id long, grade int, buckets array<int>, shape array<double>"), "features")
-    found = found.dropDuplicates(["doc_id"])
+    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = staged(rated.mapInPandas(featurise, "doc_id long, grade int, buckets array<int>, shape array<double>"), "features")
     by_grade = [F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]
     totals = np.array(found.agg(*by_grade).first(), np.int64)
     # at most BUCKETS rows of counts come to the driver
     table = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*by_grade).where(" + ".join(f"g{g}" for g in range(GRADES)) + " >= 3").toPandas()
     counts = np.zeros((BUCKETS, GRADES), np.int64)
     counts[table["bucket"].to_numpy(np.int64)] = table[[f"g{g}" for g in range(GRADES)]].to_numpy(np.int64)
-    used = telling(counts, totals, features, least_z, least_lift)
+    used = telling(counts, totals, least_z, least_lift)
 
     def restrict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
