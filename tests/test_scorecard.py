@@ -45,3 +45,10 @@ def test_latency_and_stress(spark):
     assert got["fall"].log_return == pytest.approx(math.log((1.1 - 0.02) * (1 - 0.02) * (60 / 99 - 0.02))) and not got["fall"].passed
     with pytest.raises(ValueError):
         scorecard.stress_runs(signals, [("cheap", 0.0, 0.5)], 0.0)
+
+
+def test_activity(spark):
+    rows = [("a", "i", t, p, 0) for t, p in enumerate([1, 1, 0, 1, 1, 1, 0])] + [("none", "i", t, 0, 0) for t in range(3)]
+    m = {r.strategy: r for r in scorecard.activity_metrics(spark.createDataFrame(rows, "strategy string, instrument_id string, day int, position int, turnover int")).collect()}
+    assert (m["a"].average_holding_period, m["a"].exposure, m["a"].average_holding_period_state) == (2.5, pytest.approx(5 / 7), "MEASURED")
+    assert (m["none"].average_holding_period, m["none"].average_holding_period_state, m["none"].exposure) == (None, "UNAVAILABLE", 0.0)

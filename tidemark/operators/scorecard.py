@@ -50,6 +50,21 @@ def held_out_metrics(run: DataFrame, confidence: float = 0.05, keys=KEYS) -> Dat
     }).drop("_sd", "_wins", "_losses", "_gain", "_loss", "_upper")
 
 
+def activity_metrics(run: DataFrame, keys=KEYS) -> DataFrame:
+    """``keys, turnover, exposure, average_holding_period`` and the ``state`` of each: what has no measure is UNAVAILABLE, never 0.
+
+    A holding period is a stretch of periods with a position; a series that never holds has none.
+    """
+    w = Window.partitionBy(*keys).orderBy("day")
+    held = F.col("position") != 0
+    entry = held & ~F.coalesce(F.lag("position").over(w) != 0, F.lit(False))
+    by = run.withColumns({"_held": held.cast("int"), "_entry": entry.cast("int")}).groupBy(*keys).agg(
+        F.sum("turnover").alias("turnover"), F.avg(F.abs("position")).alias("exposure"), (F.sum("_held") / F.nullif(F.sum("_entry"), F.lit(0))).alias("average_holding_period")
+    )
+    measured = lambda c: F.when(F.col(c).isNull(), "UNAVAILABLE").otherwise("MEASURED").alias(f"{c}_state")
+    return by.select(*keys, "turnover", "exposure", "average_holding_period", *map(measured, ("turnover", "exposure", "average_holding_period")))
+
+
 #: Components of a score, each from 0 to 100, in order.
 COMPONENTS = ("out_of_sample_return", "out_of_sample_sharpe", "drawdown", "statistical_confidence", "cost_robustness", "data_quality", "complexity_penalty", "sample_size_penalty", "turnover_penalty")
 

@@ -194,12 +194,6 @@ def _card(spark, d):
     return a.join(longest, _KEYS)
 
 
-@query("b10_activity_metrics", RUN_SQL + _CARD + " SELECT strategy, instrument_id, round(exposure, 6) AS exposure, 'UNAVAILABLE' AS holding_period, 'UNAVAILABLE' AS fill_rate FROM a")
-def b10(spark, d):
-    gone = F.lit("UNAVAILABLE")
-    return _card(spark, d).select(*_KEYS, r6(F.col("exposure"), "exposure"), gone.alias("holding_period"), gone.alias("fill_rate"))
-
-
 @query("b11_complexity_penalty", RUN_SQL + _CARD + " SELECT strategy, instrument_id, round(2 * 2 + turnover * 10 + 100.0::DOUBLE / n, 6) AS penalty FROM a")
 def b11(spark, d):
     return _card(spark, d).select(*_KEYS, r6(F.lit(2) * 2 + F.col("turnover") * 10 + F.lit(100.0) / F.col("n"), "penalty"))

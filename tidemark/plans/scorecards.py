@@ -41,12 +41,20 @@ def b7(spark, d):
     return m.select(*_K, "periods", "max_drawdown_duration", *(r6(F.col(c), c) for c in _B7))
 
 
-@query("b8_held_out_metrics", _METRICS + f" SELECT strategy, instrument_id, max_drawdown_duration, longest_wins, longest_losses, turnover, {_rounded(_B8)} FROM ms")
+@query("b8_held_out_metrics", _METRICS + f" SELECT strategy, instrument_id, max_drawdown_duration, longest_wins, longest_losses, turnover::BIGINT AS turnover, {_rounded(_B8)} FROM ms")
 def b8(spark, d):
     m = scorecard.held_out_metrics(_run(spark, d))
     return m.select(*_K, "max_drawdown_duration", "longest_wins", "longest_losses", "turnover", *(r6(F.col(c), c) for c in _B8))
 
 
+@query("b10_activity_metrics", RUN_SQL + f""", h AS (SELECT strategy, instrument_id, day, row_number() OVER {S}) - row_number() OVER (PARTITION BY strategy, instrument_id, position ORDER BY day) AS g, position FROM run), i AS (SELECT strategy, instrument_id, g, count(*) AS n FROM h WHERE position = 1 GROUP BY 1, 2, 3),
+p0 AS (SELECT strategy, instrument_id, avg(n) AS held FROM i GROUP BY 1, 2), t0 AS (SELECT strategy, instrument_id, sum(turnover)::BIGINT AS turnover, avg(position) AS exposure FROM run GROUP BY 1, 2)
+SELECT strategy, instrument_id, turnover, round(exposure, 6) AS exposure, round(held, 6) AS average_holding_period, CASE WHEN held IS NULL THEN 'UNAVAILABLE' ELSE 'MEASURED' END AS average_holding_period_state FROM t0 LEFT JOIN p0 USING (strategy, instrument_id)""")
+def b10(spark, d):
+    m = scorecard.activity_metrics(_run(spark, d))
+    return m.select(*_K, "turnover", r6(F.col("exposure"), "exposure"), r6(F.col("average_holding_period"), "average_holding_period"), "average_holding_period_state")
+
+
 _PARAMETERS = {"moving_average_cross": 2, "breakout": 1, "mean_reversion": 2, "momentum": 1}
 # the standard normal distribution by the same polynomial, for |x| and mirrored
 _PHI = "exp(-x * x / 2) / 2.5066282746310002 * (t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))))"
