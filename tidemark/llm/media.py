@@ -444,7 +444,11 @@ def describe(data: bytes) -> tuple[int, str, int, str, int, int, bytes]:
 
 def read_media(media: DataFrame) -> DataFrame:
     """Digests of the payload read back from ``media``, with the file's own, the RGB features and the
-    full-resolution RGB tensor (``height, width, rgb``: row-major bytes)."""
+    full-resolution RGB tensor (``height, width, rgb``: row-major bytes).
+
+    Files must not be null and must hold a payload, as ``to_media`` gives them; ``rgb_tensors`` takes
+    null files and ones without a payload. Repeated rows are repeated, an empty table gives an empty one.
+    """
 
     @F.pandas_udf(_READ)
     def read(files: pd.Series) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import attached, staged
 
 #: Rules as host, path prefix, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -24,8 +24,6 @@ FIT_ROWS = 4000
 ROUNDS, DEPTH = 12, 4
 #: Folds of the labelled URLs; a row's shares of blocked ones leave its own fold out.
 FOLDS = 5
-#: A suffix with less than this part of all rows counts as one without any, so at most so many have a share.
-SHARES = 2000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "parameters", "query_length", "has_fragment", "is_secure", "suffix_share", "suffix_block", "section_block")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,10 +83,10 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_shares(features: DataFrame) -> DataFrame:
-    """``suffix, suffix_share``: each suffix's part of all rows, where it is at least 1 / ``SHARES``; so at most ``SHARES`` rows."""
+    """``suffix, suffix_share``: each suffix's part of all rows, one added to either count; one row for each suffix."""
     counts = staged(features.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows")), "suffix-counts")
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    return counts.where(F.col("rows") * SHARES >= total).select("suffix", (F.col("rows") / F.lit(max(1, total))).alias("suffix_share"))
+    return counts.select("suffix", ((F.col("rows") + 1) / F.lit(total + 1)).alias("suffix_share"))
 
 
 def _fold() -> Column:
@@ -105,9 +103,10 @@ def with_statistics(rows: DataFrame, shares: DataFrame, counts: dict[str, DataFr
     """``rows`` with ``suffix_share`` and the smoothed share of blocked URLs by suffix and by section.
 
     ``own``: the rows are the labelled ones themselves, and what their fold adds is taken off. The
-    tables have at most ``SHARES`` and twice ``FIT_ROWS`` rows by construction, so they are broadcast.
+    tables of counts have at most twice ``FIT_ROWS`` rows by construction, so they are broadcast; that
+    of shares is when it is small.
     """
-    out = rows.join(F.broadcast(shares), "suffix", "left").fillna({"suffix_share": 0.0})
+    out = attached(rows, shares, ["suffix"])
     for key, table in counts.items():
         whole = table.where("fold = -1").select(key, F.col("n").alias(f"{key}_n"), F.col("blocked").alias(f"{key}_b"))
         out = out.join(F.broadcast(whole), key, "left")
