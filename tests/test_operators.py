@@ -1,6 +1,7 @@
 """Golden values worked out by hand, prefix invariance, readers."""
 
 import json
+import math
 import tempfile
 
 import pytest
@@ -22,6 +23,12 @@ def test_signal_is_held_in_the_next_period(spark):
     assert report.total_return == pytest.approx(0.1) and report.turnover == 2 and report.periods == 2
 
 
+def test_log_growth_of_a_series_that_lost_nearly_all(spark):
+    run = backtest.vector_backtest(series(spark, [2.0**-k for k in range(61)], [1] * 61), rate=0.0, spread=0.0)
+    report = backtest.performance_report(backtest.equity_curve(run)).first()
+    assert report.log_growth == pytest.approx(60 * math.log(0.5), rel=1e-12)
+
+
 def test_costs_reduce_returns(spark):
     bars = series(spark, [100, 110, 90, 121], [1, 0, 1, 0])
     total = lambda r: backtest.performance_report(backtest.equity_curve(backtest.vector_backtest(bars, rate=r))).first().total_return

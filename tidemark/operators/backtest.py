@@ -39,11 +39,15 @@ def sharpe(net: str = "net") -> Column:
 
 
 def performance_report(curve: DataFrame, keys=KEYS) -> DataFrame:
-    """One row a series: periods, returns, volatility, Sharpe, drawdown, hit rate, profit factor, turnover."""
+    """One row a series: periods, log growth and returns, volatility, Sharpe, drawdown, hit rate, profit factor, turnover.
+
+    ``log_growth`` keeps its digits where a series has lost nearly all and ``total_return`` is next to -1.
+    """
     gain, loss = F.sum(F.greatest("net", F.lit(0.0))), -F.sum(F.least("net", F.lit(0.0)))
-    growth = F.exp(F.sum(F.log1p("net")))
+    logs = F.sum(F.log1p("net"))
+    growth = F.exp(logs)
     return curve.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("periods"), (growth - 1).alias("total_return"), (F.pow(growth, PERIODS / F.count(F.lit(1))) - 1).alias("annualised_return"),
+        F.count(F.lit(1)).alias("periods"), logs.alias("log_growth"), (growth - 1).alias("total_return"), (F.pow(growth, PERIODS / F.count(F.lit(1))) - 1).alias("annualised_return"),
         (F.stddev_pop("net") * F.sqrt(F.lit(PERIODS))).alias("volatility"), sharpe().alias("sharpe"), F.max("drawdown").alias("max_drawdown"),
         F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.when(loss > 0, gain / loss).alias("profit_factor"), F.sum("turnover").alias("turnover"),
     )
