@@ -169,6 +169,22 @@ def test_adjusted_parity(spark):
     assert adj["2024-01-06"] == 54.5 and adj["2024-01-02"] == pytest.approx(54.5 / (54.5 / 52 * 53 / 53 * (52 + 1.0) / 53 * 53 / 51.5 * (2 * 51.5 + 2 * 0.5) / 102))
 
 
+def test_placed_actions_in_one_pass(spark):
+    rng = random.Random(3)
+    days = sorted(rng.sample(range(300), 40))
+    acts = [(k, rng.randrange(300), rng.random()) for k in range(200)]
+    bars = spark.createDataFrame([("a", d) for d in days], "k string, day int").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), "day"))
+    rows = spark.createDataFrame(acts, "n int, d int, amount double").select(F.lit("a").alias("k"), F.lit("CASH_DIVIDEND").alias("action_type"), F.date_add(F.lit("2024-01-01").cast("date"), "d").cast("timestamp").alias("effective_at"), F.lit("p").alias("provider"), F.col("n").cast("string").alias("source_identifier"), F.lit(0).alias("revision"), F.lit(None).cast("double").alias("ratio"), "amount")
+    placed = adjusted.placed_actions(rows, bars, ["k"])
+    want = {}
+    for _, d, amount in acts:
+        if at := [b for b in days if b >= d]:
+            want[at[0]] = want.get(at[0], 0.0) + amount
+    assert {r.n: r.cash for r in placed.select(F.datediff("day", F.lit("2024-01-01")).alias("n"), "cash").collect()} == pytest.approx(want)
+    # a frame that ends with its partition is read anew for each row: the square of a run's actions
+    assert "unboundedfollowing" not in placed._jdf.queryExecution().toString().lower()
+
+
 def test_safe_scale_like_bisection(spark):
     rng = random.Random(11)
     sleeves = [(p, k, rng.choice([0.0, 1.0, -1.0]) * rng.random(), rng.choice([0.0, 0.3, -0.4]) * rng.random()) for p in range(40) for k in range(rng.choice([1, 5, 12]))]

@@ -24,8 +24,9 @@ def placed_actions(actions: DataFrame, bars: DataFrame, key: list[str]) -> DataF
             F.when(F.col("action_type") == "SPLIT", F.col("ratio").cast("double")).otherwise(1.0).alias("ratio"), F.when(F.col("action_type") == "CASH_DIVIDEND", F.col("amount").cast("double")).otherwise(0.0).alias("amount"),
         )
     )
-    ahead = Window.partitionBy(*key).orderBy("day", "side", "o").rowsBetween(0, Window.unboundedFollowing)
-    at = stacked.withColumn("bar", F.first(F.when(F.col("side") == 1, F.col("day")), ignorenulls=True).over(ahead)).where("side = 0 AND bar IS NOT NULL")
+    # from the latest on: a frame that ends with the partition would be read anew for every row
+    later = Window.partitionBy(*key).orderBy(F.desc("day"), F.desc("side"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
+    at = stacked.withColumn("bar", F.last(F.when(F.col("side") == 1, F.col("day")), ignorenulls=True).over(later)).where("side = 0 AND bar IS NOT NULL")
     earlier = Window.partitionBy(*key, "bar").orderBy("day", "o").rowsBetween(Window.unboundedPreceding, -1)
     paid = at.withColumn("paid", F.col("amount") * F.coalesce(F.product("ratio").over(earlier), F.lit(1.0)))
     return paid.groupBy(*key, F.col("bar").alias("day")).agg(F.product("ratio").alias("split"), F.sum("paid").alias("cash"))
