@@ -4,10 +4,13 @@ import datetime as dt
 import hashlib
 import json
 import os
+import tempfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.functions import identity
 from tidemark.operators import narratives, promotion
 from tidemark.sources import ingest
@@ -95,6 +98,16 @@ def test_evidence_gaps(spark):
     assert got[2].missing == list(promotion.REQUIRED)
 
 
+def test_narrative_figures_half_way_are_rounded_as_in_sql(spark):
+    folder = tempfile.mkdtemp(dir="/tmp")
+    events = duckdb.connect()
+    events.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.01/events.parquet' WHERE event_type IN ('click', 'signup')) TO '{folder}/events.parquet'")
+    events.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    df = entry.queries()["t10_narrative_windows"](spark, folder).orderBy("topic", "window_start")
+    want = events.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['t10_narrative_windows']}) ORDER BY topic, window_start").fetchall()
+    assert [tuple(r) for r in df.collect()] == want  # to the last digit
+
+
 def test_narratives_of_few_posts(spark):
     post = lambda topic, day, author, s, **x: {"topic": topic, "author": author, "published_at": dt.datetime(2024, 1, day, 5), "sentiment": s, "bot": 0.9, "emotion": None, "spam": 0.9, "coordination": 0.9, "influence": 0.0, "discussion_class": "AUTOMATED_SPAM", "language": "en", "geography": None, "flagged": False} | x
     schema = "topic string, author int, published_at timestamp, sentiment double, bot double, emotion double, spam double, coordination double, influence double, discussion_class string, language string, geography string, flagged boolean"

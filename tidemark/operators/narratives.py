@@ -10,7 +10,7 @@ CLASSES = ("NEWS_DISCUSSION", "ANALYSIS", "OPINION", "QUESTION", "PROMOTIONAL_AC
 PROMOTING = ("PROMOTIONAL_ACTIVITY", "AUTOMATED_SPAM")
 #: Reasons that block a window.
 BLOCKING = ("DATA_HEALTH_BLOCKED", "INSUFFICIENT_OBSERVATIONS", "PUMP_AND_DUMP_RISK_HIGH")
-#: Levels of spam, coordination and pump risk that count as high.
+#: Levels of spam, coordination and pump risk, to 12 digits, that count as high.
 HIGH = 0.6
 LEAST_POSTS = 3
 
@@ -19,6 +19,10 @@ def _one(x):
     return F.least(F.lit(1.0), x)
 
 
+def _high(c):
+    return F.round(c, 12) >= HIGH
+
+
 def distribution(posts: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """``keys, <name>``: value:count of a column, values in order, nulls left out. One entry a value, counted before it is gathered."""
     by = posts.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
@@ -61,8 +65,8 @@ def narrative_metrics(posts: DataFrame, size: str, health: DataFrame, prices: Da
         "persistence": F.col("baseline").cast("double"), "emerging": ~F.col("baseline") & (F.col("mention_volume") >= least),
     })
     named = {
-        "COORDINATED_PROMOTION_LIKELY": F.col("coordination") >= HIGH, "DATA_HEALTH_BLOCKED": F.coalesce(F.col("health") != "HEALTHY", F.lit(True)), "INSUFFICIENT_OBSERVATIONS": F.col("mention_volume") < least,
-        "NO_PRIOR_BASELINE": ~F.col("baseline"), "PUMP_AND_DUMP_RISK_HIGH": F.col("pump_risk") >= HIGH, "SPAM_CONCENTRATION_HIGH": F.col("spam") >= HIGH, "UNTRUSTED_CONTENT_SANITIZED": F.col("flagged"),
+        "COORDINATED_PROMOTION_LIKELY": _high("coordination"), "DATA_HEALTH_BLOCKED": F.coalesce(F.col("health") != "HEALTHY", F.lit(True)), "INSUFFICIENT_OBSERVATIONS": F.col("mention_volume") < least,
+        "NO_PRIOR_BASELINE": ~F.col("baseline"), "PUMP_AND_DUMP_RISK_HIGH": _high("pump_risk"), "SPAM_CONCENTRATION_HIGH": _high("spam"), "UNTRUSTED_CONTENT_SANITIZED": F.col("flagged"),
     }
     reasons = F.array_compact(F.array(*(F.when(c, n) for n, c in named.items())))
     rows = rows.withColumn("reasons", reasons).withColumn("status", F.when(F.arrays_overlap("reasons", F.array(*map(F.lit, BLOCKING))), "BLOCKED").otherwise("REVIEW_REQUIRED"))
