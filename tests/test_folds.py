@@ -240,3 +240,22 @@ def test_covariances_by_blocks(spark):
         both = there[:, i] & there[:, j]
         cov, n = got[f"s{i:03d}", f"s{j:03d}"]
         assert n == both.sum() and cov == pytest.approx(np.cov(x[both, i], x[both, j], bias=True)[0, 1])
+
+
+def test_observations_without_an_instrument_stay_spread(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
+        spark.conf.set(k, v)
+    try:
+        at = F.lit("2024-01-01").cast("timestamp_ntz")
+        raw = spark.range(400).select(F.col("id").alias("raw_id"), F.lit("SPLIT").alias("kind"), F.lit("user").alias("namespace"), F.col("id").cast("string").alias("identifier"), F.lit("V").alias("exchange"), at.alias("event_at"), at.alias("ingested_at"), F.create_map(F.lit("ratio"), F.lit("2")).alias("payload"))
+        mappings = raw.where("raw_id < 3").select("namespace", "identifier", F.col("raw_id").alias("instrument_id"), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), at.alias("ingested_at"))
+        delistings = mappings.select("instrument_id", at.alias("effective_at"), at.alias("ingested_at")).limit(0)
+        instruments = spark.createDataFrame([(0, "EQUITY", "V", "M"), (1, "BOND", "V", "M")], "instrument_id long, asset_class string, venue string, mic string")
+        out = resolution.normalize_observations(raw, mappings, delistings, instruments)
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 400 and max(parts) < 200
+        assert [(r.raw_id, r.status) for r in out.where("raw_id < 4").orderBy("raw_id").collect()] == [(0, "VALIDATED"), (1, "OUT_OF_SCOPE"), (2, "OUT_OF_SCOPE"), (3, "UNRESOLVED")]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import ordered_fold, running_sums
+from tidemark.sources.staging import staged
 
 END, START, DELISTED, REQUEST = 0, 1, 2, 3
 
@@ -165,8 +166,12 @@ def normalize_observations(raw: DataFrame, mappings: DataFrame, delistings: Data
     are VALIDATED, or REJECTED with their issues, the exchange's before those of the payload.
     """
     asked = raw.select(F.col("raw_id").alias("request_id"), "namespace", "identifier", F.col("event_at").alias("effective_at"), F.col("ingested_at").alias("known_at"))
-    resolved = resolve_point_in_time(asked, mappings, delistings).withColumnRenamed("status", "resolution")
-    rows = normalize_payload(raw).join(resolved.withColumnRenamed("request_id", "raw_id"), "raw_id").join(instruments, "instrument_id", "left")
+    resolved = resolve_point_in_time(asked, mappings, delistings).withColumnsRenamed({"status": "resolution", "request_id": "raw_id"})
+    # read once, and narrow: what has no instrument would meet in one task by its null key
+    resolved = staged(resolved, "resolved")
+    about = resolved.where("instrument_id IS NOT NULL").join(instruments, "instrument_id", "left")
+    about = about.unionByName(resolved.where("instrument_id IS NULL"), allowMissingColumns=True)
+    rows = normalize_payload(raw).join(about, "raw_id")
     away = F.when(~F.coalesce((F.col("exchange") == F.col("venue")) | (F.col("exchange") == F.col("mic")), F.lit(False)), "exchange_instrument_mismatch")
     issues = F.array_compact(F.concat(F.array(away), "payload_issues"))
     scope = F.coalesce(F.col("asset_class").isin("EQUITY", "ETF"), F.lit(False))
