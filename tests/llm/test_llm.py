@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +372,14 @@ def brute_spans(text):
     return sorted(out)
 
 
+def test_sets_leave_a_worker_in_slices():
+    texts = [f"a b c d e f g {k}" for k in range(300)] + [None, ""]
+    kinds = pa.schema([("n", pa.int64()), ("sig", pa.int64()), ("low", pa.list_(pa.int64()))])
+    out = list(jaccard_join._sliced(kinds, kinds.names, jaccard_join._profile)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert max(b.num_rows for b in out) <= jaccard_join.SLICE and sum(b.num_rows for b in out) == 302
+    assert [x for b in out for x in b.column("n").to_pylist()] == [4] * 300 + [0, 0]
+
+
 def test_personal_data(spark, sf_dir):
     for docs in (documents(spark, sf_dir), odd_documents(spark)):
         rows = docs.select("doc_id", "text").collect()

@@ -30,12 +30,15 @@ the key's partition.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import bit_table, identified, identity, staged
 
@@ -86,27 +89,42 @@ def _signature(tokens: np.ndarray) -> int:
         return int(_mix(np.array([folded]))[0].astype(np.int64))
 
 
+#: Texts whose sets a Python worker holds together; their batch has many more.
+SLICE = 128
 _PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))])
 _SETS = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("lead", T.ArrayType(T.ShortType())), T.StructField("trail", T.ArrayType(T.ShortType()))])
 
 
-@F.pandas_udf(_PROFILE)
-def _profile(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in texts]
+def _sliced(kinds: pa.Schema, made: list[str], columns: Callable[[list[np.ndarray]], list]):
+    """Arrow batches with the columns ``made`` of their texts' sets in place of ``text``, ``SLICE`` rows a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+                kept = [part.column(n).cast(kinds.field(n).type) for n in part.schema.names if n != "text"]
+                new = [pa.array(c, kinds.field(n).type) for n, c in zip(made, columns(sets), strict=True)]
+                yield pa.RecordBatch.from_arrays(kept + new, schema=kinds)
+
+    return run
+
+
+def _with_sets(df: DataFrame, made: T.StructType, columns: Callable[[list[np.ndarray]], list]) -> DataFrame:
+    """``df`` with what ``columns`` makes of its texts' sets in place of ``text``, which comes last."""
+    schema = T.StructType([f for f in df.schema.fields if f.name != "text"] + made.fields)
+    return df.mapInArrow(_sliced(to_arrow_schema(schema), made.names, columns), schema)
+
+
+def _profile(sets: list[np.ndarray]) -> list:
     low = [s if len(s) <= SMALL * 5 // 4 else s[: np.searchsorted(s, _LOW)] for s in sets]
-    return pd.DataFrame({"n": [len(s) for s in sets], "sig": [_signature(s) for s in sets], "low": [x.astype(np.int64) for x in low]})
+    return [[len(s) for s in sets], [_signature(s) for s in sets], [x.astype(np.int64) for x in low]]
 
 
-@F.pandas_udf(_SETS)
-def _whole_set(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in texts]
+def _whole_set(sets: list[np.ndarray]) -> list:
     short = [(s & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16) for s in sets]  # equal for equal tokens
     size = [prefix_length(len(s)) for s in sets]
-    return pd.DataFrame({
-        "tokens": [s.astype(np.int64) for s in sets],
-        "lead": [np.unique(c[:p]) for c, p in zip(short, size, strict=True)],
-        "trail": [np.unique(c[-p:]) for c, p in zip(short, size, strict=True)],
-    })
+    return [[s.astype(np.int64) for s in sets], [np.unique(c[:p]) for c, p in zip(short, size, strict=True)], [np.unique(c[-p:]) for c, p in zip(short, size, strict=True)]]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -117,7 +135,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def profiles(docs: DataFrame) -> DataFrame:
     """``doc_id, h, g, n, sig, low`` of every row: the set's size and 64-bit name, and the shingles
     that the first filter compares."""
-    return _rows(docs).select("doc_id", "h", "g", _profile("text").alias("p")).select("doc_id", "h", "g", "p.*")
+    return _with_sets(_rows(docs).select("doc_id", "h", "g", "text"), _PROFILE, _profile)
 
 
 def _classes(profile: DataFrame) -> DataFrame:
@@ -158,8 +176,8 @@ def _full_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
         return pd.Series(table.value.has(h.to_numpy(np.int64).view(np.uint64)))
 
     # the table, whose size is bounded, leaves few texts beside those of survivors to be shuffled
-    found = _rows(docs).where(may_survive("h")).join(wanted, ["h", "g"]).select("sig", "n", _whole_set("text").alias("s"))
-    return found.select("sig", "n", "s.*").dropDuplicates(["sig"])  # a row may be repeated as it is
+    found = _rows(docs).where(may_survive("h")).join(wanted, ["h", "g"]).select("sig", "n", "text")
+    return _with_sets(found, _SETS, _whole_set).dropDuplicates(["sig"])  # a row may be repeated as it is
 
 
 def prefix_length(n):
