@@ -24,15 +24,48 @@ def quality(rolled: DataFrame, limit: float) -> DataFrame:
     return out.withColumn("shortfall", F.col("slippage") * F.col("filled") * F.col("decision_price")).withColumn("breach", F.coalesce(F.col("slippage") > limit, F.lit(False)))
 
 
-def positions(fills: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+#: Hash bins of keys, and fills in a bin up to which its keys are folded as arrays; keys of fuller ones go by ranges.
+BINS, BIN_FILLS = 1 << 16, 50_000
+
+
+def positions(fills: DataFrame, keys: list[str], order: list[str], ranges: int | None = None, bin_fills: int = BIN_FILLS) -> DataFrame:
     """``keys, quantity, average_cost, cash`` from ordered fills (signed, price).
 
     Adding to a position averages the cost; reducing keeps it; crossing zero takes the fill's price,
-    and a flat position has cost 0. The quantity before a range of fills is a running sum, and what a
-    range does to the cost is ``a * cost + b``, so ranges of a hot key are folded side by side and
-    then chained, one row for each. Fills without a price or quantity are left out.
+    and a flat position has cost 0. Fills without a price or quantity are left out. Fills are counted
+    by hash bins of their keys. In bins of up to ``bin_fills`` no key has more fills than that, so
+    each key's are folded as one array; keys of fuller bins are folded by ranges. Both do the same.
     """
     flat = fills.select(*keys, *order, F.col("signed").cast("double").alias("_q"), F.col("price").cast("double").alias("_p")).where("_q IS NOT NULL AND _p IS NOT NULL")
+    flat = flat.withColumn("_bin", F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int"))
+    full = [r["_bin"] for r in flat.groupBy("_bin").count().where(F.col("count") > bin_fills).select("_bin").collect()]  # at most BINS numbers
+    if not full:
+        return _folded(flat.drop("_bin"), keys, order)
+    bins = F.broadcast(flat.sparkSession.createDataFrame([(b,) for b in full], "_bin int"))
+    few, many = (flat.join(bins, "_bin", how).drop("_bin") for how in ("left_anti", "left_semi"))
+    return _folded(few, keys, order).unionByName(_by_ranges(many, keys, order, ranges))
+
+
+def _folded(flat: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Positions of keys that each have a bounded number of fills."""
+    fills = F.array_sort(F.collect_list(F.struct(*order, "_q", "_p")))
+
+    def fill(s, f):
+        q, c, x, p = s["quantity"] + f["_q"], s["average_cost"], f["_q"], f["_p"]
+        cost = F.when(q == 0, 0.0).when(s["quantity"] * x >= 0, (c * s["quantity"] + p * x) / q).when(s["quantity"] * q > 0, c).otherwise(p)
+        return F.struct(q.alias("quantity"), cost.alias("average_cost"), (s["cash"] - x * p).alias("cash"))
+
+    flat_book = F.struct(*(F.lit(0.0).alias(n) for n in ("quantity", "average_cost", "cash")))
+    return flat.groupBy(*keys).agg(fills.alias("_f")).select(*keys, F.aggregate("_f", flat_book, fill).alias("_s")).select(*keys, "_s.*")
+
+
+def _by_ranges(flat: DataFrame, keys: list[str], order: list[str], ranges: int | None) -> DataFrame:
+    """Positions of keys with any number of fills.
+
+    The quantity before a range of fills is a running sum, and what a range does to the cost is
+    ``a * cost + b``, so ranges of a hot key are folded side by side and then chained, one row for
+    each.
+    """
     dealt = carried(in_ranges(flat, keys, order, ranges), keys, ["_q"])
 
     def fill(s: dict, row: dict):
