@@ -2,7 +2,9 @@
 
 import random
 
-from tidemark.operators import execution
+from pyspark.sql import functions as F
+
+from tidemark.operators import execution, quality
 
 
 def plan(df):
@@ -29,3 +31,20 @@ def test_positions_of_small_keys_stay_in_the_engine_and_full_bins_go_by_ranges(s
         got = {r.a: (r.quantity, r.average_cost, r.cash) for r in out.collect()}
         assert got.keys() == want.keys()
         assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_arrival_order_of_one_key_lies_in_ranges(spark):
+    rng = random.Random(7)
+    rows = [(k, n, rng.randint(0, 30), 1.0) for k, n in [("x", n) for n in range(50)] + [(None, n) for n in range(20)] + [("y", 3)]]
+    df = spark.createDataFrame(rows, "k string, n int, t int, p double").withColumns({c: F.col("p") for c in ("open", "high", "low", "close", "volume")})
+    want, back = {}, set()
+    for k, n, t, _ in rows:
+        before = [r for r in rows if r[0] == k and r[1] < n]
+        late = bool(before) and t <= max(before, key=lambda r: r[1])[2]
+        want[k, n] = ["duplicate_bar"] * any(r[2] == t for r in before) + ["time_regression"] * late
+        if before and t < max(before, key=lambda r: r[1])[2]:
+            back.add((k, n, max(before, key=lambda r: r[1])[2]))
+    for ranges in (1, 7):
+        out = quality.assess_bars(df, "k", "t", ["n"], ranges)
+        assert {(r.k, r.n): r.flags for r in out.collect()} == want
+        assert {(r.k, r.n, r.previous) for r in quality.regressions(df, "k", "t", ["n"], ranges).collect()} == back

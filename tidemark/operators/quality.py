@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import with_previous
+
 
 def flag_array(*flags: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags)))
@@ -14,11 +16,10 @@ def bad_ohlc() -> Column:
     return (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
 
 
-def assess_bars(bars: DataFrame, key: str, time: str, arrival: list[str]) -> DataFrame:
-    """Flags and score of each bar in arrival order: ``flags, quality_score, status``."""
-    by_arrival = Window.partitionBy(key).orderBy(*arrival)
+def assess_bars(bars: DataFrame, key: str, time: str, arrival: list[str], ranges: int | None = None) -> DataFrame:
+    """Flags and score of each bar in arrival order: ``flags, quality_score, status``; a key's bars lie in several ranges."""
     same = Window.partitionBy(key, time).orderBy(*arrival)
-    flagged = bars.withColumn("__n", F.row_number().over(same)).withColumn("__before", F.lag(time).over(by_arrival))
+    flagged = with_previous(bars, [key], arrival, time, "__before", ranges).withColumn("__n", F.row_number().over(same))
     flags = flag_array(
         ("duplicate_bar", F.col("__n") > 1),
         ("time_regression", F.col(time) <= F.col("__before")),
@@ -50,10 +51,9 @@ def unique_report(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def regressions(df: DataFrame, key: str, time: str, arrival: list[str]) -> DataFrame:
+def regressions(df: DataFrame, key: str, time: str, arrival: list[str], ranges: int | None = None) -> DataFrame:
     """Rows whose time is before that of the row that arrived before."""
-    w = Window.partitionBy(key).orderBy(*arrival)
-    return df.withColumn("previous", F.lag(time).over(w)).where(F.col(time) < F.col("previous"))
+    return with_previous(df, [key], arrival, time, "previous", ranges).where(F.col(time) < F.col("previous"))
 
 
 def stale(df: DataFrame, keys: list[str], day: str, expected_end, stale_days: int) -> DataFrame:

@@ -50,6 +50,22 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return out.drop("piece", *(f"_s_{n}" for n in sums), *(f"before__s_{n}" for n in sums))
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the value that ``column`` has in the row before, by key in order; null in a key's first row."""
+    dealt = in_ranges(df, keys, order, ranges)
+    # a range's last row of a key: found among those with the greatest value of the first order column
+    top = F.broadcast(dealt.groupBy("piece", *keys).agg(F.max(order[0]).alias("_top")).select(F.col("piece").alias("_piece"), *(F.col(k).alias(f"_{k}") for k in keys), "_top"))
+    on = [F.col("piece") == F.col("_piece"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)]
+    last = dealt.join(top, [*on, F.col(order[0]).eqNullSafe(F.col("_top"))]).groupBy("piece", *keys).agg(F.max_by(F.struct(column), F.struct(*order)).alias("_end"))
+    ahead = Window.partitionBy(*keys).orderBy("piece")
+    ends = last.select(F.col("piece").alias("_piece"), *(F.col(k).alias(f"_{k}") for k in keys), F.lag("_end").over(ahead)[column].alias("_before"))
+    ends = staged(ends.where("_before IS NOT NULL"), "ends")
+    within = Window.partitionBy("piece", *keys).orderBy(*order)
+    numbered = dealt.withColumns({"_n": F.row_number().over(within), name: F.lag(column).over(within)})
+    out = numbered.join(F.broadcast(ends), on, "left").withColumn(name, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col(name)))
+    return out.drop("piece", "_n", "_before", "_piece", *(f"_{k}" for k in keys))
+
+
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], Iterator[tuple]], schema: str, finish: Callable[[tuple, object], Iterator[tuple]] | None = None) -> DataFrame:
     """Each key's rows in order through ``step(state, row)``, which yields rows of ``schema``.
 
