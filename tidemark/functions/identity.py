@@ -13,7 +13,9 @@ LANES, LANE_DIGITS, PRIME = 4, 15, (1 << 61) - 1
 def _plain(number: Column) -> Column:
     """A number as decimal text without zeros at its end; what no decimal(30,12) holds as the engine writes it."""
     text = number.cast("decimal(30,12)").cast("string")
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""), number.cast("string"))
+    # twelve places follow a point, so that zeros are cut there at most; outside ANSI mode small numbers are written with an exponent and stay so
+    cut = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.coalesce(F.when(F.contains(text, F.lit("E")), text).otherwise(cut), number.cast("string"))
 
 
 def _canonical(value: Column, kind: T.DataType) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.identity import row_hash, set_digest
@@ -69,21 +69,33 @@ def promotion(cards: DataFrame, packages: DataFrame, links: DataFrame, artifacts
         F.when(~F.coalesce(F.col("probabilistic_sharpe").between(0, 1), F.lit(False)), "invalid_probabilistic_sharpe").when(F.col("probabilistic_sharpe") < least_sharpe, "probabilistic_sharpe_below_threshold"),
         F.when(F.coalesce("held_out_periods", F.lit(0)) < least_periods, "insufficient_held_out_periods").when(~F.coalesce(F.col("held_out_return") >= least_return, F.lit(False)), "held_out_return_below_threshold"),
     ))
-    one = links.withColumn("_n", F.row_number().over(Window.partitionBy("package_id", "kind").orderBy("evidence_id"))).where("_n = 1").select("package_id", "kind", "evidence_id", "evidence_hash")
-    a = artifacts.select("evidence_id", F.lit(True).alias("found"), *(F.col(c).alias(f"a_{c}") for c in ("kind", "strategy", "dataset", "evaluated_at", "passed", "measures_pass", "stored_hash", "content_hash")))
+    kinds = tuple(dict.fromkeys(REQUIRED + more))
+    one = links.groupBy("package_id", "kind").agg(F.min(F.struct("evidence_id", "evidence_hash")).alias("l")).select("package_id", "kind", "l.*")
+    a = artifacts.select("evidence_id", *(F.col(c).alias(f"a_{c}") for c in ("kind", "strategy", "dataset", "evaluated_at", "passed", "measures_pass", "stored_hash", "content_hash")))
     asked = bound.where("p_package_hash IS NOT NULL").select("card_id", "package_id", "strategy", "p_dataset")
-    each = required_kinds(asked, "card_id", more).join(asked, "card_id").join(one, ["package_id", "kind"], "left").join(a, "evidence_id", "left")
-    k, typed = F.col("kind"), F.col("kind").isin(*TYPED)
-    weak = F.create_map(*(x for n, r in WEAK.items() for x in (F.lit(n), F.lit(r))))[k]
-    present = F.array_compact(F.array(
-        F.when(~F.col("a_strategy").eqNullSafe(F.col("strategy")), F.concat(k, F.lit("_strategy_mismatch"))), F.when(~F.col("a_dataset").eqNullSafe(F.col("p_dataset")), F.concat(k, F.lit("_dataset_mismatch"))),
-        F.when(F.col("a_evaluated_at").isNull(), F.concat(F.lit("invalid_"), k, F.lit("_timestamp"))).when(F.col("a_evaluated_at") < as_of - F.expr(f"INTERVAL {most_days} DAY"), F.concat(k, F.lit("_evidence_stale"))),
-        F.when(typed & ~F.col("a_kind").eqNullSafe(k), F.concat(F.lit("invalid_"), k, F.lit("_evidence"))),
-        F.when(~F.col("a_content_hash").eqNullSafe(F.col("a_stored_hash")) | ~F.col("a_stored_hash").eqNullSafe(F.col("evidence_hash")), F.concat(k, F.lit("_content_hash_mismatch"))),
-        F.when(F.col("a_passed") == F.lit(False), F.concat(k, F.lit("_failed"))), F.when(~F.coalesce("a_measures_pass", F.lit(False)), weak),
-    ))
-    of_kind = F.when(F.col("found").isNull(), F.array(F.concat(F.lit("missing_"), k, F.lit("_evidence")))).otherwise(present)
-    kinds = each.groupBy("card_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", of_kind.alias("r")))), lambda x: x["r"])).alias("of_kinds"))  # one entry a kind
-    joined = bound.join(kinds, "card_id", "left")
-    reasons = F.when(F.col("p_package_hash").isNull(), F.array(F.lit("missing_validation_package"))).otherwise(F.array_distinct(F.concat(of_package, F.coalesce("of_kinds", F.array().cast("array<string>")), of_card)))
+    # only kinds with a link travel; those without one are told apart when a card's kinds are listed
+    linked = one.where(F.col("evidence_id").isNotNull() & F.col("kind").isin(*kinds)).join(asked, "package_id")
+    each = linked.join(a, "evidence_id")
+    typed = F.col("kind").isin(*TYPED)
+    stale = F.col("a_evaluated_at") < as_of - F.expr(f"INTERVAL {most_days} DAY")
+    # each reason's name for a kind and when it holds, in order; a link's are one number, so that a card's kinds are sums of bits and no texts travel
+    told = (
+        ("{}_strategy_mismatch", ~F.col("a_strategy").eqNullSafe(F.col("strategy"))), ("{}_dataset_mismatch", ~F.col("a_dataset").eqNullSafe(F.col("p_dataset"))),
+        ("invalid_{}_timestamp", F.col("a_evaluated_at").isNull()), ("{}_evidence_stale", stale), ("invalid_{}_evidence", typed & ~F.col("a_kind").eqNullSafe(F.col("kind"))),
+        ("{}_content_hash_mismatch", ~F.col("a_content_hash").eqNullSafe(F.col("a_stored_hash")) | ~F.col("a_stored_hash").eqNullSafe(F.col("evidence_hash"))),
+        ("{}_failed", F.col("a_passed") == F.lit(False)), ("weak", ~F.coalesce("a_measures_pass", F.lit(False))),
+    )
+    bits = F.lit(1 << len(told))  # found
+    for place, (_, holds) in enumerate(told):
+        bits = bits + F.when(holds, 1 << place).otherwise(0)
+    coded = each.select("card_id", "kind", bits.alias("bits"))
+    given = coded.groupBy("card_id").agg(*(F.bit_or(F.when(F.col("kind") == n, F.col("bits"))).alias(f"_k{i}") for i, n in enumerate(kinds)))
+
+    def of_kind(i: int, n: str):
+        names = [WEAK.get(n) if form == "weak" else form.format(n) for form, _ in told]
+        present = F.array_compact(F.array(*(F.when(F.col(f"_k{i}").bitwiseAND(1 << place) > 0, name) for place, name in enumerate(names) if name)))
+        return F.when(F.col(f"_k{i}").isNull(), F.array(F.lit(f"missing_{n}_evidence"))).otherwise(present)
+
+    joined = bound.join(given, "card_id", "left").withColumn("of_kinds", F.flatten(F.array(*(of_kind(i, n) for i, n in enumerate(kinds)))))
+    reasons = F.when(F.col("p_package_hash").isNull(), F.array(F.lit("missing_validation_package"))).otherwise(F.array_distinct(F.concat(of_package, "of_kinds", of_card)))
     return joined.withColumn("reasons", reasons).select("card_id", "package_id", "reasons", F.when(F.size("reasons") > 0, "BLOCKED").otherwise("REVIEW_REQUIRED").alias("status"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity
 from tidemark.operators import promotion
 from tidemark.plans.registry import query
+from tidemark.sources.staging import staged
 from tidemark.sources.views import table
 
 _STAR = {
@@ -106,11 +107,15 @@ def _links(evidence):
     return evidence.groupBy(F.col("l_partkey").alias("package_id"), "kind").agg(F.min(F.struct("evidence_id", "h")).alias("m")).select("package_id", "kind", "m.evidence_id", F.col("m.h").alias("evidence_hash"))
 
 
-def _artifacts(evidence):
+def _artifacts(evidence, *more):
+    """Artifacts as their last records have them, with the hash of the first."""
     order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    last = F.max_by(F.struct(*_PAYLOAD, "l_tax", "l_discount"), order)
-    a = evidence.groupBy("evidence_id", "kind").agg(F.min_by("h", order).alias("stored_hash"), last.alias("x"))
-    return promotion.evidence_integrity(a.select("evidence_id", "kind", "stored_hash", "x.*"), _PAYLOAD, "stored_hash")
+    last = F.max_by(F.struct("l_tax", "l_discount", *more), order)
+    # the order's columns are the payload's, so first and last payload are the least and greatest of them
+    a = evidence.groupBy("evidence_id", "kind").agg(F.min(order).alias("first"), F.max(order).alias("x"), last.alias("y"))
+    first = a.select("evidence_id", "kind", "x", "y", "first.*")
+    a = first.select("evidence_id", "kind", identity.row_hash(first, _PAYLOAD).alias("stored_hash"), "x.*", "y.*")
+    return promotion.evidence_integrity(a, _PAYLOAD, "stored_hash")
 
 
 @query("v17_evidence_completeness", f"WITH {_EVIDENCE}, need AS (SELECT p_partkey AS package_id, unnest({_KINDS_SQL}) AS kind, unnest(range(13)) AS place FROM part) SELECT package_id, coalesce(string_agg(kind, ',' ORDER BY place) FILTER (evidence_id IS NULL), '') AS missing, bool_and(evidence_id IS NOT NULL) AS complete FROM need LEFT JOIN link USING (package_id, kind) GROUP BY 1")
@@ -148,18 +153,23 @@ SELECT card_id, reasons, CASE WHEN reasons = '' THEN 'REVIEW_REQUIRED' ELSE 'BLO
 def v21(spark, d):
     """Parts as strategies: each one's package was sealed at a time, and its lines are what the evidence is now."""
     e = _evidence(spark, d)
-    links = _links(e)
-    sealed = promotion.package_hashes(_links(e.where(F.col("l_shipdate") < F.lit(_SEALED).cast("timestamp_ntz"))), "package_id")
+    link = F.struct("evidence_id", "h")
+    # what a package holds and what it held when it was sealed come from one pass over its lines
+    both = e.groupBy(F.col("l_partkey").alias("package_id"), "kind").agg(F.min(link).alias("now"), F.min(F.when(F.col("l_shipdate") < F.lit(_SEALED).cast("timestamp_ntz"), link)).alias("was"))
+    both = staged(both, "links")
+    links, old = (both.where(f"{c} IS NOT NULL").select("package_id", "kind", f"{c}.evidence_id", F.col(f"{c}.h").alias("evidence_hash")) for c in ("now", "was"))
+    sealed = promotion.package_hashes(old, "package_id")
     part = table(spark, d, "part")
     key = F.col("p_partkey")
     bind = lambda of, cost: [(key % 10).cast("string").alias("strategy"), (F.col("p_size") % 2).cast("string").alias("dataset"), of.alias("features"), cost.alias("cost_model")]
     held = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("held_out_periods"), (F.avg("l_discount") - 0.045).alias("held_out_return"))
     cards = part.join(held, "p_partkey", "left").select(key.alias("card_id"), key.alias("package_id"), *bind(F.lit("f1"), F.lit("c1")), ((key % 97) / 96.0).alias("probabilistic_sharpe"), (key % 10 > 0).alias("engines_agree"), "held_out_periods", "held_out_return")
     packages = part.select(key.alias("package_id"), *bind(F.when(F.col("p_size") % 11 == 0, "f0").otherwise("f1"), F.when(F.length("p_type") % 7 == 0, "c0").otherwise("c1"))).join(sealed, "package_id")
-    own = _artifacts(e)
+    of_part = part.select(key.alias("l_partkey"), (F.col("p_size") % 2).cast("string").alias("own"))
+    asked = e.join(of_part, "l_partkey", "left").select("evidence_id", "kind", *_PAYLOAD, "l_tax", "l_discount", "own")
+    own = _artifacts(asked.join(links.select("evidence_id"), "evidence_id", "left_semi"), "own")  # all that a link leads to
     # the data set of an artifact is its strategy's unless its quantity is high and says otherwise
     dataset = F.when((F.col("l_quantity") > 40), (F.col("l_quantity").cast("long") % 2).cast("string"))
-    of_part = part.select(key.alias("l_partkey"), (F.col("p_size") % 2).cast("string").alias("own"))
-    artifacts = own.join(of_part, "l_partkey", "left").select("evidence_id", "kind", (F.col("l_partkey") % 10).cast("string").alias("strategy"), F.coalesce(dataset, "own").alias("dataset"), F.col("l_shipdate").alias("evaluated_at"), (F.col("l_tax") < 0.08).alias("passed"), (F.col("l_discount") < 0.1).alias("measures_pass"), "stored_hash", "content_hash")
+    artifacts = own.select("evidence_id", "kind", (F.col("l_partkey") % 10).cast("string").alias("strategy"), F.coalesce(dataset, "own").alias("dataset"), F.col("l_shipdate").alias("evaluated_at"), (F.col("l_tax") < 0.08).alias("passed"), (F.col("l_discount") < 0.1).alias("measures_pass"), "stored_hash", "content_hash")
     out = promotion.promotion(cards, packages, links, artifacts, F.lit("1998-08-01").cast("timestamp_ntz"), 2000, 0.5, 20, 0.0)
     return out.select("card_id", F.array_join("reasons", ",").alias("reasons"), "status")
