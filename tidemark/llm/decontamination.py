@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.block_sieve import Sieve
+
 #: Characters in a q-gram.
 Q = 5
 #: Edits allowed for each character of an item or of a segment.
@@ -40,6 +42,8 @@ SAME_PLACE = 32
 SIDE_BY_SIDE, ONE_BY_ONE = 2048, 24
 #: Characters of the texts whose results a Python worker remembers.
 REMEMBER_CHARS = 16_000_000
+#: Characters of the texts that go through the sieve together.
+SIEVE_CHARS = 100_000
 #: Origins of references that are remembered, 8 bytes each.
 ORIGINS = 4_000_000
 #: Characters of an item up to which its pieces are aligned before the whole.
@@ -203,6 +207,8 @@ class Index:
         self.reach = np.minimum(np.minimum(reach, np.append(reach[1:], FULL)), FULL).astype(np.uint16)[:, None]  # of the stretch and the next
         self.short = [(i, " " + _words(c) + " ") for i, c in enumerate(self.codes) if len(c) < Q]
         self.overlap = self.longest + 2 * int(self.edits.max()) + 2 * CELL + 2
+        long = [k for k, c in enumerate(self.codes) if len(c) >= Q]
+        self.sieve = Sieve([self.codes[k] for k in long], [self.segments[k][:3] for k in long], _fold())
 
     def origins(self, wide: int) -> np.ndarray:
         """For each reference, where its row of a grid of so many columns begins, less its place: with a position
@@ -226,17 +232,26 @@ class Index:
         real = np.take(self.keys, slot, mode="clip") == grams[at]
         return at[real], slot[real]
 
-    def found(self, text: str) -> list[dict]:
-        """``found_in``, once for equal texts among the last ones."""
-        got = self.memory.get(text)
-        if got is None:
-            got = found_in(text, self)
-            if self.remembered + len(text) > REMEMBER_CHARS:
-                self.memory.clear()
-                self.remembered = 0
-            self.memory[text] = got
-            self.remembered += len(text)
-        return got
+    def found(self, texts: list[str]) -> list[list[dict]]:
+        """``found_in`` for each text, once for equal ones among these and the last; what the sieve holds back has no regions."""
+        got = {t: self.memory.get(t) for t in texts}
+        part, held, new = [], 0, [t for t, x in got.items() if x is None]
+        for k, text in enumerate(new):
+            part.append(text)
+            held += len(text)
+            if held >= SIEVE_CHARS or k == len(new) - 1:
+                for t, may in zip(part, self.sieve.may_hold(part).tolist(), strict=True):
+                    got[t] = found_in(t, self, may)
+                    self.remember(t, got[t])
+                part, held = [], 0
+        return [got[t] for t in texts]
+
+    def remember(self, text: str, found: list[dict]) -> None:
+        if self.remembered + len(text) > REMEMBER_CHARS:
+            self.memory.clear()
+            self.remembered = 0
+        self.memory[text] = found
+        self.remembered += len(text)
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, item's characters) for each retained and verified region of a normalised text."""
@@ -465,10 +480,16 @@ _REGION = T.ArrayType(
 )
 
 
-def found_in(text: str, ix: Index) -> list[dict]:
-    """Every verified region of a whole text; those of one item that overlap are one, at its place in the text itself."""
+def found_in(text: str, ix: Index, may_hold: bool = True) -> list[dict]:
+    """Every verified region of a whole text; those of one item that overlap are one, at its place in the text itself.
+
+    Where ``may_hold`` is false, only items of under ``Q`` characters are looked for.
+    """
+    if not may_hold and not ix.short:
+        return []
     codes, places = normal_codes(text)
-    found = sorted({(i, at + s, at + e, d, m) for at, window in _windows(codes, ix) for i, s, e, d, m in ix.regions(window)})
+    windows = _windows(codes, ix) if may_hold else ()
+    found = sorted({(i, at + s, at + e, d, m) for at, window in windows for i, s, e, d, m in ix.regions(window)})
     if ix.short:
         words = " " + _words(codes) + " "
         blank = int(words.startswith("  "))
@@ -494,7 +515,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
     @F.pandas_udf(_REGION)
     def regions(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.found)
+        return pd.Series(shared.value.found(texts.tolist()), dtype=object)
 
     return docs.select("doc_id", F.inline(regions(F.coalesce("text", F.lit("")))))
 
@@ -552,6 +573,6 @@ def _clean(docs: DataFrame, index: Index):
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: not shared.value.found(t)).astype(bool)
+        return pd.Series([not x for x in shared.value.found(texts.tolist())], dtype=bool)
 
     return clean
