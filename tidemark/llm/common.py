@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import dataclasses
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,19 +34,51 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_passing", default=None)
+
+
+def staged(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and a plan that
     uses the table several times computes it once. A join of two such tables is also one that
-    adaptive execution can split where a key is hot.
+    adaptive execution can split where a key is hot. Inside ``passing`` a table goes at the
+    block's end unless it ``stays``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not stays and (made := _passing.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``staged`` writes in this block are deleted at its end. What the block gives on must stay."""
+    token = _passing.set(made := [])
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs in this block sends Python so many rows an Arrow batch at most, which both sides hold whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of a table that ``attached`` broadcasts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import bit_table, identified, identity, staged
+from tidemark.llm.common import BROADCAST_ROWS, batches_of, bit_table, identified, identity, passing, staged
 
 #: Words in a shingle.
 WORDS = 5
@@ -89,8 +89,8 @@ def _signature(tokens: np.ndarray) -> int:
         return int(_mix(np.array([folded]))[0].astype(np.int64))
 
 
-#: Texts whose sets a Python worker holds together; their batch has many more.
-SLICE = 128
+#: Texts whose sets a Python worker holds together, and those of an Arrow batch.
+SLICE, BATCH = 128, 1024
 _PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))])
 _SETS = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("lead", T.ArrayType(T.ShortType())), T.StructField("trail", T.ArrayType(T.ShortType()))])
 
@@ -145,20 +145,20 @@ def _classes(profile: DataFrame) -> DataFrame:
     return each.agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("h", "g")).alias("first"))
 
 
-def _survivors(profile: DataFrame, classes: DataFrame) -> DataFrame:
-    """``sig, n, h, g``: the classes that may link with another, and a row of each."""
+def _survivors(shown: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sig, n, h, g``: the classes that may link with another, and a row of each. ``shown`` has ``sig, low`` of every row."""
     # signed values below _LOW, read as unsigned, are the non-negative ones below it
     low_bound = int(_LOW)
-    shown = profile.where("n > 0").select("sig", "n", F.explode("low").alias("token"))
     own = (
-        shown.groupBy("token")
-        .agg(F.min("sig").alias("sig"), F.max("sig").alias("other"), F.max("n").alias("n"))
+        shown.select("sig", F.explode("low").alias("token"))
+        .groupBy("token")
+        .agg(F.min("sig").alias("sig"), F.max("sig").alias("other"))
         .where(F.col("sig") == F.col("other"))
-        .where((F.col("n") <= SMALL) | F.col("token").between(0, low_bound - 1))
         .groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("own"))
+        .agg(F.count(F.lit(1)).alias("own"), F.count_if(F.col("token").between(0, low_bound - 1)).alias("own_low"))
     )
-    may = F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - SIMILAR)
+    counted = F.when(F.col("n") <= SMALL, F.col("own")).otherwise(F.col("own_low"))
+    may = F.coalesce(counted, F.lit(0)) * 100 <= F.col("n") * (100 - SIMILAR)
     return classes.join(own, "sig", "left").where(may).select("sig", "n", "first.h", "first.g")
 
 
@@ -232,6 +232,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = _both_ends(pairs, sets, "lead", "trail")
     near = staged(ends.where(F.arrays_overlap("lead_a", "lead_b") & F.arrays_overlap("trail_a", "trail_b")).select("a", "b"), "intersected")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    if 2 * near.count() <= BROADCAST_ROWS:  # late rounds have few pairs, and then few of the whole sets travel
+        ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        sets = sets.join(F.broadcast(ends), "sig", "left_semi")
     whole = _both_ends(near, sets, "n", "tokens").withColumn("both", both)
     return staged(whole.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * SIMILAR).select("a", "b"), "verified")
 
@@ -320,9 +323,10 @@ def _open_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """``doc_id, h, g, n, root, component_id`` of every row; rows of one root are one group."""
-    profile = staged(profiles(docs), "profiles")
+    # shingles are made once more for the first filter: as a table they would take as much disk as the texts
+    profile = staged(profiles(docs).drop("low"), "profiles")
     classes = staged(_classes(profile), "classes")
-    survivors = staged(_survivors(profile, classes), "survivors")
+    survivors = staged(_survivors(profiles(docs).where("n > 0").select("sig", "low"), classes), "survivors")
     sets = staged(_full_sets(docs, survivors), "sets")
     comp = class_components(sets)
     known = classes.select("sig", "least").join(comp, "sig", "left").select("sig", "least", F.coalesce("comp", "sig").alias("root"))
@@ -342,7 +346,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts is as many documents, each in its own group. An empty table gives an empty one; other
     columns are ignored, whatever their names.
     """
-    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with passing(docs.sparkSession), batches_of(docs.sparkSession, BATCH):
+        found = _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return staged(found, "similar", stays=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -351,11 +357,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The row with the least id stays (a null id comes last; then the least hash of the row). Rows
     whose text is null or has no words are in no group: all stay. An empty table gives an empty one.
     """
-    found = staged(_grouped(docs).where("n > 0").select("doc_id", "h", "g", "root"), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "g")).alias("w")
-    winners = staged(found.groupBy("root").agg(first).select("w.h", "w.g"), "winners")
-    drops = staged(found.join(winners, ["h", "g"], "left_anti").select("h", "g").distinct(), "drops")
-    again = staged(found.join(winners, ["h", "g"], "left_semi").groupBy("h", "g").count().where("count > 1").select("h", "g"), "repeated")
+    with passing(docs.sparkSession), batches_of(docs.sparkSession, BATCH):
+        found = staged(_grouped(docs).where("n > 0").select("doc_id", "h", "g", "root"), "groups")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "g")).alias("w")
+        winners = staged(found.groupBy("root").agg(first).select("w.h", "w.g"), "winners")
+        drops = staged(found.join(winners, ["h", "g"], "left_anti").select("h", "g").distinct(), "drops", stays=True)
+        again = found.join(winners, ["h", "g"], "left_semi").groupBy("h", "g").count().where("count > 1").select("h", "g")
+        again = staged(again, "repeated", stays=True)
     kept = identified(docs).join(drops, ["h", "g"], "left_anti")
     if not again.isEmpty():  # rows repeated as they are
         once = kept.join(again, ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
