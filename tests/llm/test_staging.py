@@ -32,3 +32,17 @@ def test_tables_go_after_an_error(spark):
         pass
     assert not [x for x in os.listdir(folder) if x.startswith("goes-")] and kept.count() == 4
     assert staged(spark.range(2), "outside").count() == 2
+
+
+def test_full_sets_are_never_shuffled(spark):
+    """One Python operator a stage, and below the sets the only shuffle of texts; a row repeated as it is counts once."""
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, text + " x"), (5, "a b c d e f")], "doc_id long, text string")
+    profile = jaccard_join.profiles(docs)
+    classes = jaccard_join._classes(profile)
+    survivors = staged(jaccard_join._survivors(profile.where("n > 0").select("sig", "low"), classes), "survivors")
+    sets = jaccard_join._full_sets(docs, survivors)
+    assert sorted((r.n, len(r.tokens)) for r in sets.collect()) == [(6, 6), (7, 7)]
+    plan = sets._jdf.queryExecution().sparkPlan().toString()
+    at = [plan.index(x) for x in ("MapInArrow", "Aggregate", "ArrowEvalPython")]
+    assert at == sorted(at) and "Aggregate" not in plan[: at[0]]

@@ -175,9 +175,11 @@ def _full_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     def may_survive(h: pd.Series) -> pd.Series:
         return pd.Series(table.value.has(h.to_numpy(np.int64).view(np.uint64)))
 
-    # the table, whose size is bounded, leaves few texts beside those of survivors to be shuffled
-    found = _rows(docs).where(may_survive("h")).join(wanted, ["h", "g"]).select("sig", "n", "text")
-    return _with_sets(found, _SETS, _whole_set).dropDuplicates(["sig"])  # a row may be repeated as it is
+    # The table, whose size is bounded, leaves few texts beside those of survivors to be shuffled. A row may be repeated
+    # as it is: one stays, before the join. Its key is the join's, so texts are shuffled once and sets never; and as this
+    # shuffle always stands between them, no task runs two Python workers.
+    found = _rows(docs).where(may_survive("h")).dropDuplicates(["h", "g"]).join(wanted, ["h", "g"]).select("sig", "n", "text")
+    return _with_sets(found, _SETS, _whole_set)
 
 
 def prefix_length(n):
