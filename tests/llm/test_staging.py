@@ -1,6 +1,8 @@
 """What the join leaves in the shared folder."""
 
 import os
+import subprocess
+import sys
 
 from tidemark.llm import jaccard_join
 from tidemark.llm.common import passing, shared_dir, staged
@@ -46,3 +48,23 @@ def test_full_sets_are_never_shuffled(spark):
     plan = sets._jdf.queryExecution().sparkPlan().toString()
     at = [plan.index(x) for x in ("MapInArrow", "Aggregate", "ArrowEvalPython")]
     assert at == sorted(at) and "Aggregate" not in plan[: at[0]]
+
+
+def test_freed_memory_goes_back():
+    """After its last batch a worker holds little more than before its first."""
+    code = """
+import random, re
+import pyarrow as pa
+from tidemark.llm import jaccard_join
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+rng = random.Random(3)
+kinds = pa.schema([("n", pa.int64()), ("sig", pa.int64()), ("low", pa.list_(pa.int64()))])
+batch = lambda n: pa.RecordBatch.from_pydict({"text": [" ".join(str(rng.randrange(10**6)) for _ in range(700)) for _ in range(n)]})
+run = jaccard_join._sliced(kinds, kinds.names, jaccard_join._profile)
+sum(b.num_rows for b in run(iter([batch(10)])))
+before = held()
+sum(b.num_rows for b in run(batch(8000) for _ in range(1)))
+print(held() - before)
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(found.stdout.split()[-1]) < 15

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import dataclasses
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: a Python worker that has done its task stays beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows of a table that ``attached`` broadcasts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 

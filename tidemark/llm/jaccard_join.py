@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import BROADCAST_ROWS, batches_of, bit_table, identified, identity, passing, staged
+from tidemark.llm.common import BROADCAST_ROWS, batches_of, bit_table, give_back, identified, identity, passing, staged
 
 #: Words in a shingle.
 WORDS = 5
@@ -106,6 +106,8 @@ def _sliced(kinds: pa.Schema, made: list[str], columns: Callable[[list[np.ndarra
                 kept = [part.column(n).cast(kinds.field(n).type) for n in part.schema.names if n != "text"]
                 new = [pa.array(c, kinds.field(n).type) for n, c in zip(made, columns(sets), strict=True)]
                 yield pa.RecordBatch.from_arrays(kept + new, schema=kinds)
+        batch = part = sets = kept = new = None
+        give_back()
 
     return run
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import ChunkMemory, Spanning, lines_of_chunks
+from tidemark.llm.common import give_back
 
 #: Ids in a packed row.
 WIDTH = 2048
@@ -194,6 +195,9 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", width: int
                         names=["row_id", "n_tokens", "ids", "position_ids", "cu_seqlens", "doc_ids", "starts"],
                     )
                     n += len(some)
+                block = names = rows = some = text = None
+        batch = ids = texts = None
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(work, SCHEMA)

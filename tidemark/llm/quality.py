@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import give_back, staged
 
 #: Bound on the labelled rows that the fit reads.
 FIT_ROWS = 8000
@@ -244,6 +244,8 @@ def scorer(docs: DataFrame, model: OrdinalModel):
                     out[i] = float(m.weights[found].sum()) + float(m.shape @ np.array(form))
             tails = m.tails(out)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_tail": tails[:, -1]})
+        known = texts = text = words = kinds = None
+        give_back()
 
     return score
 
