@@ -259,3 +259,23 @@ def test_observations_without_an_instrument_stay_spread(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_adjusted_parity_beyond_the_range_of_a_double(spark):
+    """Many splits take adjusted closes, equity, and one bar's ratio to 0 or infinity; logs go on and no division fails."""
+    closes = [100.0 + d % 7 for d in range(30)]
+    bars = [(k, d, c, 1e6, 1.0) for k in ("up", "down", "day", "traded") for d, c in enumerate(closes)]
+    bars = [(k, d, c, v, 0.0 if k == "traded" and d in (20, 21) else s) for k, d, c, v, s in bars]
+    day = lambda df: df.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), "day"))
+    b = day(spark.createDataFrame(bars, "k string, day int, close double, volume double, signal double"))
+    acts = [(k, d, n, r) for k, r in (("up", 2.0), ("down", 0.5), ("traded", 2.0)) for d in range(1, 30) for n in range(50)] + [("day", 9, n, 2.0) for n in range(1100)] + [("day", 10, n, 0.5) for n in range(1100)]
+    a = day(spark.createDataFrame(acts, "k string, day int, n int, ratio double"))
+    known = F.date_sub("day", 1).cast("timestamp")
+    a = a.select("k", F.lit("SPLIT").alias("action_type"), F.col("day").cast("timestamp").alias("effective_at"), known.alias("announced_at"), known.alias("ingested_at"), F.lit("p").alias("provider"), F.concat_ws("-", "day", "n").alias("source_identifier"), F.lit(0).alias("revision"), "ratio", F.lit(None).cast("double").alias("amount"))
+    got = {r.k: r for r in adjusted.adjusted_parity(b, a, ["k"]).collect()}
+    moved = np.log(closes[-1] / closes[0])
+    for k, want in {"up": moved + 29 * 50 * np.log(2), "down": moved - 29 * 50 * np.log(2), "day": moved}.items():
+        assert got[k].status == "RECONCILED" and got[k].exposure == pytest.approx(1.0)
+        assert (got[k].vector_log, got[k].event_log) == pytest.approx((want, want))
+    assert got["traded"].reasons == ["insufficient_close_liquidity"]  # so many shares can't be sold
+    assert got["up"].event_equity == float("inf") and got["down"].event_equity == 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adjusted, resampling
 from tidemark.plans.registry import query
+from tidemark.sources.staging import staged
 from tidemark.sources import views
 from tidemark.sources.views import with_views
 
@@ -71,6 +72,7 @@ def b18(spark, d):
     w = Window.partitionBy("instrument_id", "y").orderBy("day")
     bars = views.bars(spark, d).withColumn("y", F.year("day"))
     bars = bars.select("instrument_id", "y", "day", "close", "volume", F.coalesce((F.col("close") > F.lag("close").over(w)).cast("int"), F.lit(0)).alias("signal"))
+    bars = staged(bars, "bars")  # a row an instrument and day, read by each of the steps
     line, order = F.col("l_linenumber"), F.col("l_orderkey")
     t = views.raw_bars(spark, d).where((line >= 6) | ((line == 5) & (order % 400 == 0)))
     actions = t.select(
@@ -79,4 +81,4 @@ def b18(spark, d):
         F.when(F.col("l_quantity") > 25, 2.0).otherwise(0.5).alias("ratio"), (F.col("l_quantity") / 10).alias("amount"),
     )
     out = adjusted.adjusted_parity(bars, actions, ["instrument_id", "y"])
-    return out.select("instrument_id", "y", "status", F.array_join("reasons", ",").alias("reasons"), r6(F.log("vector_equity"), "vector_log"), r6(F.log("event_equity"), "event_log"), r6(F.col("exposure"), "exposure"))
+    return out.select("instrument_id", "y", "status", F.array_join("reasons", ",").alias("reasons"), r6(F.col("vector_log"), "vector_log"), r6(F.col("event_log"), "event_log"), r6(F.col("exposure"), "exposure"))
