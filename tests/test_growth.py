@@ -1,10 +1,12 @@
 """Steps whose cost grows with the rows: hot keys in ranges, one exchange where one is enough, no Python for small keys."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import execution, promotion, quality
+from tidemark.plans import content
 from tidemark.streaming import jobs
 
 
@@ -75,3 +77,18 @@ def test_promotion_moves_only_linked_kinds(spark):
     got = {r.card_id: r.reasons for r in out.collect()}
     assert got[1] == ["missing_slippage_evidence", "latency_strategy_mismatch", "latency_signal_decay_failed", "missing_stress_evidence"]
     assert got[2] == [f"missing_{k}_evidence" for k in kinds]
+
+
+def test_promotion_deals_links_by_package_once(spark, sf_dir, monkeypatch):
+    """Hash, kinds and cards of a package share one exchange of its links; hashes travel as bytes, and lines are dealt before they are hashed."""
+    tables, write = {}, content.staged
+    monkeypatch.setattr(content, "staged", lambda df, label: tables.setdefault(label, (df, write(df, label)))[1])
+    out = content.v21(spark, sf_dir)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan(out))
+    assert dealt and not any("package_id" in x and "kind" in x for x in dealt)
+    made, links = tables["links"]
+    assert links.schema["now"].dataType["h"].dataType.simpleString() == "binary"
+    text = made._jdf.queryExecution().optimizedPlan().toString()  # from the last step to the first
+    assert 0 < text.index("sha2") < text.index("RepartitionByExpression")
+    differs = links.where("was IS NOT NULL")
+    assert differs.where("was = now OR NOT sealed").count() == 0 and differs.count() > 0

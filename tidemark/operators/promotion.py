@@ -57,6 +57,8 @@ def promotion(cards: DataFrame, packages: DataFrame, links: DataFrame, artifacts
     package's binding and hash, each required kind's, then those of the card. A card whose package is
     unknown has that one reason. Unknown figures of a card are below their thresholds.
     """
+    # dealt by package once: its hash, its kinds and its cards need no other shuffle
+    links = links.where("package_id IS NOT NULL").select("package_id", "kind", "evidence_id", "evidence_hash").repartition("package_id")
     p = packages.select("package_id", *(F.col(c).alias(f"p_{c}") for c in ("strategy", "dataset", "features", "cost_model", "package_hash")))
     bound = cards.join(p, "package_id", "left").join(package_hashes(links, "package_id").select("package_id", F.col("package_hash").alias("made_hash")), "package_id", "left")
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"p_{c}"))
@@ -73,8 +75,8 @@ def promotion(cards: DataFrame, packages: DataFrame, links: DataFrame, artifacts
     one = links.groupBy("package_id", "kind").agg(F.min(F.struct("evidence_id", "evidence_hash")).alias("l")).select("package_id", "kind", "l.*")
     a = artifacts.select("evidence_id", *(F.col(c).alias(f"a_{c}") for c in ("kind", "strategy", "dataset", "evaluated_at", "passed", "measures_pass", "stored_hash", "content_hash")))
     asked = bound.where("p_package_hash IS NOT NULL").select("card_id", "package_id", "strategy", "p_dataset")
-    # only kinds with a link travel; those without one are told apart when a card's kinds are listed
-    linked = one.where(F.col("evidence_id").isNotNull() & F.col("kind").isin(*kinds)).join(asked, "package_id")
+    # only kinds with a link travel; those without one are told apart when a card's kinds are listed, which leaves out kinds that nobody asked for
+    linked = one.where(F.col("evidence_id").isNotNull()).join(asked, "package_id")
     each = linked.join(a, "evidence_id")
     typed = F.col("kind").isin(*TYPED)
     stale = F.col("a_evaluated_at") < as_of - F.expr(f"INTERVAL {most_days} DAY")

@@ -107,10 +107,10 @@ def _links(evidence):
     return evidence.groupBy(F.col("l_partkey").alias("package_id"), "kind").agg(F.min(F.struct("evidence_id", "h")).alias("m")).select("package_id", "kind", "m.evidence_id", F.col("m.h").alias("evidence_hash"))
 
 
-def _artifacts(evidence, *more):
+def _artifacts(evidence):
     """Artifacts as their last records have them, with the hash of the first."""
     order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    last = F.max_by(F.struct("l_tax", "l_discount", *more), order)
+    last = F.max_by(F.struct("l_tax", "l_discount"), order)
     # the order's columns are the payload's, so first and last payload are the least and greatest of them
     a = evidence.groupBy("evidence_id", "kind").agg(F.min(order).alias("first"), F.max(order).alias("x"), last.alias("y"))
     first = a.select("evidence_id", "kind", "x", "y", "first.*")
@@ -152,13 +152,18 @@ said AS (SELECT card.card_id, CASE WHEN was IS NULL THEN 'missing_validation_pac
 SELECT card_id, reasons, CASE WHEN reasons = '' THEN 'REVIEW_REQUIRED' ELSE 'BLOCKED' END AS status FROM said""")
 def v21(spark, d):
     """Parts as strategies: each one's package was sealed at a time, and its lines are what the evidence is now."""
-    e = _evidence(spark, d)
+    kind = lambda c: F.element_at(F.array(*map(F.lit, promotion.REQUIRED)), c).alias("kind")
+    li = table(spark, d, "lineitem").withColumn("evidence_id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("place", ((F.col("l_orderkey") + F.col("l_linenumber")) % 13 + 1).cast("int"))
+    # lines are dealt by package before they are hashed, as no hash compresses, and so that a package's links lie together; hashes are bytes, not their text
+    lines = li.select("evidence_id", "place", *_PAYLOAD).repartition("l_partkey")
+    lines = lines.withColumn("h", F.unhex(identity.row_hash(lines, _PAYLOAD)))
     link = F.struct("evidence_id", "h")
-    # what a package holds and what it held when it was sealed come from one pass over its lines
-    both = e.groupBy(F.col("l_partkey").alias("package_id"), "kind").agg(F.min(link).alias("now"), F.min(F.when(F.col("l_shipdate") < F.lit(_SEALED).cast("timestamp_ntz"), link)).alias("was"))
-    both = staged(both, "links")
-    links, old = (both.where(f"{c} IS NOT NULL").select("package_id", "kind", f"{c}.evidence_id", F.col(f"{c}.h").alias("evidence_hash")) for c in ("now", "was"))
-    sealed = promotion.package_hashes(old, "package_id")
+    # what a package holds and what it held when it was sealed come from one pass over its lines; the latter is kept where it differs
+    both = lines.groupBy(F.col("l_partkey").alias("package_id"), "place").agg(F.min(link).alias("now"), F.min(F.when(F.col("l_shipdate") < F.lit(_SEALED).cast("timestamp_ntz"), link)).alias("was"))
+    both = staged(both.select("package_id", "place", "now", F.col("was").isNotNull().alias("sealed"), F.when(~F.col("was").eqNullSafe(F.col("now")), F.col("was")).alias("was")), "links")
+    of = lambda df, c: df.select("package_id", kind(F.col("place")), c["evidence_id"].alias("evidence_id"), c["h"].alias("evidence_hash"))
+    links = of(both.where("now IS NOT NULL"), F.col("now"))
+    sealed = promotion.package_hashes(of(both.where("sealed"), F.coalesce("was", "now")), "package_id")
     part = table(spark, d, "part")
     key = F.col("p_partkey")
     bind = lambda of, cost: [(key % 10).cast("string").alias("strategy"), (F.col("p_size") % 2).cast("string").alias("dataset"), of.alias("features"), cost.alias("cost_model")]
@@ -166,10 +171,10 @@ def v21(spark, d):
     cards = part.join(held, "p_partkey", "left").select(key.alias("card_id"), key.alias("package_id"), *bind(F.lit("f1"), F.lit("c1")), ((key % 97) / 96.0).alias("probabilistic_sharpe"), (key % 10 > 0).alias("engines_agree"), "held_out_periods", "held_out_return")
     packages = part.select(key.alias("package_id"), *bind(F.when(F.col("p_size") % 11 == 0, "f0").otherwise("f1"), F.when(F.length("p_type") % 7 == 0, "c0").otherwise("c1"))).join(sealed, "package_id")
     of_part = part.select(key.alias("l_partkey"), (F.col("p_size") % 2).cast("string").alias("own"))
-    asked = e.join(of_part, "l_partkey", "left").select("evidence_id", "kind", *_PAYLOAD, "l_tax", "l_discount", "own")
-    own = _artifacts(asked.join(links.select("evidence_id"), "evidence_id", "left_semi"), "own")  # all that a link leads to
+    asked = li.join(links.select("evidence_id"), "evidence_id", "left_semi")  # all that a link leads to
+    own = _artifacts(asked.select("evidence_id", F.col("place").alias("kind"), *_PAYLOAD, "l_tax", "l_discount")).withColumn("kind", kind(F.col("kind"))).join(of_part, "l_partkey", "left")
     # the data set of an artifact is its strategy's unless its quantity is high and says otherwise
     dataset = F.when((F.col("l_quantity") > 40), (F.col("l_quantity").cast("long") % 2).cast("string"))
-    artifacts = own.select("evidence_id", "kind", (F.col("l_partkey") % 10).cast("string").alias("strategy"), F.coalesce(dataset, "own").alias("dataset"), F.col("l_shipdate").alias("evaluated_at"), (F.col("l_tax") < 0.08).alias("passed"), (F.col("l_discount") < 0.1).alias("measures_pass"), "stored_hash", "content_hash")
+    artifacts = own.select("evidence_id", "kind", (F.col("l_partkey") % 10).cast("string").alias("strategy"), F.coalesce(dataset, "own").alias("dataset"), F.col("l_shipdate").alias("evaluated_at"), (F.col("l_tax") < 0.08).alias("passed"), (F.col("l_discount") < 0.1).alias("measures_pass"), F.unhex("stored_hash").alias("stored_hash"), F.unhex("content_hash").alias("content_hash"))
     out = promotion.promotion(cards, packages, links, artifacts, F.lit("1998-08-01").cast("timestamp_ntz"), 2000, 0.5, 20, 0.0)
     return out.select("card_id", F.array_join("reasons", ",").alias("reasons"), "status")
